@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelight.llm import bpe
+from pagelight.llm import bpe, simhash
 from pagelight.llm.common import read_table
 
 
@@ -14,7 +14,12 @@ def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op3_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash_gray": op3_simhash_gray,
     "op9_bpe_tree": op9_bpe_tree,
 }
 
