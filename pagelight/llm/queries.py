@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelight.llm import bpe, simhash
+from pagelight.llm import bpe, simhash, substring
 from pagelight.llm.common import read_table
 
 
@@ -18,9 +18,16 @@ def op3_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_gray": op3_simhash_gray,
+    "op4_substring_rabin_karp": op4_substring_rabin_karp,
     "op9_bpe_tree": op9_bpe_tree,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_rabin_karp": substring.SQL,
+}
