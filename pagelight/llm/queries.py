@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelight.llm import bpe, simhash, substring
+from pagelight.llm import bpe, license, quality, simhash, substring, toxicity
 from pagelight.llm.common import read_table
 
 
+def op7_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op8_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read_table(spark, sf_dir, "documents"))
 
@@ -22,10 +30,17 @@ def op4_substring_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op10_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_gray": op3_simhash_gray,
     "op4_substring_rabin_karp": op4_substring_rabin_karp,
+    "op7_toxicity_nb": op7_toxicity_nb,
+    "op8_quality_pu": op8_quality_pu,
     "op9_bpe_tree": op9_bpe_tree,
+    "op10_license_index": op10_license_index,
 }
 
 ORACLE_SQL: dict[str, str] = {
