@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelight.llm import bpe, license, quality, simhash, substring, toxicity
+from pagelight.llm import ann, bpe, license, quality, simhash, substring, toxicity
 from pagelight.llm.common import read_table
 
 
@@ -22,6 +22,10 @@ def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op1_ann_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.digest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read_table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann_posting_lists": op1_ann_posting_lists,
     "op3_simhash_gray": op3_simhash_gray,
     "op4_substring_rabin_karp": op4_substring_rabin_karp,
     "op7_toxicity_nb": op7_toxicity_nb,
