@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelight.llm import ann, bpe, license, quality, simhash, substring, toxicity
+from pagelight.llm import ann, bpe, license, quality, shards, simhash, substring, toxicity
 from pagelight.llm.common import read_table
 
 
@@ -26,6 +26,10 @@ def op1_ann_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.digest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op2_shards_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read_table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann_posting_lists": op1_ann_posting_lists,
+    "op2_shards_splitters": op2_shards_splitters,
     "op3_simhash_gray": op3_simhash_gray,
     "op4_substring_rabin_karp": op4_substring_rabin_karp,
     "op7_toxicity_nb": op7_toxicity_nb,
