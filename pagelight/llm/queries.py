@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelight.llm import ann, bpe, license, quality, shards, simhash, substring, toxicity
+from pagelight.llm import ann, bpe, decontaminate, license, quality, shards, simhash, substring, toxicity
 from pagelight.llm.common import read_table
 
 
+def op5_decontaminate_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shards_splitters": op2_shards_splitters,
     "op3_simhash_gray": op3_simhash_gray,
     "op4_substring_rabin_karp": op4_substring_rabin_karp,
+    "op5_decontaminate_prefix": op5_decontaminate_prefix,
     "op7_toxicity_nb": op7_toxicity_nb,
     "op8_quality_pu": op8_quality_pu,
     "op9_bpe_tree": op9_bpe_tree,
@@ -55,4 +60,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_rabin_karp": substring.SQL,
+    "op5_decontaminate_prefix": decontaminate.SQL,
 }
