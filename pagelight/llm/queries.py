@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelight.llm import ann, bpe, decontaminate, license, quality, shards, simhash, substring, toxicity
+from pagelight.llm import ann, bpe, decontaminate, license, pii, quality, shards, simhash, substring, toxicity
 from pagelight.llm.common import read_table
 
 
@@ -14,6 +14,10 @@ def op5_decontaminate_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_gray": op3_simhash_gray,
     "op4_substring_rabin_karp": op4_substring_rabin_karp,
     "op5_decontaminate_prefix": op5_decontaminate_prefix,
+    "op6_pii_bootstrap": op6_pii_bootstrap,
     "op7_toxicity_nb": op7_toxicity_nb,
     "op8_quality_pu": op8_quality_pu,
     "op9_bpe_tree": op9_bpe_tree,
