@@ -1,17 +1,63 @@
-"""Corpus pipeline over the training-data operators; stages are added as they are built."""
+"""Corpus pipeline: five stages over ``documents``, each on what its predecessor kept.
+
+Each stage is a function (spark, docs, sf_dir) -> DataFrame. All but the last return the columns of
+``documents``: the quality classifier drops documents that it rejects, SimHash near-dedup keeps the
+smallest doc_id of each group of copies, decontamination drops documents in which ten consecutive words
+of a benchmark item stand, PII replaces every span by its kind, and BPE returns tokens and digests.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagelight.llm import bpe, decontaminate, pii, quality, simhash
+from pagelight.llm.common import read_table, written
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.train(docs, quality.training_labels(read_table(spark, sf_dir, "labels")))
+    return quality.keep_good(docs, model)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_copies(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    done = bpe.encode_decode(docs)
+    return done.select(
+        F.col("id").alias("doc_id"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
 
-from pagelight.llm import bpe
 
-STAGES = [("bpe", lambda spark, docs, sf_dir: bpe.digest(docs))]
+STAGES = [
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("bpe", bpe_stage),
+]
+#: SQL cannot express a trained classifier or this tokenizer; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = read_table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"stage-{name}")
     return docs

@@ -46,7 +46,7 @@ def fingerprint_words(words: list[bytes], shingle: int) -> np.ndarray:
         return np.array([h(joined, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    return np.array([h(joined[a:b], 42) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([h(joined[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
 
 
 def majority(hashes: np.ndarray, rows: int = 1 << 16) -> int:
@@ -105,8 +105,9 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Join the trees of the pairs (a, b) in place; a root is its tree's smallest index."""
+def union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Join the trees of the pairs (a, b) in place; a root is its tree's smallest index. Returns the pairs that joined two trees."""
+    joined = [np.empty((0, 2), np.int64)]
     while len(a):
         ra, rb = parent[a], parent[b]
         while True:
@@ -116,7 +117,12 @@ def union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             ra, rb = na, nb
         apart = ra != rb
         a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+        high, low = np.maximum(ra, rb), np.minimum(ra, rb)
+        np.minimum.at(parent, high, low)
+        won = np.flatnonzero(parent[high] == low)
+        _, first = np.unique(high[won], return_index=True)
+        joined.append(np.c_[a[won[first]], b[won[first]]])
+    return joined
 
 
 class GrayIndex:
@@ -143,8 +149,8 @@ class GrayIndex:
                 break
         self.root_of = np.searchsorted(group, bucket)
 
-    def pairs(self, queries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query row, later row of its bucket) at ``most`` differing bits or fewer."""
+    def pairs(self, queries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, later row of its bucket, differing bits) at ``most`` differing bits or fewer."""
         q, node = queries, self.root_of[queries]
         seen = np.zeros(len(q), np.uint64)  # bits on which the path so far has counted differences
         acc = np.zeros(len(q), np.int64)
@@ -161,35 +167,42 @@ class GrayIndex:
             q, acc, seen = q[at], acc[at], seen[at]
         go = node > q
         q, node = q[go], node[go]
-        near = np.bitwise_count(self.codes[q] ^ self.codes[node]) <= most
-        return q[near], node[near]
+        bits = np.bitwise_count(self.codes[q] ^ self.codes[node])
+        near = bits <= most
+        return q[near], node[near], bits[near]
 
 
-def forest(mask: np.ndarray, code: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links between the rows of a task, as pairs of node names, the smaller second."""
+def forest(table: np.ndarray, mask: np.ndarray, code: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the rows of a task that span all its linked rows, as pairs of node names; closer ones are taken first."""
     if not len(code):
         return node, node
-    order = np.lexsort((gray_rank(code), code & mask, mask))
-    mask, code, node = mask[order], code[order], node[order]
+    order = np.lexsort((gray_rank(code), code & mask, mask, table))
+    table, mask, code, node = table[order], mask[order], code[order], node[order]
     key = code & mask
-    bucket = np.cumsum(np.r_[0, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
+    bucket = np.cumsum(np.r_[0, (table[1:] != table[:-1]) | (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
     names, mine = np.unique(node, return_inverse=True)
     parent = np.arange(len(names))
     index = GrayIndex(code, bucket)
     work = np.cumsum(index.stop - np.arange(len(code)))
     cuts = np.unique(np.r_[0, np.searchsorted(work, np.arange(STEP, int(work[-1]) + STEP, STEP)), len(code)])
+    taken = []
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-        x, y = index.pairs(np.arange(a, z), most)
-        union(parent, mine[x], mine[y])
-    while (parent[parent] != parent).any():
-        parent = parent[parent]
-    linked = parent != np.arange(len(names))
-    return names[linked], names[parent[linked]]
+        x, y, bits = index.pairs(np.arange(a, z), most)
+        for d in range(most + 1):
+            taken += union(parent, mine[x[bits == d]], mine[y[bits == d]])
+    both = names[np.concatenate(taken)] if taken else np.empty((0, 2), np.int64)
+    return both.max(axis=1), both.min(axis=1)
 
 
 def links(nodes: DataFrame, max_bits: int = 3, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """Of nodes (node, fp) with distinct fp: pairs (a, b), a > b, that connect whatever lies within ``max_bits`` bits."""
+    """Of nodes (node, fp) with distinct fp: pairs (a, b), a > b, that connect whatever lies within ``max_bits`` bits.
+
+    A column ``table``, if there is one, keeps apart fingerprints of different kinds.
+    """
     spark = nodes.sparkSession
+    if "table" not in nodes.columns:
+        nodes = nodes.withColumn("table", F.lit(0))
+    nodes = nodes.select("table", "node", "fp")
     n = nodes.count()
 
     def spread(rows: DataFrame, masks: list[int]) -> DataFrame:
@@ -198,10 +211,10 @@ def links(nodes: DataFrame, max_bits: int = 3, max_bucket: int = MAX_BUCKET) ->
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column("mask").to_numpy(), b.column("fp").to_numpy(), b.column("node").to_numpy()) for b in batches]
+        got = [(b.column("table").to_numpy(), b.column("mask").to_numpy(), b.column("fp").to_numpy(), b.column("node").to_numpy()) for b in batches]
         if got:
-            mask, code, node = (np.concatenate(x) for x in zip(*got, strict=True))
-            a, b = forest(mask.view(np.uint64), code.view(np.uint64), node, max_bits)
+            table, mask, code, node = (np.concatenate(x) for x in zip(*got, strict=True))
+            a, b = forest(table, mask.view(np.uint64), code.view(np.uint64), node, max_bits)
             for at in range(0, len(a), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 16)]), pa.array(b[at : at + (1 << 16)])], schema=schema)
 
@@ -209,7 +222,7 @@ def links(nodes: DataFrame, max_bits: int = 3, max_bucket: int = MAX_BUCKET) ->
     rows, out, count, made = spread(nodes, masks), [], n, []
     key = F.col("fp").bitwiseAND(F.col("mask"))
     while True:
-        hot = rows.groupBy("mask", key.alias("key")).count().filter(F.col("count") > max_bucket)
+        hot = rows.groupBy("table", "mask", key.alias("key")).count().filter(F.col("count") > max_bucket)
         hot = written(hot, "simhash-hot")
         made.append(hot)
         hot_n = hot.agg(F.sum("count")).first()[0] or 0
@@ -218,13 +231,13 @@ def links(nodes: DataFrame, max_bits: int = 3, max_bucket: int = MAX_BUCKET) ->
             cool = rows
         else:
             rows = rows.withColumn("key", key)
-            cool = rows.join(hot, ["mask", "key"], "left_anti").drop("key")
-        out.append(cool.repartition(tasks, "mask", key).select("mask", "fp", "node").mapInArrow(search, "a long, b long"))
+            cool = rows.join(hot, ["table", "mask", "key"], "left_anti").drop("key")
+        out.append(cool.repartition(tasks, "table", "mask", key).select("table", "mask", "fp", "node").mapInArrow(search, "a long, b long"))
         if not hot_n:
             break
         narrower = {m: [m | b for b in blocks(m, max_bits + 1)] for m in masks}
-        table = F.create_map(*[x for m, more in narrower.items() for x in (F.lit(signed(m)), F.array(*[F.lit(signed(y)) for y in more]))])
-        rows = rows.join(hot.select("mask", "key"), ["mask", "key"], "left_semi").select("node", "fp", F.explode(table[F.col("mask")]).alias("mask"))
+        finer = F.create_map(*[x for m, more in narrower.items() for x in (F.lit(signed(m)), F.array(*[F.lit(signed(y)) for y in more]))])
+        rows = rows.join(hot.select("table", "mask", "key"), ["table", "mask", "key"], "left_semi").select("table", "node", "fp", F.explode(finer[F.col("mask")]).alias("mask"))
         masks = sorted({y for more in narrower.values() for y in more})
         count = hot_n
     found = out[0]
@@ -267,3 +280,99 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, max_bu
 def digest(docs: DataFrame) -> DataFrame:
     done = near_duplicates(docs)
     return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# near copies by the words that they share, for the corpus pipeline
+
+SEEDS, SIMILARITY, WORDS = 12, 0.8, 5
+
+
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    x = (x ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+def word_fingerprints(words: list[bytes], seeds: int) -> np.ndarray:
+    """Fingerprints of the words, each voting with the root of its count, by ``seeds`` hash functions."""
+    from collections import Counter
+
+    counts = Counter(words)
+    if not counts:
+        return np.zeros(seeds, np.uint64)
+    kinds = fingerprint_words([*counts], 1)
+    weight = np.sqrt(np.fromiter(counts.values(), float, len(counts)))
+    out = np.empty(seeds, np.uint64)
+    for seed in range(seeds):
+        votes = np.zeros(64)
+        for at in range(0, len(kinds), 1 << 15):
+            bits = np.unpackbits(_mixed(kinds[at : at + (1 << 15)], seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes += weight[at : at + (1 << 15)].astype(np.float32) @ bits
+        out[seed] = np.packbits(votes * 2 > weight.sum(), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def shingle_set(text: bytes | None, n: int) -> set[bytes]:
+    words = (text or b"").lower().split()
+    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def similar(a: bytes | None, b: bytes | None, n: int, least: float) -> bool:
+    """Whether the shingle sets' Jaccard similarity is ``least`` or more; texts without words are alike."""
+    x, y = shingle_set(a, n), shingle_set(b, n)
+    return len(x & y) >= least * len(x | y) - 1e-12
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WORDS, seeds: int = SEEDS, max_bits: int = 3, max_bucket: int = MAX_BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of every document with an id: documents linked by equal texts or by near copies.
+
+    Near copies share ``similarity`` of their sets of ``shingle``-word shingles. An edit changes several
+    shingles but one word, so the candidates are texts whose word fingerprints differ in ``max_bits`` bits
+    or fewer under one of ``seeds`` hash functions; each index task proposes the links that span its
+    candidates, the closest first, and every proposal is verified on the whole texts. Rows that repeat a
+    doc_id are one document if their texts are equal; a null or empty text equals any other without words.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).filter("doc_id IS NOT NULL").withColumn("mark", F.xxhash64("text", F.reverse("text")))
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("fps", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [word_fingerprints(x.as_py().lower().split(), seeds).view(np.int64).tolist() for x in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(fps, pa.list_(pa.int64()))], schema=schema)
+
+    marked = written(rows.mapInArrow(run, "doc_id long, mark long, fps array<long>"), "word-fingerprints")
+    texts = written(marked.groupBy("mark").agg(F.min("doc_id").alias("node"), F.first("fps").alias("fps")), "texts")
+    spread = texts.select("node", F.posexplode("fps").alias("table", "fp"))
+    heads = written(spread.groupBy("table", "fp").agg(F.min("node").alias("node")), "heads")
+    alike = spread.join(heads.withColumnRenamed("node", "head"), ["table", "fp"]).filter("node > head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    found = links(heads, max_bits, max_bucket)
+    pairs = written(found.unionByName(alike).distinct(), "candidate-pairs")
+    forget(heads)
+    forget(found)
+    # texts of candidates only; a node's text is that of the smallest doc_id which has it
+    held = rows.join(texts.select("node", "mark"), (F.col("doc_id") == F.col("node")) & (rows["mark"] == texts["mark"])).select("node", "text")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    own = held.dropDuplicates(["node"]).join(wanted, "node", "left_semi")
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).cast(pa.binary()) for c in ("text_a", "text_b"))
+            good = pa.array([similar(s.as_py(), t.as_py(), shingle, similarity) for s, t in zip(x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], schema=pair)
+
+    sure = written(both.mapInArrow(verify, "a long, b long"), "near-pairs")
+    forget(pairs)
+    # one doc_id may stand under several texts: it joins their groups
+    ids = marked.select("doc_id", "mark").distinct().join(texts.select("mark", "node"), "mark").select("doc_id", "node")
+    edges = sure.unionByName(ids.filter("doc_id > node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    comp = components(edges)
+    return ids.select("doc_id").distinct().join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` whose document has the smallest id of its group, with all their columns; rows without an id stay."""
+    gone = near_copies(docs, id_col=id_col, **options).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")

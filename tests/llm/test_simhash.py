@@ -77,3 +77,49 @@ def test_nulls_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c"), (None, "only here"), (4, "a b c"), (4, "a b c")], "doc_id long, text string")
     got = sorted(str((r.doc_id, r.component_id)) for r in simhash.digest(df).collect())
     assert got == sorted(map(str, [(None, 4), (None, None), (4, 4), (4, 4)]))
+
+
+def brute_near(rows, least=0.8):
+    sets = {}
+    for d, t in rows:
+        sets.setdefault(d, simhash.shingle_set((t or "").encode(), 5))
+    parent = {d: d for d in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x in sets:
+        for y in sets:
+            if x < y and len(sets[x] & sets[y]) >= least * len(sets[x] | sets[y]):
+                a, b = root(x), root(y)
+                parent[max(a, b)] = min(a, b)
+    return {d: root(d) for d in sets}
+
+
+def test_near_copies(spark):
+    rng = random.Random(6)
+    vocab = [f"{a}{b}{c}" for a in ("ta", "ro", "mi") for b in ("len", "sto", "ver", "kan") for c in ("", "du", "pel", "or", "as")] + ["the", "of", "and"] * 12
+    rows = []
+    for i in range(60):
+        ws = rng.choices(vocab, k=rng.randrange(60, 300))
+        rows.append((len(rows), " ".join(ws)))
+        for _ in range(rng.choice([0, 0, 1, 2, 8])):
+            copy = list(ws)
+            for _ in range(int(len(ws) * rng.choice([0, 0.005, 0.01]))):
+                copy[rng.randrange(len(copy))] = rng.choice(vocab)
+            rows.append((len(rows), rng.choice([" ", "\n"]).join(copy).capitalize()))
+    rows += [(900, None), (901, ""), (902, " "), (903, rows[5][1])]
+    df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, node int, table int").repartition(4)
+    want = brute_near(rows)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    assert got == want
+    kept = simhash.drop_copies(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(want.values())
+
+
+def test_near_copies_of_odd_rows(spark):
+    assert simhash.drop_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    df = spark.createDataFrame([(None, "a b"), (3, "a b"), (3, "a b"), (5, "a b")], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in simhash.drop_copies(df).collect()) == ["3", "3", "None"]
