@@ -1 +1,227 @@
+"""Queries from recognised words to the chosen candidate. Words and scores derive from ``documents`` by integer arithmetic."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagelight.functions import dims
+from pagelight.functions import text as T
+from pagelight.operators import recognition as O
+from pagelight.plans.registry import query, table
+from pagelight.plans.text import R, quoted, rows, sql_shares, sql_stats, sql_strip, values
+
+
+def words(docs: DataFrame) -> DataFrame:
+    """A word table as a recogniser gives it, blank words included."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("li", "line"))
+    each = lines.select("doc_id", "li", F.posexplode(F.split("line", r"[ \t\r\f\n]+")).alias("wi", "text"))
+    return each.select(
+        "doc_id",
+        (F.floor(F.col("li") / 20) + 1).cast("int").alias("block_num"),
+        (F.floor(F.col("li") / 5).cast("int") % 4 + 1).alias("par_num"),
+        (F.col("li") % 5 + 1).alias("line_num"),
+        (F.col("wi") + 1).alias("word_num"),
+        (F.col("li").cast("long") * 1000000 + F.col("wi")).alias("ord"),
+        "text",
+        ((F.col("doc_id") * 7 + F.col("li") * 31 + F.col("wi") * 13) % 101 - 1).alias("conf"),
+        ((F.col("doc_id") + F.col("wi") * 3) % 5 + 10).alias("height"),
+    )
+
+
+W = r"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS li FROM documents WHERE text IS NOT NULL),
+words AS (
+    SELECT doc_id, li, wi, w AS text, li // 20 + 1 AS block_num, (li // 5) % 4 + 1 AS par_num, li % 5 + 1 AS line_num, li * 1000000 + wi AS ord,
+           (doc_id * 7 + li * 31 + wi * 13) % 101 - 1 AS conf, (doc_id + wi * 3) % 5 + 10 AS height
+    FROM (SELECT doc_id, li, unnest(string_split_regex(line, '[ \t\r\f\n]+')) AS w, unnest(range(len(string_split_regex(line, '[ \t\r\f\n]+')))) AS wi FROM lines))"""
+_S = sql_strip("text")
+REBUILT = f"""rl AS (SELECT doc_id, block_num, par_num, line_num, string_agg({_S}, ' ' ORDER BY ord) AS t FROM words WHERE {_S} <> '' GROUP BY ALL),
+rp AS (SELECT doc_id, block_num, par_num, string_agg(t, chr(10) ORDER BY line_num) AS t FROM rl GROUP BY ALL),
+rebuilt AS (SELECT doc_id, {sql_strip("string_agg(t, chr(10) || chr(10) ORDER BY block_num, par_num)")} AS text FROM rp GROUP BY doc_id)"""
+_V = f"(conf >= 0 AND {_S} <> '')"
+CONF = f"""conf AS (
+    SELECT doc_id, count(*) FILTER ({_V}) AS n_valid, CASE WHEN count(*) FILTER ({_V}) > 0 THEN sum(conf) FILTER ({_V}) / count(*) FILTER ({_V}) ELSE 0.0 END AS avg_conf,
+           CASE WHEN count(*) FILTER ({_V}) > 0 THEN count(*) FILTER ({_V} AND conf >= 50) / count(*) FILTER ({_V}) ELSE 0.0 END AS high_share,
+           count(*) FILTER ({_V} AND height > 0) AS n, coalesce(sum(height) FILTER ({_V} AND height > 0), 0) AS h1, coalesce(sum(height * height) FILTER ({_V} AND height > 0), 0) AS h2
+    FROM words GROUP BY doc_id)"""
+
+
+@query(f"WITH {W}, {REBUILT} SELECT doc_id, text FROM rebuilt")
+def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.reconstruct(words(table(spark, sf_dir, "documents")), "doc_id")
+
+
+@query(f"WITH {W}, {CONF} SELECT doc_id, n_valid, {R('avg_conf', 6)} AS avg_conf, {R('high_share', 6)} AS high_share FROM conf")
+def word_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.word_confidence(words(table(spark, sf_dir, "documents")), "doc_id").select("doc_id", "n_valid", T.rounded(F.col("avg_conf"), 6).alias("avg_conf"), T.rounded(F.col("high_share"), 6).alias("high_share"))
+
+
+_ST = sql_stats("text")
+
+
+def _consistency(wc: str, lc: str) -> str:
+    base = f"CASE WHEN {lc} > 0 THEN CASE WHEN {wc} / {lc} BETWEEN 3 AND 20 THEN 0.95 WHEN {wc} / {lc} > 0 THEN 0.70 ELSE 0.5 END ELSE 0.5 END"
+    return f"CASE WHEN n >= 4 THEN ({base}) * 0.6 + greatest(0.0, 1 - sqrt(n * h2 - h1 * h1) / n / (h1 / n + 1e-5)) * 0.4 ELSE {base} END"
+
+
+@query(f"WITH {W}, {CONF}, st AS (SELECT doc_id, {_ST['word_count']} AS wc, {_ST['line_count']} AS lc FROM documents) SELECT st.doc_id, {R(_consistency('wc', 'lc'), 6)} AS line_consistency FROM st JOIN conf ON st.doc_id = conf.doc_id")
+def line_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    stats = T.statistics(F.col("text"))
+    pages = docs.select("doc_id", stats["word_count"].alias("wc"), stats["line_count"].alias("lc"))
+    made = pages.join(O.word_confidence(words(docs), "doc_id"), "doc_id")
+    return made.select("doc_id", T.rounded(O.line_consistency(F.col("wc"), F.col("lc"), F.col("n_heights"), F.col("h1"), F.col("h2")), 6).alias("line_consistency"))
+
+
+SYMBOLS = ["!", '"', "#", r"\$", "%", "&", "'", r"\(", r"\)", r"\*", r"\+", ",", r"\-", r"\.", "/", ":", ";", "<", "=", ">", r"\?", "@", r"\[", r"\\", r"\]", r"\^", "`", r"\{", r"\|", r"\}", "~"]
+
+
+def sql_runs(t: str) -> str:
+    return "(" + " + ".join(f"len(regexp_extract_all({t}, '[{s.replace(chr(39), chr(39) * 2)}]{{3,}}'))" for s in SYMBOLS) + ")"
+
+
+_PEN = "CASE WHEN runs > 0 THEN least(1.0, least(1.0, sr * 2) + runs * 0.1) ELSE least(1.0, sr * 2) END"
+
+
+@query(f"SELECT doc_id, runs, {R(_PEN, 6)} AS symbol_penalty FROM (SELECT doc_id, {sql_runs('text')} AS runs, {_ST['symbol_ratio']} AS sr FROM documents)")
+def symbol_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "documents").select("doc_id", T.garbage_runs(F.col("text")).alias("runs"), T.statistics(F.col("text"))["symbol_ratio"].alias("sr"))
+    doubled = F.least(F.lit(1.0), F.col("sr") * 2)
+    return made.select("doc_id", "runs", T.rounded(F.when(F.col("runs") > 0, F.least(F.lit(1.0), doubled + F.col("runs") * 0.1)).otherwise(doubled), 6).alias("symbol_penalty"))
+
+
+_WS = r"list_filter(string_split_regex(txt, '\s+'), lambda w: w <> '')"
+_FACTS = f"""facts AS (
+    SELECT s.doc_id, txt, eng, hin, greatest(eng, hin, tam, tel, kan, mal) AS prim, {sql_stats("txt")["word_count"]} AS wc, {sql_stats("txt")["line_count"]} AS lc, {sql_stats("txt")["char_count"]} AS cc,
+           {sql_stats("txt")["symbol_ratio"]} AS sr, {sql_runs("txt")} AS runs, avg_conf, high_share, n, h1, h2,
+           CASE WHEN len({_WS}) > 0 THEN len(list_filter({_WS}, lambda w: regexp_matches(w, '\\p{{L}}'))) / len({_WS}) ELSE 0.0 END AS vr,
+           CASE WHEN len({_WS}) > 0 THEN len(list_filter({_WS}, lambda w: length(w) BETWEEN 2 AND 25)) / len({_WS}) ELSE 0.0 END AS lr
+    FROM ({sql_shares("rebuilt", "doc_id", "text", False)}) s JOIN conf ON s.doc_id = conf.doc_id)"""
+
+
+def _score_sql(match: str) -> str:
+    raw = f"avg_conf * 0.30 + high_share * 20.0 + vr * 20.0 + prim * m * 15.0 + ({_consistency('wc', 'lc')}) * lr * 15.0"
+    score = f"greatest(0.0, least(100.0, ({raw}) * (1 - pen * 0.5) * (0.6 + 0.4 * least(1.0, log10(greatest(1, wc) + 1) / 1.8))))"
+    return f"""WITH {W}, {REBUILT}, {CONF}, {_FACTS}, f AS (SELECT *, {_PEN} AS pen, {match} AS m FROM facts)
+    SELECT doc_id, {R("avg_conf", 2)} AS word_confidence_avg, {R("vr", 3)} AS valid_word_ratio, {R("prim", 3)} AS alpha_ratio, {R("pen", 3)} AS symbol_penalty, {R(_consistency("wc", "lc"), 3)} AS line_consistency, {R(score, 2)} AS composite_score, wc AS total_words, cc AS total_chars FROM f"""
+
+
+_ENG = "CASE WHEN eng >= 0.30 THEN 1.0 WHEN eng >= 0.10 THEN 0.7 ELSE 0.2 END"
+
+
+@query(_score_sql(_ENG))
+def ocr_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = words(table(spark, sf_dir, "documents"))
+    return O.scored(O.reconstruct(found, "doc_id"), O.word_confidence(found, "doc_id"), "doc_id", "eng")
+
+
+@query(_score_sql(f"CASE WHEN hin >= 0.30 THEN 1.0 WHEN eng >= 0.30 THEN 1.0 WHEN hin >= 0.10 OR eng >= 0.10 THEN 0.7 ELSE 0.2 END"))
+def ocr_score_two_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = words(table(spark, sf_dir, "documents"))
+    return O.scored(O.reconstruct(found, "doc_id"), O.word_confidence(found, "doc_id"), "doc_id", "hin+eng")
+
+
+# candidates: a script and scores for every document id
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    script = F.element_at(F.array(*map(F.lit, dims.LANGS)), (F.col("doc_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", script.alias("script"))
+
+
+def _scores(grid: DataFrame) -> DataFrame:
+    return grid.withColumn("score", F.when(F.col("doc_id") % 7 == 3, (F.col("doc_id") * 37 + F.col("ord") * 17) % 400 / 10.0).otherwise((F.col("doc_id") * 37 + F.col("ord") * 17) % 1001 / 10.0))
+
+
+_SCRIPTS = f"[{', '.join(quoted(c) for c in dims.LANGS)}]"
+_SCORE = "CASE WHEN doc_id % 7 = 3 THEN (doc_id * 37 + ord * 17) % 400 / 10.0 ELSE (doc_id * 37 + ord * 17) % 1001 / 10.0 END"
+
+
+def _grid_sql(fast: bool) -> str:
+    names = [n for e, n in sorted((e, n) for n, _, f, e in dims.VARIANTS if e)][: 2 if fast else 4]
+    cells = [(v * 100 + p * 10, n, psm) for v, n in enumerate(names) for p, psm in enumerate(dims.PSMS[: 1 if fast else 2])]
+    pairs = values([(c, i, p) for c in dims.LANGS for i, p in enumerate(dims.pairs(c))], "lang, lang_ord, ocr_lang")
+    return f"SELECT doc_id, step + lang_ord AS ord, variant, psm, ocr_lang AS lang FROM (SELECT doc_id, {_SCRIPTS}[CAST(doc_id % 6 + 1 AS INT)] AS script FROM documents) JOIN {pairs} p ON p.lang = script CROSS JOIN {values(cells, 'step, variant, psm')} g"
+
+
+CANDS = f"cands AS (SELECT *, {_SCORE} AS score FROM ({_grid_sql(False)}))"
+TRIED = "tried AS (SELECT * EXCLUDE (done) FROM (SELECT *, coalesce(max(CASE WHEN score >= 85 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM cands) WHERE done = 0)"
+FALL = f"""fall AS (SELECT * FROM (SELECT *, {_SCORE} AS score FROM (SELECT doc_id, 900 + lang_ord AS ord, 'original_gray' AS variant, 3 AS psm, ocr_lang AS lang FROM (SELECT doc_id, {_SCRIPTS}[CAST(doc_id % 6 + 1 AS INT)] AS script FROM documents) JOIN {values([(c, i, p) for c in dims.LANGS for i, p in enumerate(dims.pairs(c))], "lang, lang_ord, ocr_lang")} p ON p.lang = script))
+    WHERE doc_id NOT IN (SELECT doc_id FROM tried GROUP BY doc_id HAVING max(score) >= 40)), everything AS (SELECT * FROM tried UNION ALL BY NAME SELECT * FROM fall)"""
+
+
+@query(_grid_sql(False))
+def candidate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.candidate_grid(spark, _pages(spark, sf_dir), "doc_id", False)
+
+
+@query(_grid_sql(True))
+def fast_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.candidate_grid(spark, _pages(spark, sf_dir), "doc_id", True)
+
+
+def _tried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.evaluated(_scores(O.candidate_grid(spark, _pages(spark, sf_dir), "doc_id", False)), "doc_id")
+
+
+def _everything(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    fallback = pages.select("doc_id", F.posexplode(T.candidate_languages(F.col("script"))).alias("lang_ord", "lang"))
+    fallback = _scores(fallback.select("doc_id", (F.col("lang_ord") + 900).alias("ord"), F.lit("original_gray").alias("variant"), F.lit(dims.FALLBACK_PSM).alias("psm"), "lang"))
+    return O.with_fallback(_tried(spark, sf_dir), fallback, pages, "doc_id")
+
+
+@query(f"WITH {CANDS}, {TRIED} SELECT * FROM tried")
+def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tried(spark, sf_dir)
+
+
+@query(f"WITH {CANDS}, {TRIED}, {FALL} SELECT * FROM everything")
+def fallback_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _everything(spark, sf_dir)
+
+
+@query(f"WITH {CANDS}, {TRIED}, {FALL} SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS rn FROM everything) WHERE rn = 1")
+def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.best(_everything(spark, sf_dir), "doc_id")
+
+
+PROBES = [
+    (1, "eng", "This is a long enough English probe text", "eng"),
+    (1, "tam", "தமிழ்", "eng"),
+    (2, "eng", "a b c", "hin"),
+    (2, "hin", "यह पुस्तक बहुत अच्छी है", "hin"),
+    (3, "eng", "noise 123", "eng"),
+    (3, "tam", "தமிழ் abc", "eng"),
+    (3, "kan", "ಕನ್ನಡ ಸಾ abcdefghijklmnopq", "eng"),
+    (4, "eng", "exactly ten letters 12 34 56 ёжик привет мир да", "tel"),
+    (4, "tel", "", "tel"),
+    (5, "eng", " ", "en"),
+    (5, "mal", None, "en"),
+    (6, "eng", "x", "kan"),
+    (6, "hin", "राम", "kan"),
+    (7, "mal", "മലയാളം ഭാഷ ഒരു", "tam"),
+    (7, "tam", "தமிழ் ஒரு மொழி", "tam"),
+]
+_E = sql_shares(values(PROBES, "page_id, probe_lang, probe_text, fb"), "page_id, probe_lang, fb", "probe_text", True)
+_PROBE = f"""WITH e AS (SELECT page_id, probe_lang, lower(fb) AS fb, txt, total, CASE {" ".join(f"WHEN probe_lang = '{c}' THEN n_{c}" for c in dims.LANGS)} END AS chars FROM ({_E})),
+r AS (SELECT *, CASE WHEN total > 0 THEN chars / total ELSE 0.0 END AS ratio, CASE WHEN probe_lang = fb AND fb <> 'eng' THEN 0 ELSE list_position([{", ".join(quoted(c) for c in dims.PROBE_ORDER)}], probe_lang) END AS ord FROM e WHERE txt IS NOT NULL AND {sql_strip("txt")} <> ''),
+sure AS (SELECT page_id, arg_min(probe_lang, ord) AS script, arg_min(ratio, ord) AS ratio FROM r WHERE CASE WHEN probe_lang = 'eng' THEN chars >= 20 AND ratio >= 0.75 ELSE chars >= 8 AND ratio >= 0.35 END GROUP BY page_id),
+likely AS (SELECT page_id, probe_lang AS script, ratio FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY chars DESC, ratio DESC, ord) AS rn FROM r WHERE probe_lang <> 'eng' AND chars >= 5 AND ratio >= 0.20) WHERE rn = 1),
+english AS (SELECT page_id, 'eng' AS script, ratio FROM r WHERE probe_lang = 'eng' AND chars >= 10),
+pages AS (SELECT page_id, CASE WHEN min(fb) IN ({", ".join(quoted(c) for c in dims.LANGS)}) THEN min(fb) ELSE 'eng' END AS fb FROM e GROUP BY page_id)
+SELECT p.page_id, coalesce(s.script, l.script, g.script, p.fb) AS script, {R("coalesce(s.ratio, l.ratio, g.ratio, 0.0)", 6)} AS ratio
+FROM pages p LEFT JOIN sure s ON s.page_id = p.page_id LEFT JOIN likely l ON l.page_id = p.page_id LEFT JOIN english g ON g.page_id = p.page_id"""
+
+
+@query(_PROBE)
+def script_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = O.probe_decision(rows(spark, PROBES, "page_id int, probe_lang string, probe_text string, fallback_lang string"), "page_id")
+    return found.withColumn("ratio", T.rounded(F.col("ratio"), 6))
+
+
+@query(f"SELECT v.name, v.ord, s.side, (s.fast = false OR v.in_fast) AND (v.name NOT IN ('upscaled_gray', 'upscaled_threshold') OR s.side < 2400) AS made, s.fast FROM {values(dims.VARIANTS, 'name, ord, in_fast, eval_ord')} v CROSS JOIN {values([(800, 0), (800, 1), (2400, 0)], 'side, f')} s0 CROSS JOIN LATERAL (SELECT s0.side AS side, s0.f = 1 AS fast) s")
+def variant_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = rows(spark, [(800, False), (800, True), (2400, False)], "side int, fast boolean")
+    small = ~F.col("name").isin(*dims.UPSCALED) | (F.col("side") < dims.UPSCALE_LIMIT)
+    return dims.table(spark, "variants").crossJoin(F.broadcast(sizes)).select("name", "ord", "side", "fast", ((~F.col("fast") | F.col("in_fast")) & small).alias("made"))
