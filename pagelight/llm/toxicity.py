@@ -27,7 +27,7 @@ from pagelight.llm import training
 
 SIZES = (3, 4, 5, 6)
 BINS = 1 << 20
-PER_CLASS = 4000
+PER_CLASS = 3000
 THRESHOLD = 0.3
 #: Text bytes that are hashed in one step.
 STEP = 1 << 20
@@ -75,31 +75,32 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def fit(rows: list[tuple[int, str, int]], prior: float, rounds: int = 200, alpha: float = 1.0, keep: int = 20_000, l2: float = 1e-3) -> Model:
+def fit(rows: list[tuple[int, str, int]], prior: float, rounds: int = 200, alpha: float = 1.0, keep: int = 6000, l2: float = 1e-3) -> Model:
     """rows: (id, text, label). prior: share of label 1 among all labelled documents, which the sample may not show."""
     y = np.array([r[2] for r in rows], float)
     if not len(y) or y.min() == y.max():
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return Model(np.zeros(BINS), math.log(p / (1 - p)))
-    bins = [bins_of(r[1]) for r in rows]
     n1, n0 = y.sum(), (1 - y).sum()
     c1, c0 = np.zeros(BINS), np.zeros(BINS)
-    for b, label in zip(bins, y, strict=True):
-        (c1 if label else c0)[b] += 1
+    for (_, text, _), label in zip(rows, y, strict=True):
+        (c1 if label else c0)[bins_of(text)] += 1
     ratio = np.log(((c1 + alpha) / (n1 + 2 * alpha)) / ((c0 + alpha) / (n0 + 2 * alpha)))
-    spread = np.sqrt(1 / (c1 + alpha) + 1 / (c0 + alpha))
-    strength = np.abs(ratio) / spread
+    strength = np.abs(ratio) / np.sqrt(1 / (c1 + alpha) + 1 / (c0 + alpha))
     strength[(c1 + c0) < 3] = 0
-    chosen = np.argsort(-strength, kind="stable")[:keep]
+    del c1, c0
+    chosen = np.argpartition(-strength, keep)[:keep]
     chosen = np.sort(chosen[strength[chosen] > 2])
-    slot = np.full(BINS, -1)
-    slot[chosen] = np.arange(len(chosen))
-    cols = [s[s >= 0] for s in (slot[b] for b in bins)]
+    wanted = np.zeros(BINS, bool)
+    wanted[chosen] = True
+    # a second pass over the texts keeps the chosen bins only
+    cols = [np.searchsorted(chosen, bins_of(text, wanted)).astype(np.int32) for _, text, _ in rows]
     lengths = np.array([len(c) for c in cols])
-    col = np.concatenate(cols) if lengths.sum() else np.empty(0, int)
-    row = np.repeat(np.arange(len(y)), lengths)
+    col = np.concatenate(cols)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), lengths)
+    del cols
     r = ratio[chosen]
-    value = r[col]
+    value = r[col].astype(np.float32)
     # classes weigh as they do among all labelled documents
     share = np.where(y == 1, prior / n1, (1 - prior) / n0)
     w, b = np.zeros(len(chosen)), math.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0
