@@ -29,7 +29,7 @@ def raw_gray(images: DataFrame) -> DataFrame:
     """
     head = F.decode(F.substring("content", 1, 64), "ISO-8859-1")
     parts = F.regexp_extract_all(head, F.lit(r"^P5\s(\d+)\s(\d+)\s255\s"), F.lit(0))
-    own = images.withColumn("h", F.element_at(parts, 1)).filter("h IS NOT NULL")
+    own = images.withColumn("h", F.get(parts, F.lit(0))).filter("h IS NOT NULL")
     own = own.withColumns({"w": F.regexp_extract("h", r"^P5\s(\d+)", 1).cast("int"), "n": F.length("h"), "bytes": F.hex("content")})
     spread = own.select("path", "w", "n", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("content") - F.col("n") - 1)).alias("i"))
     v = F.conv(F.substring(F.col("bytes"), (F.col("n") + F.col("i")) * 2 + 1, F.lit(2)), 16, 10).cast("int")
