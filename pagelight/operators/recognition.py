@@ -47,17 +47,17 @@ def line_consistency(words: Column, lines: Column, n: Column, h1: Column, h2: Co
     return F.when(n >= 4, base * 0.6 + F.greatest(F.lit(0.0), 1 - spread) * 0.4).otherwise(base)
 
 
-def target_match(target: str, shares: dict[str, Column]) -> Column:
-    """How well the text's script fits a target such as ``tam+eng``: the first part with a share of .30 settles it."""
-    best = F.lit(0.2)
-    for code in reversed([c.strip().lower() for c in target.split("+")]):
-        if code in shares:
-            best = F.when(shares[code] >= 0.30, 1.0).when(shares[code] >= 0.10, F.greatest(best, F.lit(0.7))).otherwise(best)
-    return best
+def target_match(target: Column, shares: dict[str, Column]) -> Column:
+    """How well the text's script fits a target such as ``tam+eng``: any part with a share of .30 is enough."""
+    known = F.create_map(*[x for code, share in shares.items() for x in (F.lit(code), share)])
+    found = F.transform(F.split(F.lower(target), r"\+"), lambda c: F.coalesce(known[F.trim(c)], F.lit(0.0)))
+    top = F.array_max(found)
+    return F.when(top >= 0.30, 1.0).when(top >= 0.10, 0.7).otherwise(0.2)
 
 
-def scored(pages: DataFrame, confidence: DataFrame, key: str, target: str = "eng") -> DataFrame:
-    """Composite score, 0 to 100, of recognised pages (key, text) with their word confidences."""
+def scored(pages: DataFrame, confidence: DataFrame, key: str, target: str | Column = "eng") -> DataFrame:
+    """Composite score, 0 to 100, of recognised pages (key, text) with their word confidences, for a target script or a column of them."""
+    target = F.lit(target) if isinstance(target, str) else target
     made = T.with_scripts(pages.join(confidence, key, "left"), "text", False, "share_").withColumns(T.statistics(F.col("text")))
     shares = T.shares_of("share_")
     made = made.fillna(0, ["n_valid", "avg_conf", "high_share", "n_heights", "h1", "h2"]).withColumns({"ws": T.words(F.col("text")), "runs": T.garbage_runs(F.col("text")), "primary": F.greatest(*shares.values())})
@@ -146,3 +146,38 @@ def probe_decision(evidence: DataFrame, key: str) -> DataFrame:
     )
     chosen = F.coalesce("first", "strongest", "english", F.struct(F.col("fallback").alias("script"), F.lit(0.0).alias("ratio")))
     return found.select(key, chosen.alias("c")).select(key, "c.script", "c.ratio")
+
+
+def process(pages: DataFrame, candidates: DataFrame, words: DataFrame, stop: float = EARLY_STOP, below: float = FALLBACK_BELOW) -> DataFrame:
+    """One result row for each page (page_id, status, script): the whole search from recognised words to sentences.
+
+    ``candidates`` has cand, page_id, ord, variant, psm, lang and is_fallback, ``words`` the words of each
+    cand. Pages of bad quality and pages without text give an error row. Only the winner is cleaned.
+    """
+    good = pages.filter("status = 'OK'")
+    own = candidates.join(good.select("page_id"), "page_id", "left_semi")
+    heard = words.join(own.select("cand"), "cand", "left_semi")
+    texts = reconstruct(heard, "cand").filter("text <> ''").join(own.select("cand", "lang"), "cand")
+    scores = scored(texts, word_confidence(heard, "cand"), "cand", F.col("lang")).select("cand", F.col("composite_score").alias("score"), F.col("word_confidence_avg").alias("average_confidence"))
+    ranked = own.join(scores, "cand").select("page_id", "ord", "cand", "variant", "psm", "lang", "is_fallback", "score", "average_confidence")
+    tried = evaluated(ranked.filter("NOT is_fallback"), "page_id", stop)
+    winner = best(with_fallback(tried, ranked.filter("is_fallback"), good, "page_id", below), "page_id")
+    read = winner.join(texts.select("cand", "text"), "cand").join(good.select("page_id", "script"), "page_id").withColumn("cleaned", T.clean(F.col("text")))
+    named = T.with_scripts(read, "cleaned", True, "share_").withColumn("language", T.detect_language(F.col("cleaned"), T.shares_of("share_"), F.col("script")))
+    done = named.select("page_id", "variant", "psm", "score", "average_confidence", "cleaned", "language", T.sentences(F.col("cleaned")).alias("sentences"))
+    out = pages.select("page_id", "status").join(done, "page_id", "left")
+    valid = F.col("variant").isNotNull()
+    error = F.when(F.col("status") != "OK", F.concat(F.lit("Image quality issue: "), "status")).when(~valid, "No readable text found on page")
+    return out.select(
+        "page_id",
+        valid.alias("is_valid"),
+        F.coalesce("language", F.lit("unknown")).alias("detected_language"),
+        F.when(valid, T.language_name(F.col("language"))).otherwise("Unknown").alias("detected_script"),
+        F.coalesce("score", F.lit(0.0)).alias("composite_score"),
+        F.coalesce("average_confidence", F.lit(0.0)).alias("average_confidence"),
+        F.coalesce("variant", F.lit("none")).alias("selected_variant"),
+        F.coalesce("psm", F.lit(0)).alias("selected_psm"),
+        F.coalesce("cleaned", F.lit("")).alias("cleaned_text"),
+        F.coalesce("sentences", F.array().cast("array<string>")).alias("sentences"),
+        error.alias("error_message"),
+    )

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pagelight.functions import dims
 from pagelight.functions import text as T
 from pagelight.operators import recognition as O
+from pagelight.operators.interaction import voice_for
 from pagelight.plans.registry import query, table
-from pagelight.plans.text import R, quoted, rows, sql_shares, sql_stats, sql_strip, values
+from pagelight.plans.text import R, quoted, rows, sql_clean, sql_language, sql_sentences, sql_shares, sql_stats, sql_strip, values
 
 
 def words(docs: DataFrame) -> DataFrame:
@@ -225,3 +226,40 @@ def variant_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = rows(spark, [(800, False), (800, True), (2400, False)], "side int, fast boolean")
     small = ~F.col("name").isin(*dims.UPSCALED) | (F.col("side") < dims.UPSCALE_LIMIT)
     return dims.table(spark, "variants").crossJoin(F.broadcast(sizes)).select("name", "ord", "side", "fast", ((~F.col("fast") | F.col("in_fast")) & small).alias("made"))
+
+
+# the whole search in fast mode: two candidates for each page, and a third as fallback
+
+_CANDS = [(0, "original_gray", 4, False), (1, "clahe", 4, False), (5, "original_gray", 3, True)]
+_IN = lambda block: block.replace("FROM documents", "FROM cdocs")
+_CSCORE = _IN(_score_sql(_ENG)).removeprefix("WITH ")
+
+
+@query(f"""WITH pages AS (SELECT doc_id AS page_id, CASE WHEN doc_id % 17 = 0 THEN 'IMAGE_TOO_BLURRY' ELSE 'OK' END AS status, text FROM documents),
+cdocs AS (SELECT page_id * 10 + o AS doc_id, text FROM pages, (VALUES (0), (1), (5)) t(o) WHERE status = 'OK' AND text IS NOT NULL),
+{_CSCORE.split("SELECT doc_id, floor((avg_conf)")[0]}, sc AS (SELECT doc_id // 10 AS page_id, doc_id % 10 AS ord, doc_id AS cand, composite_score AS score, word_confidence_avg AS ac FROM (SELECT doc_id, floor((avg_conf){_CSCORE.split("SELECT doc_id, floor((avg_conf)")[1]})),
+first_try AS (SELECT * FROM sc WHERE ord = 0 OR (ord = 1 AND page_id NOT IN (SELECT page_id FROM sc WHERE ord = 0 AND score >= 85))),
+every AS (SELECT * FROM first_try UNION ALL SELECT * FROM sc WHERE ord = 5 AND page_id NOT IN (SELECT page_id FROM first_try GROUP BY page_id HAVING max(score) >= 40)),
+win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord) AS rn FROM every) WHERE rn = 1),
+src AS (SELECT win.page_id, rebuilt.text FROM win JOIN rebuilt ON rebuilt.doc_id = win.cand),
+c AS ({sql_clean("src", "page_id", "text")}), s AS ({sql_sentences("c", "page_id", "cleaned")}), l AS (SELECT page_id, {sql_language("'eng'")} AS lang FROM ({sql_shares("c", "page_id", "cleaned", True)}))
+SELECT p.page_id, win.page_id IS NOT NULL AS is_valid, coalesce(lang, 'unknown') AS detected_language, CASE WHEN lang IS NULL THEN 'Unknown' ELSE coalesce(n.name, upper(lang)) END AS detected_script, coalesce(score, 0.0) AS composite_score, coalesce(ac, 0.0) AS average_confidence,
+CASE win.ord WHEN 0 THEN 'original_gray' WHEN 1 THEN 'clahe' WHEN 5 THEN 'original_gray' ELSE 'none' END AS selected_variant, CASE win.ord WHEN 5 THEN 3 WHEN 0 THEN 4 WHEN 1 THEN 4 ELSE 0 END AS selected_psm, md5(coalesce(cleaned, '')) AS cleaned_md5, coalesce(len(ss), 0) AS n_sentences,
+CASE WHEN status <> 'OK' THEN 'Image quality issue: ' || status WHEN win.page_id IS NULL THEN 'No readable text found on page' END AS error_message
+FROM pages p LEFT JOIN win ON win.page_id = p.page_id LEFT JOIN c ON c.page_id = p.page_id LEFT JOIN s ON s.page_id = p.page_id LEFT JOIN l ON l.page_id = p.page_id LEFT JOIN {values(list(dims.NAMES.items()), "code, name")} n ON n.code = lang""")
+def process_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.when(F.col("doc_id") % 17 == 0, "IMAGE_TOO_BLURRY").otherwise("OK").alias("status"), F.lit("eng").alias("script"))
+    kinds = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(v).alias("variant"), F.lit(p).alias("psm"), F.lit(f).alias("is_fallback")) for o, v, p, f in _CANDS])
+    spread = docs.select("doc_id", "text", F.explode(kinds).alias("k")).select(F.col("doc_id").alias("page_id"), (F.col("doc_id") * 10 + F.col("k.ord")).alias("cand"), "k.*", F.lit("eng").alias("lang"), "text")
+    heard = words(spread.select(F.col("cand").alias("doc_id"), "text")).withColumnRenamed("doc_id", "cand")
+    done = O.process(pages, spread.drop("text"), heard)
+    return done.select(*[c for c in done.columns if c not in ("cleaned_text", "sentences")], F.md5(F.col("cleaned_text").cast("binary")).alias("cleaned_md5"), F.size("sentences").alias("n_sentences"))
+
+
+@query(f"WITH c AS ({sql_clean('documents', 'doc_id', 'text')}), s AS ({sql_sentences('c', 'doc_id', 'cleaned')}), l AS (SELECT doc_id, {sql_language(chr(39) + 'eng' + chr(39))} AS lang FROM ({sql_shares('c', 'doc_id', 'cleaned', True)})) SELECT s.doc_id, unnest(range(len(ss))) AS pos, unnest(ss) AS sentence, CASE lang WHEN 'eng' THEN 'en-us' ELSE lang END AS voice, 175 AS speed FROM s JOIN l ON l.doc_id = s.doc_id")
+def speech_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What would be spoken, in order: a row for each sentence with its voice; blank sentences do not occur."""
+    cleaned = table(spark, sf_dir, "documents").select("doc_id", T.clean(F.col("text")).alias("cleaned"))
+    named = T.with_scripts(cleaned, "cleaned", True).withColumn("language", T.detect_language(F.col("cleaned"), T.shares_of(), F.lit("eng")))
+    return named.select("doc_id", F.posexplode(T.sentences(F.col("cleaned"))).alias("pos", "sentence"), voice_for(F.col("language"), True).alias("voice"), F.lit(175).alias("speed"))
