@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -88,14 +88,13 @@ def scored(pages: DataFrame, confidence: DataFrame, key: str, target: str | Colu
     )
 
 
-def candidate_grid(spark: SparkSession, pages: DataFrame, key: str, fast: bool, max_variants: int = 4, max_psms: int = 2) -> DataFrame:
+def candidate_grid(pages: DataFrame, key: str, fast: bool, max_variants: int = 4, max_psms: int = 2) -> DataFrame:
     """Every candidate of a page in evaluation order: variants, then modes, then the page's languages."""
     max_variants, max_psms = (2, 1) if fast else (max_variants, max_psms)
     variants = sorted((e, name) for name, _, in_fast, e in dims.VARIANTS if e and (in_fast or not fast))[:max_variants]
-    grid = [(v * 100 + p * 10, name, psm) for v, (_, name) in enumerate(variants) for p, psm in enumerate(dims.PSMS[:max_psms])]
-    grid_df = spark.createDataFrame(grid, "step int, variant string, psm int")  # 8 rows at most
+    cells = [F.struct(F.lit(v * 100 + p * 10).alias("step"), F.lit(name).alias("variant"), F.lit(psm).alias("psm")) for v, (_, name) in enumerate(variants) for p, psm in enumerate(dims.PSMS[:max_psms])]
     spread = pages.select(key, F.posexplode(T.candidate_languages(F.col("script"))).alias("lang_ord", "lang"))
-    return spread.crossJoin(F.broadcast(grid_df)).select(key, (F.col("step") + F.col("lang_ord")).alias("ord"), "variant", "psm", "lang")
+    return spread.select(key, "lang_ord", "lang", F.inline(F.array(*cells))).select(key, (F.col("step") + F.col("lang_ord")).alias("ord"), "variant", "psm", "lang")
 
 
 def evaluated(candidates: DataFrame, key: str, stop: float = EARLY_STOP) -> DataFrame:

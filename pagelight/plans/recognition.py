@@ -153,16 +153,16 @@ FALL = f"""fall AS (SELECT * FROM (SELECT *, {_SCORE} AS score FROM (SELECT doc_
 
 @query(_grid_sql(False))
 def candidate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.candidate_grid(spark, _pages(spark, sf_dir), "doc_id", False)
+    return O.candidate_grid(_pages(spark, sf_dir), "doc_id", False)
 
 
 @query(_grid_sql(True))
 def fast_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.candidate_grid(spark, _pages(spark, sf_dir), "doc_id", True)
+    return O.candidate_grid(_pages(spark, sf_dir), "doc_id", True)
 
 
 def _tried(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.evaluated(_scores(O.candidate_grid(spark, _pages(spark, sf_dir), "doc_id", False)), "doc_id")
+    return O.evaluated(_scores(O.candidate_grid(_pages(spark, sf_dir), "doc_id", False)), "doc_id")
 
 
 def _everything(spark: SparkSession, sf_dir: str) -> DataFrame:
