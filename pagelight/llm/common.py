@@ -44,6 +44,14 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def plan_bytes(df: DataFrame, text_col: str) -> int:
     """Catalyst's size estimate of ``df``, for a file scan the bytes of its files; half the text's bytes where Catalyst has none."""
     found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

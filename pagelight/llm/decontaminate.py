@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagelight.llm.common import ascii_lower, forget, written
+from pagelight.llm.common import ascii_lower, forget, fresh, written
 
 WINDOW, SHINGLE = 10, 5
 BROADCAST_ROWS = 500_000
@@ -113,8 +113,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no window of any item, with all their columns."""
-    found = hits(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"))
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_mark")), "left_anti")
+    found = hits(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias(fresh(docs, "doc_")), F.col("mark").alias(fresh(docs, "mark_")))
+    doc, mark = (found[c] for c in found.columns)
+    return docs.join(found, docs[id_col].eqNullSafe(doc) & (F.xxhash64(docs[text_col].cast("string")) == mark), "left_anti")
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -83,6 +83,7 @@ class Index:
                 if all(any(stretch[i : i + len(k)] == k for i in range(len(stretch))) for k in keys):
                     labels.add(label)
                     score = max(score, min(1.0, got))
+        score = math.floor(score * 1e6 + 0.5) / 1e6
         return {"n_words": len(words), "n_base": len(base), "first_word": min(base, default=None), "last_word": max(base, default=None), "base_labels": ",".join(sorted(base_labels)), "labels": ",".join(sorted(base_labels | labels)), "score": score}
 
 
@@ -124,3 +125,30 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([f[name] for f in found], kind) for name, kind in fields)], schema=schema)
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+
+
+def sql() -> str:
+    """The same rows from DuckDB, templates and all."""
+    rows = [(t, label, tuple(words_of(text.encode())), (), 1.0, True) for t, (text, label) in enumerate(BASE.items())]
+    rows += [(len(BASE) + t, label, tuple(words_of(text.encode())), tuple(keys), SHARE, False) for t, (label, text, keys) in enumerate(TEMPLATES)]
+    words = ", ".join(f"({t}, {at}, '{w.decode()}')" for t, _, ws, _, _, _ in rows for at, w in enumerate(ws))
+    kinds = ", ".join(f"({t}, '{label}', {len(ws)}, [{', '.join(repr(k) for k in keys)}]::VARCHAR[], {least}, {base})" for t, label, ws, keys, least, base in rows)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+tw(t, k, w) AS (VALUES {words}),
+tk(t, label, n, keys, least, base) AS (VALUES {kinds}),
+p AS (SELECT rid, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM d),
+hit AS (SELECT p.rid, p.pos, p.w FROM p WHERE p.w IN (SELECT w FROM tw)),
+idf AS (SELECT v.w, ln((n.n + 1) / (coalesce(f.df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT w FROM tw) v LEFT JOIN (SELECT w, count(DISTINCT rid) AS df FROM hit GROUP BY w) f ON f.w = v.w, (SELECT count(*) AS n FROM d) n),
+tot AS (SELECT t, sum(idf) AS total FROM tw JOIN idf ON idf.w = tw.w GROUP BY t),
+lined AS (SELECT h.rid, tw.t, h.pos - tw.k AS start, sum(idf.idf) AS got, count(*) AS m FROM hit h JOIN tw ON tw.w = h.w JOIN idf ON idf.w = h.w GROUP BY ALL),
+cand AS (SELECT l.rid, tk.label, tk.base, l.start, l.got / tot.total AS share, tk.keys, array_to_string(d.ws[greatest(l.start, 0) + 1:l.start + tk.n], ' ') AS stretch
+         FROM lined l JOIN tk ON tk.t = l.t JOIN tot ON tot.t = l.t JOIN d ON d.rid = l.rid WHERE CASE WHEN tk.base THEN l.m = tk.n ELSE l.got / tot.total >= tk.least - 1e-9 END),
+ok AS (SELECT * FROM cand WHERE base OR len(list_filter(keys, lambda k: NOT contains(' ' || stretch || ' ', ' ' || k || ' '))) = 0),
+agg AS (
+    SELECT rid, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+           string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(CASE WHEN base THEN 1.0 ELSE least(1.0, share) END) AS score FROM ok GROUP BY rid)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, floor(coalesce(score, 0.0) * 1000000.0 + 0.5) / 1000000.0 AS score
+FROM d LEFT JOIN agg ON agg.rid = d.rid
+"""

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelight.llm.common import ascii_lower, forget, written
+from pagelight.llm.common import ascii_lower, forget, fresh, written
 
 #: Fixed patterns. Possessive forms match what the plain ones match, without recursion; a match begins at the start of a run or where the last one ended.
 KINDS = {
@@ -155,9 +155,10 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` with every span replaced by its kind in angle brackets; overlapping spans by that of the first."""
-    found = spans(docs, id_col, text_col, **options).filter(F.size("all") > 0).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("all").alias("_all")).distinct()
+    found = spans(docs, id_col, text_col, **options).filter(F.size("all") > 0).select(*[F.col(c).alias(fresh(docs, f"{c}_")) for c in ("doc_id", "mark", "all")]).distinct()
+    doc, mark, every = (found[c] for c in found.columns)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    both = docs.join(found, docs[id_col].eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_mark")), "left")
+    both = docs.join(found, docs[id_col].eqNullSafe(doc) & (F.xxhash64(text) == mark), "left")
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in ORDER])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -166,7 +167,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
         return F.when(s.start >= acc.at, fresh).otherwise(F.struct(F.greatest(acc.at, s.stop).alias("at"), acc.out.alias("out")))
 
     rest = lambda acc: F.concat(F.array_join(acc.out, ""), F.substring(text, acc.at + 1, F.length(text)))
-    return both.withColumn(text_col, F.when(F.col("_all").isNull(), F.col(text_col)).otherwise(F.aggregate("_all", start, step, rest))).select(*docs.columns)
+    return both.select(*[F.when(every.isNull(), docs[c]).otherwise(F.aggregate(every, start, step, rest)).alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -64,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_shards_splitters": shards.SQL,
     "op4_substring_rabin_karp": substring.SQL,
     "op5_decontaminate_prefix": decontaminate.SQL,
+    "op10_license_index": license.sql(),
 }

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagelight.llm.common import forget, written
+from pagelight.llm.common import forget, fresh, written
 
 #: Sampled keys for each range.
 SAMPLES = 64
@@ -115,13 +115,32 @@ def assign(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the documents to one folder for each shard. Rows find their shard by id, text size and checksum."""
-    places = assign(docs, shards, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("crc").alias("_crc"), "shard").distinct()
-    raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    own = docs.withColumns({"_size0": F.octet_length(raw).cast("long") + 1, "_crc0": F.crc32(raw).cast("long")})
-    once = places.groupBy("_id", "_size", "_crc").agg(F.min("shard").alias("shard"))  # equal rows stay together
-    joined = own.join(once, own[id_col].eqNullSafe(F.col("_id")) & (F.col("_size0") == F.col("_size")) & (F.col("_crc0") == F.col("_crc")))
-    joined.drop("_id", "_size", "_crc", "_size0", "_crc0").write.partitionBy("shard").mode("overwrite").parquet(path)
+    own = {c: fresh(docs, f"{c}_") for c in ("id", "size", "crc")}
+    name = fresh(docs, "shard")
+    places = assign(docs, shards, id_col, text_col)
+    # equal rows stay together
+    once = places.groupBy(F.col("doc_id").alias(own["id"]), F.col("size").alias(own["size"]), F.col("crc").alias(own["crc"])).agg(F.min("shard").alias(name))
+    raw = F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary")
+    same = docs[id_col].cast("long").eqNullSafe(once[own["id"]]) & (F.octet_length(raw).cast("long") + 1 == once[own["size"]]) & (F.crc32(raw).cast("long") == once[own["crc"]])
+    docs.join(once, same).drop(*own.values()).write.partitionBy(name).mode("overwrite").parquet(path)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     return assign(docs).select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+SQL = r"""
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+b AS (
+    SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+           list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: CAST('0x' || p AS BIGINT)) AS bytes FROM documents),
+k AS (
+    SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) + 1 AS INT)])), 4294967295) AS crc FROM b, tab),
+o AS (
+    SELECT doc_id, size, crc, row_number() OVER (ORDER BY crc, doc_id NULLS FIRST, size) AS place,
+           sum(size) OVER (ORDER BY crc, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS run, sum(size) OVER () AS total FROM k),
+s AS (SELECT *, CAST(least(floor((2 * run - size) / (2 * total / 16)), 15) AS INT) AS shard FROM o)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM s
+"""

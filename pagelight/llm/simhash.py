@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelight.llm.common import forget, written
+from pagelight.llm.common import forget, fresh, written
 
 FAN = 8
 MAX_BUCKET = 4096
@@ -333,15 +333,15 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     doc_id are one document if their texts are equal; a null or empty text equals any other without words.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).filter("doc_id IS NOT NULL").withColumn("mark", F.xxhash64("text", F.reverse("text")))
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("fps", pa.list_(pa.int64()))])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).filter("doc_id IS NOT NULL").withColumn("mark", F.md5(F.col("text").cast("binary")))
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.string()), ("fps", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [word_fingerprints(x.as_py().lower().split(), seeds).view(np.int64).tolist() for x in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(fps, pa.list_(pa.int64()))], schema=schema)
 
-    marked = written(rows.mapInArrow(run, "doc_id long, mark long, fps array<long>"), "word-fingerprints")
+    marked = written(rows.mapInArrow(run, "doc_id long, mark string, fps array<long>"), "word-fingerprints")
     texts = written(marked.groupBy("mark").agg(F.min("doc_id").alias("node"), F.first("fps").alias("fps")), "texts")
     spread = texts.select("node", F.posexplode("fps").alias("table", "fp"))
     heads = written(spread.groupBy("table", "fp").agg(F.min("node").alias("node")), "heads")
@@ -374,5 +374,5 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose document has the smallest id of its group, with all their columns; rows without an id stay."""
-    gone = near_copies(docs, id_col=id_col, **options).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    gone = near_copies(docs, id_col=id_col, **options).filter("component_id < doc_id").select(F.col("doc_id").alias(fresh(docs, "gone")))
+    return docs.join(gone, docs[id_col] == gone[gone.columns[0]], "left_anti")

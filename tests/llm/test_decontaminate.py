@@ -68,3 +68,10 @@ def test_empty(spark):
     items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     assert decontaminate.digest(none, items).collect() == []
     assert [r.contaminated for r in decontaminate.digest(none.union(spark.createDataFrame([(1, "one two three")], none.schema)), items.limit(0)).collect()] == [False]
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "one two three", 5, 6, 7), (2, "other words", 5, 6, 7)], "doc_id long, text string, doc_ int, mark_ int, mark int")
+    items = spark.createDataFrame([(1, "two three", 9)], "item_id long, text string, win int")
+    kept = decontaminate.clean(docs, items)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "other words", 5, 6, 7)]

@@ -70,3 +70,10 @@ def test_empty_and_native(spark):
     assert pii.digest(none).collect() == []
     plan = pii.spans(spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "mail a@b.c now", 2, 3, 4), (None, None, 2, 3, 4), (1, "plain", 2, 3, 4)], "doc_id long, text string, all_ int, mark_ int, doc_id_ int")
+    red = pii.redact(df)
+    assert red.columns == df.columns
+    assert sorted((tuple(r) for r in red.collect()), key=str) == sorted([(1, "mail <EMAIL> now", 2, 3, 4), (None, None, 2, 3, 4), (1, "plain", 2, 3, 4)], key=str)

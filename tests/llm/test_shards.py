@@ -38,6 +38,10 @@ def test_digest_and_empty(spark, tmp_path):
     shards.write_shards(df, str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 400 and back.select("shard").distinct().count() == 4
+    own = df.selectExpr("doc_id", "text", "1 AS shard", "2 AS size_", "3 AS id_")
+    shards.write_shards(own, str(tmp_path / "clash"), 4)
+    back = spark.read.parquet(str(tmp_path / "clash"))
+    assert set(back.columns) == {*own.columns, "shard_"} and back.count() == 400
 
 
 def test_no_python_in_the_plan(spark):

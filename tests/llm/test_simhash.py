@@ -121,5 +121,5 @@ def test_near_copies(spark):
 
 def test_near_copies_of_odd_rows(spark):
     assert simhash.drop_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
-    df = spark.createDataFrame([(None, "a b"), (3, "a b"), (3, "a b"), (5, "a b")], "doc_id long, text string")
+    df = spark.createDataFrame([(None, "a b", 1), (3, "a b", 1), (3, "a b", 1), (5, "a b", 1)], "doc_id long, text string, gone int")
     assert sorted(str(r.doc_id) for r in simhash.drop_copies(df).collect()) == ["3", "3", "None"]
