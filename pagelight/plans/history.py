@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagelight.functions import dims
 from pagelight.functions import text as T
 from pagelight.operators import history as O
-from pagelight.plans.registry import query, table
+from pagelight.plans.registry import documents, query, table
 from pagelight.plans.text import R, quoted, report, rows, sql_clean, sql_sentences, values
 
 LANGS = ["en", "hi", "ta", "eng", "tam"]
@@ -109,7 +109,7 @@ def artifact_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH c AS ({sql_clean("documents", "doc_id", "text")}), s AS ({sql_sentences("c", "doc_id", "cleaned")})
 SELECT c.doc_id, 'Sentences: ' || len(ss) || chr(10) || array_to_string(list_transform(ss, lambda x, i: i || '. ' || x), chr(10)) AS report FROM c JOIN s ON s.doc_id = c.doc_id""")
 def console_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = report(table(spark, sf_dir, "documents"))
+    made = report(documents(spark, sf_dir))
     lines = F.transform("sentences", lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s))
     return made.select("doc_id", F.concat(F.lit("Sentences: "), F.size("sentences").cast("string"), F.lit("\n"), F.array_join(lines, "\n")).alias("report"))
 

@@ -9,7 +9,7 @@ from pagelight.functions import dims
 from pagelight.functions import text as T
 from pagelight.operators import recognition as O
 from pagelight.operators.interaction import voice_for
-from pagelight.plans.registry import query, table
+from pagelight.plans.registry import documents, query
 from pagelight.plans.text import R, quoted, rows, sql_clean, sql_language, sql_sentences, sql_shares, sql_stats, sql_strip, values
 
 
@@ -49,12 +49,12 @@ CONF = f"""conf AS (
 
 @query(f"WITH {W}, {REBUILT} SELECT doc_id, text FROM rebuilt")
 def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.reconstruct(words(table(spark, sf_dir, "documents")), "doc_id")
+    return O.reconstruct(words(documents(spark, sf_dir)), "doc_id")
 
 
 @query(f"WITH {W}, {CONF} SELECT doc_id, n_valid, {R('avg_conf', 6)} AS avg_conf, {R('high_share', 6)} AS high_share FROM conf")
 def word_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.word_confidence(words(table(spark, sf_dir, "documents")), "doc_id").select("doc_id", "n_valid", T.rounded(F.col("avg_conf"), 6).alias("avg_conf"), T.rounded(F.col("high_share"), 6).alias("high_share"))
+    return O.word_confidence(words(documents(spark, sf_dir)), "doc_id").select("doc_id", "n_valid", T.rounded(F.col("avg_conf"), 6).alias("avg_conf"), T.rounded(F.col("high_share"), 6).alias("high_share"))
 
 
 _ST = sql_stats("text")
@@ -67,7 +67,7 @@ def _consistency(wc: str, lc: str) -> str:
 
 @query(f"WITH {W}, {CONF}, st AS (SELECT doc_id, {_ST['word_count']} AS wc, {_ST['line_count']} AS lc FROM documents) SELECT st.doc_id, {R(_consistency('wc', 'lc'), 6)} AS line_consistency FROM st JOIN conf ON st.doc_id = conf.doc_id")
 def line_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     stats = T.statistics(F.col("text"))
     pages = docs.select("doc_id", stats["word_count"].alias("wc"), stats["line_count"].alias("lc"))
     made = pages.join(O.word_confidence(words(docs), "doc_id"), "doc_id")
@@ -86,7 +86,7 @@ _PEN = "CASE WHEN runs > 0 THEN least(1.0, least(1.0, sr * 2) + runs * 0.1) ELSE
 
 @query(f"SELECT doc_id, runs, {R(_PEN, 6)} AS symbol_penalty FROM (SELECT doc_id, {sql_runs('text')} AS runs, {_ST['symbol_ratio']} AS sr FROM documents)")
 def symbol_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = table(spark, sf_dir, "documents").select("doc_id", T.garbage_runs(F.col("text")).alias("runs"), T.statistics(F.col("text"))["symbol_ratio"].alias("sr"))
+    made = documents(spark, sf_dir).select("doc_id", T.garbage_runs(F.col("text")).alias("runs"), T.statistics(F.col("text"))["symbol_ratio"].alias("sr"))
     doubled = F.least(F.lit(1.0), F.col("sr") * 2)
     return made.select("doc_id", "runs", T.rounded(F.when(F.col("runs") > 0, F.least(F.lit(1.0), doubled + F.col("runs") * 0.1)).otherwise(doubled), 6).alias("symbol_penalty"))
 
@@ -112,13 +112,13 @@ _ENG = "CASE WHEN eng >= 0.30 THEN 1.0 WHEN eng >= 0.10 THEN 0.7 ELSE 0.2 END"
 
 @query(_score_sql(_ENG))
 def ocr_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = words(table(spark, sf_dir, "documents"))
+    found = words(documents(spark, sf_dir))
     return O.scored(O.reconstruct(found, "doc_id"), O.word_confidence(found, "doc_id"), "doc_id", "eng")
 
 
 @query(_score_sql(f"CASE WHEN hin >= 0.30 THEN 1.0 WHEN eng >= 0.30 THEN 1.0 WHEN hin >= 0.10 OR eng >= 0.10 THEN 0.7 ELSE 0.2 END"))
 def ocr_score_two_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = words(table(spark, sf_dir, "documents"))
+    found = words(documents(spark, sf_dir))
     return O.scored(O.reconstruct(found, "doc_id"), O.word_confidence(found, "doc_id"), "doc_id", "hin+eng")
 
 
@@ -127,7 +127,7 @@ def ocr_score_two_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     script = F.element_at(F.array(*map(F.lit, dims.LANGS)), (F.col("doc_id") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", script.alias("script"))
+    return documents(spark, sf_dir).select("doc_id", script.alias("script"))
 
 
 def _scores(grid: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ CASE win.ord WHEN 0 THEN 'original_gray' WHEN 1 THEN 'clahe' WHEN 5 THEN 'origin
 CASE WHEN status <> 'OK' THEN 'Image quality issue: ' || status WHEN win.page_id IS NULL THEN 'No readable text found on page' END AS error_message
 FROM pages p LEFT JOIN win ON win.page_id = p.page_id LEFT JOIN c ON c.page_id = p.page_id LEFT JOIN s ON s.page_id = p.page_id LEFT JOIN l ON l.page_id = p.page_id LEFT JOIN {values(list(dims.NAMES.items()), "code, name")} n ON n.code = lang""")
 def process_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     pages = docs.select(F.col("doc_id").alias("page_id"), F.when(F.col("doc_id") % 17 == 0, "IMAGE_TOO_BLURRY").otherwise("OK").alias("status"), F.lit("eng").alias("script"))
     kinds = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(v).alias("variant"), F.lit(p).alias("psm"), F.lit(f).alias("is_fallback")) for o, v, p, f in _CANDS])
     spread = docs.select("doc_id", "text", F.explode(kinds).alias("k")).select(F.col("doc_id").alias("page_id"), (F.col("doc_id") * 10 + F.col("k.ord")).alias("cand"), "k.*", F.lit("eng").alias("lang"), "text")
@@ -260,6 +260,6 @@ def process_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH c AS ({sql_clean('documents', 'doc_id', 'text')}), s AS ({sql_sentences('c', 'doc_id', 'cleaned')}), l AS (SELECT doc_id, {sql_language(chr(39) + 'eng' + chr(39))} AS lang FROM ({sql_shares('c', 'doc_id', 'cleaned', True)})) SELECT s.doc_id, unnest(range(len(ss))) AS pos, unnest(ss) AS sentence, CASE lang WHEN 'eng' THEN 'en-us' ELSE lang END AS voice, 175 AS speed FROM s JOIN l ON l.doc_id = s.doc_id")
 def speech_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What would be spoken, in order: a row for each sentence with its voice; blank sentences do not occur."""
-    cleaned = table(spark, sf_dir, "documents").select("doc_id", T.clean(F.col("text")).alias("cleaned"))
+    cleaned = documents(spark, sf_dir).select("doc_id", T.clean(F.col("text")).alias("cleaned"))
     named = T.with_scripts(cleaned, "cleaned", True).withColumn("language", T.detect_language(F.col("cleaned"), T.shares_of(), F.lit("eng")))
     return named.select("doc_id", F.posexplode(T.sentences(F.col("cleaned"))).alias("pos", "sentence"), voice_for(F.col("language"), True).alias("voice"), F.lit(175).alias("speed"))

@@ -26,6 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; dealt out over the cores where the stored files give too few parts to keep them busy."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores else docs
+
+
 def _load() -> None:
     from pagelight.plans import history, images, interaction, recognition, streams, text  # noqa: F401
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelight.functions import dims
 from pagelight.functions import text as T
-from pagelight.plans.registry import query, table
+from pagelight.plans.registry import documents, query
 
 R = lambda x, places: f"floor(({x}) * {10.0**places} + 0.5) / {10.0**places}"
 
@@ -144,13 +144,13 @@ _STATS = sql_stats("cleaned")
     FROM c JOIN s ON c.doc_id = s.doc_id JOIN l ON c.doc_id = l.doc_id LEFT JOIN {values([(a, b) for a, b in dims.NAMES.items()], "code, name")} n ON n.code = {sql_language("'eng'")}"""
 )
 def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = report(table(spark, sf_dir, "documents"))
+    made = report(documents(spark, sf_dir))
     return made.select("doc_id", F.md5(F.col("cleaned").cast("binary")).alias("cleaned_md5"), "language", T.language_name(F.col("language")).alias("language_name"), F.size("sentences").alias("n_sentences"), "word_count", "line_count", T.rounded(F.col("alpha_ratio"), 6).alias("alpha_ratio"))
 
 
 @query(sql_clean("documents", "doc_id", "text"))
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean(F.col("text")).alias("cleaned"))
+    return documents(spark, sf_dir).select("doc_id", T.clean(F.col("text")).alias("cleaned"))
 
 
 @query(sql_clean(values(NOISE[:5] + NOISE[7:], "id, text"), "id", "text"))
@@ -160,7 +160,7 @@ def clean_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH s AS ({sql_sentences('documents', 'doc_id', 'text')}) SELECT doc_id, unnest(range(len(ss))) AS pos, unnest(ss) AS sentence FROM s")
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
 @query(f"WITH s AS ({sql_sentences(values(SPOKEN, 'id, text'), 'id', 'text')}) SELECT id, unnest(range(len(ss))) AS pos, unnest(ss) AS sentence FROM s")
@@ -170,7 +170,7 @@ def sentences_indic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH s AS ({sql_sentences('documents', 'doc_id', 'text')}) SELECT doc_id, len(ss) AS n_sentences, coalesce(list_max(list_transform(ss, lambda x: length(x))), 0) AS longest FROM s")
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ss = table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).alias("ss"))
+    ss = documents(spark, sf_dir).select("doc_id", T.sentences(F.col("text")).alias("ss"))
     return ss.select("doc_id", F.size("ss").alias("n_sentences"), F.coalesce(F.array_max(F.transform("ss", F.length)), F.lit(0)).alias("longest"))
 
 
@@ -179,7 +179,7 @@ def _share_sql(marks: bool) -> str:
 
 
 def _shares(spark: SparkSession, sf_dir: str, marks: bool) -> DataFrame:
-    made = T.with_scripts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", marks).withColumn("dominant", T.dominant(T.shares_of()))
+    made = T.with_scripts(documents(spark, sf_dir).select("doc_id", "text"), "text", marks).withColumn("dominant", T.dominant(T.shares_of()))
     return made.select("doc_id", *[T.rounded(v, 6).alias(k) for k, v in T.shares_of().items()], "dominant")
 
 
@@ -201,17 +201,17 @@ def script_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {', '.join(R(v, 6) + f' AS {k}' for k, v in sql_stats('text').items())} FROM documents")
 def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", *[T.rounded(v, 6).alias(k) for k, v in T.statistics(F.col("text")).items()])
+    return documents(spark, sf_dir).select("doc_id", *[T.rounded(v, 6).alias(k) for k, v in T.statistics(F.col("text")).items()])
 
 
 @query(r"SELECT doc_id, length(regexp_replace(text, '[^\p{L}\p{M}]', '', 'g')) AS letters FROM documents")
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.chars(F.col("text"), r"\p{L}\p{M}").alias("letters"))
+    return documents(spark, sf_dir).select("doc_id", T.chars(F.col("text"), r"\p{L}\p{M}").alias("letters"))
 
 
 @query(f"SELECT id, {sql_language('fallback')} AS language FROM ({sql_shares(values(LANGUAGE, 'id, text, fallback'), 'id, fallback', 'text', True)}) UNION ALL SELECT doc_id + 100, {sql_language(chr(39) + 'eng' + chr(39))} FROM ({sql_shares('documents', 'doc_id', 'text', True)})")
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = rows(spark, LANGUAGE, "id long, text string, fallback string").unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 100).alias("id"), "text", F.lit("eng").alias("fallback")))
+    both = rows(spark, LANGUAGE, "id long, text string, fallback string").unionByName(documents(spark, sf_dir).select((F.col("doc_id") + 100).alias("id"), "text", F.lit("eng").alias("fallback")))
     return T.with_scripts(both, "text", True).select("id", T.detect_language(F.col("text"), T.shares_of(), F.col("fallback")).alias("language"))
 
 
@@ -220,7 +220,7 @@ _PRIMARY = f"CASE WHEN {BLANK} THEN fallback WHEN {TOP} >= 0.25 THEN {MAIN} ELSE
 
 @query(f"SELECT id, {_PRIMARY} AS language FROM ({sql_shares(values(LANGUAGE, 'id, text, fallback'), 'id, fallback', 'text', False)}) UNION ALL SELECT doc_id + 100, {_PRIMARY.replace('fallback', chr(39) + 'eng' + chr(39))} FROM ({sql_shares('documents', 'doc_id', 'text', False)})")
 def primary_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = rows(spark, LANGUAGE, "id long, text string, fallback string").unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 100).alias("id"), "text", F.lit("eng").alias("fallback")))
+    both = rows(spark, LANGUAGE, "id long, text string, fallback string").unionByName(documents(spark, sf_dir).select((F.col("doc_id") + 100).alias("id"), "text", F.lit("eng").alias("fallback")))
     return T.with_scripts(both, "text", False).select("id", T.primary_language(F.col("text"), T.shares_of(), F.col("fallback")).alias("language"))
 
 
