@@ -148,7 +148,7 @@ def debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAID = [
     (1, "", None, None),
     (2, "Hey Vision, start reading", None, None),
-    (3, "hey vision voice", None, None),
+    (3, "hey vision", None, None),
     (4, "continue reading please", None, None),
     (5, "stop english", None, None),
     (6, "STOP TALKING", None, None),
