@@ -123,3 +123,16 @@ def test_near_copies_of_odd_rows(spark):
     assert simhash.drop_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     df = spark.createDataFrame([(None, "a b", 1), (3, "a b", 1), (3, "a b", 1), (5, "a b", 1)], "doc_id long, text string, gone int")
     assert sorted(str(r.doc_id) for r in simhash.drop_copies(df).collect()) == ["3", "3", "None"]
+
+
+def groups_of(spark, rows, parts=4):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    return {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+
+
+def test_near_copies_behind_a_reordered_head(spark):
+    """The smallest id holds the words of its neighbours in another order: same bag of words, no common shingle."""
+    words = [f"w{i}" for i in range(300)]
+    mixed = random.Random(1).sample(words, 300)
+    rows = [(0, " ".join(mixed)), (1, " ".join(words)), (2, " ".join(words[:150] + ["new"] + words[151:]))]
+    assert groups_of(spark, rows) == brute_near(rows) == {0: 0, 1: 1, 2: 1}
