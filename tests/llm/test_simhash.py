@@ -136,3 +136,17 @@ def test_near_copies_behind_a_reordered_head(spark):
     mixed = random.Random(1).sample(words, 300)
     rows = [(0, " ".join(mixed)), (1, " ".join(words)), (2, " ".join(words[:150] + ["new"] + words[151:]))]
     assert groups_of(spark, rows) == brute_near(rows) == {0: 0, 1: 1, 2: 1}
+
+
+def test_near_copies_between_false_candidates(spark):
+    """Reordered texts lie between two near copies by their words: candidates that fail must not stand in for the pair."""
+    rng = random.Random(2)
+    rows = []
+    for k in range(8):
+        words = [f"w{k}x{i}" for i in range(300)]
+        copy = [f"n{k}x{i}" if i % 60 == 30 else w for i, w in enumerate(words)]
+        rows += [(10_000 + k, " ".join(words)), (20_000 + k, " ".join(copy))]
+        for i in range(40):
+            mixed = [rng.choice(x) for x in zip(words, copy, strict=True)]
+            rows.append((100 * k + i, " ".join(rng.sample(mixed, 300))))
+    assert groups_of(spark, rows) == brute_near(rows)
