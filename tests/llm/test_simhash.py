@@ -150,3 +150,15 @@ def test_near_copies_between_false_candidates(spark):
             mixed = [rng.choice(x) for x in zip(words, copy, strict=True)]
             rows.append((100 * k + i, " ".join(rng.sample(mixed, 300))))
     assert groups_of(spark, rows) == brute_near(rows)
+
+
+def test_near_copies_with_blocks(spark):
+    """Headers added and tails cut, at similarities about the limit."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(40):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(200)]
+        block = [f"v{rng.randrange(10**6)}" for _ in range(rng.choice([20, 30, 40, 45, 49, 55]))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(block + words if i % 2 else words[: 200 - len(block) * 4 // 5]))]
+    want = brute_near(rows)
+    assert groups_of(spark, rows) == want and 40 < len(set(want.values())) < 80
