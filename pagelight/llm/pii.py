@@ -1,13 +1,15 @@
 """Personal data: pattern matches, widened by bootstrapped contextual extraction, on DataFrame functions only.
 
-Base spans come from fixed patterns. They seed the bootstrap: every identifier-like token (a run of
-non-blank characters with a digit) stands between a left and a right word, its lexical patterns. In each
-round a pattern's confidence is the share of its occurrences whose token is known (seeded by a base span
-or discovered before), and it counts once ``support`` distinct known tokens back it; a token's confidence
-is one less the product of what its patterns doubt, and tokens at ``accept`` or more are known in the next
-round. At last every identifier-like token (``MIN_CHARS`` characters and ``MIN_DIGITS`` digits at least)
-beside a pattern of high confidence is a span of kind ``id``. Patterns and tokens are counted where they
-stand, so a frequent word is added up before it is shuffled, and whatever grows stays in Spark.
+Base spans come from fixed patterns. They seed the bootstrap: every base span, of any kind and as a whole,
+and every identifier-like token outside them (a run of non-blank characters with a digit, an at sign, an
+underscore or an inner dot or bracket) stands between a left and a right word, its lexical patterns. In each
+round a pattern's confidence is the share of its occurrences that are known (base spans, or discovered
+before), and it counts once ``support`` distinct known ones back it; a token's confidence is one less the
+product of what its patterns doubt. Tokens at ``accept`` or more with ``MIN_CHARS`` characters and
+``MIN_DIGITS`` digits at least are known in the next round, until a round finds no more; weaker ones, such
+as a bare number, teach nothing elsewhere. At last every identifier-like token beside a pattern of high
+confidence is a span of kind ``id``. Patterns and tokens are counted where they stand, so a frequent word
+is added up before it is shuffled, and whatever grows stays in Spark.
 
 Defined results: a null text is the empty one; equal rows each give a row; rows that share a doc_id but
 not the text are apart; an empty table gives an empty result; other columns of the input are ignored.
@@ -31,9 +33,10 @@ KINDS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 ORDER = [*KINDS, "id"]
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+MARK = r"(?:[0-9@_]|(?<=[A-Za-z0-9])[.\[(](?=[A-Za-z0-9]))"
+TOKEN = rf"(?<!\S)\S*?{MARK}\S*+"
 MIN_CHARS, MIN_DIGITS = 6, 4
-SUPPORT, CONFIDENT, ACCEPT, ROUNDS = 3, 0.8, 0.9, 2
+SUPPORT, CONFIDENT, ACCEPT = 3, 0.8, 0.9
 CONTEXT = 64
 
 
@@ -85,60 +88,67 @@ def joined(spans: Column) -> Column:
 
 
 def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, mark, email, ip, card, phone, base, tokens): spans by kind and the identifier-like tokens with their contexts."""
+    """(doc_id, mark, email, ip, card, phone, base, tokens): spans by kind and the base spans and identifier-like tokens with their contexts."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     rows = rows.withColumns({k: base_spans(F.col("text"), k) for k in KINDS})
     rows = rows.withColumn("base", F.concat(*[F.col(k) for k in KINDS]))
     found = matches(F.col("text"), TOKEN)
 
-    def token(s: Column) -> Column:
-        core = F.regexp_extract(s.what, r"[A-Za-z0-9](?:.*[A-Za-z0-9])?", 0)
-        begin = s.start + F.length(F.regexp_extract(s.what, r"^[^A-Za-z0-9]*", 0))
-        end = begin + F.length(core)
-        left = F.substring(F.col("text"), F.greatest(F.lit(1), s.start - CONTEXT + 1), F.least(F.lit(CONTEXT), s.start))
-        right = F.substring(F.col("text"), s.stop + 1, F.lit(CONTEXT))
-        word = lambda c, p: F.nullif(ascii_lower(F.regexp_extract(c, p, 1)), F.lit(""))
+    word = lambda c, p: F.nullif(ascii_lower(F.regexp_extract(c, p, 1)), F.lit(""))
+
+    def place(begin: Column, end: Column, what: Column, low: Column, high: Column, known: Column) -> Column:
+        left = F.substring(F.col("text"), F.greatest(F.lit(1), low - CONTEXT + 1), F.least(F.lit(CONTEXT), low))
+        right = F.substring(F.col("text"), high + 1, F.lit(CONTEXT))
         return F.struct(
             begin.alias("start"),
             end.alias("stop"),
-            core.alias("what"),
+            what.alias("what"),
             word(left, r"(\p{L}+)[^\p{L}\p{N}\n]*$").alias("left"),
             word(right, r"^[^\p{L}\p{N}\n]*(\p{L}+)(?![\p{L}\p{N}])").alias("right"),
-            F.exists("base", lambda b: (b.start < end) & (b.stop > begin)).alias("known"),
+            known.alias("known"),
         )
 
-    like = lambda s: (F.length(s.what) >= MIN_CHARS) & (F.length(F.regexp_replace(s.what, "[^0-9]", "")) >= MIN_DIGITS)
+    def token(s: Column) -> Column:
+        core = F.regexp_extract(s.what, r"[A-Za-z0-9](?:.*[A-Za-z0-9])?", 0)
+        begin = s.start + F.length(F.regexp_extract(s.what, r"^[^A-Za-z0-9]*", 0))
+        return place(begin, begin + F.length(core), core, s.start, s.stop, F.lit(False))
+
+    inside = lambda s: F.exists("base", lambda b: (b.start < s.stop) & (b.stop > s.start))
+    covered = lambda b: F.exists("base", lambda c: (c.start <= b.start) & (c.stop >= b.stop) & ((c.stop - c.start > b.stop - b.start) | (c.ord < b.ord)))
+    whole = F.transform(F.filter("base", lambda b: ~covered(b)), lambda b: place(b.start, b.stop, F.substring(F.col("text"), b.start + 1, b.stop - b.start), b.start, b.stop, F.lit(True)))
     none = F.array().cast("array<struct<start:int,stop:int,what:string,left:string,right:string,known:boolean>>")
-    tokens = F.when(F.col("text").rlike("[0-9]"), F.filter(F.transform(F.filter(found, like), token), like)).otherwise(none)
+    others = F.filter(F.transform(F.filter(found, lambda s: ~inside(s)), token), lambda t: t.what.rlike(MARK))
+    tokens = F.when(F.col("text").rlike(MARK), F.concat(whole, others)).otherwise(none)
     return rows.withColumn("tokens", tokens).drop("text")
 
 
-def confident(edges: DataFrame, known: DataFrame, rounds: int, support: int, confident_: float, accept: float) -> DataFrame:
-    """High-confidence patterns of the graph ``edges`` (pattern, what, n), seeded by ``known`` (what)."""
-    made = []
-    for last in range(rounds):
+def confident(edges: DataFrame, known: DataFrame, support: int, confident_: float, accept: float) -> DataFrame:
+    """High-confidence patterns of the graph ``edges`` (pattern, what, n), seeded by ``known`` (what), at the fixed point of the rounds."""
+    strong = (F.length("what") >= MIN_CHARS) & (F.length(F.regexp_replace("what", "[^0-9]", "")) >= MIN_DIGITS)
+    known = written(known, "pii-known")
+    while True:
         rated = edges.join(known.withColumn("is", F.lit(True)), "what", "left")
         patterns = rated.groupBy("pattern").agg((F.sum(F.when(F.col("is"), F.col("n")).otherwise(0)) / F.sum("n")).alias("conf"), F.count(F.when(F.col("is"), 1)).alias("support"))
         patterns = written(patterns.filter((F.col("support") >= support) & (F.col("conf") >= confident_)).select("pattern", "conf"), "pii-patterns")
-        if last == rounds - 1:
-            break
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("conf")))))
-        more = edges.join(patterns, "pattern").groupBy("what").agg((1 - doubt).alias("conf")).filter(F.col("conf") >= accept).select("what")
-        known = written(known.unionByName(more).distinct(), "pii-known")
-        made += [patterns, known]
-    for df in made:
-        forget(df)
-    return patterns.select("pattern")
+        more = edges.filter(strong).join(patterns, "pattern").groupBy("what").agg((1 - doubt).alias("conf")).filter(F.col("conf") >= accept).select("what")
+        more = written(more.join(known, "what", "left_anti"), "pii-more")
+        if more.isEmpty():
+            return patterns.select("pattern")
+        grown = written(known.unionByName(more), "pii-known")
+        for df in (known, more, patterns):
+            forget(df)
+        known = grown
 
 
-def found_by_context(rows: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident_: float = CONFIDENT, accept: float = ACCEPT) -> DataFrame:
+def found_by_context(rows: DataFrame, support: int = SUPPORT, confident_: float = CONFIDENT, accept: float = ACCEPT) -> DataFrame:
     """(doc_id, mark, extra): spans that the bootstrap adds. ``rows`` come from ``marked``."""
     places = written(rows.select("doc_id", "mark", F.explode("tokens").alias("t")).distinct().select("doc_id", "mark", "t.*"), "pii-tokens")
     beside = places.select("doc_id", "mark", "start", "stop", "what", "known", F.explode(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("R "), "right"))).alias("pattern")).filter("pattern IS NOT NULL")
     edges = written(beside.groupBy("pattern", "what").agg(F.count("*").alias("n")), "pii-edges")
     seeds = places.filter("known").select("what").distinct()
-    patterns = confident(edges, seeds, rounds, support, confident_, accept)
+    patterns = confident(edges, seeds, support, confident_, accept)
     new = beside.filter(~F.col("known")).join(patterns, "pattern", "left_semi").select("doc_id", "mark", "start", "stop").distinct()
     ord_ = F.lit(ORDER.index("id"))
     return new.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", ord_.alias("ord"), "stop")).alias("extra"))

@@ -77,3 +77,20 @@ def test_clashing_names(spark):
     red = pii.redact(df)
     assert red.columns == df.columns
     assert sorted((tuple(r) for r in red.collect()), key=str) == sorted([(1, "mail <EMAIL> now", 2, 3, 4), (None, None, 2, 3, 4), (1, "plain", 2, 3, 4)], key=str)
+
+
+def test_every_kind_of_base_span_teaches_its_context(spark):
+    rows = [(i, f"please contact a{chr(97 + i)}@c.de today") for i in range(5)] + [(10, "please contact jane_doe today"), (11, "please contact me today")]
+    rows += [(20 + i, f"now dial +44 20 7946 095{i} quickly") for i in range(5)] + [(30, "now dial 08-15 quickly"), (31, "it is 08-15 or jane_doe here")]
+    got = {r.doc_id: r.spans for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[10] == "id:15:23" and got[11] == "" and got[30] == "id:9:14" and got[31] == ""
+
+
+def test_bootstrap_reaches_its_fixed_point(spark):
+    rows = [f"alpha 10.0.0.{i}" for i in range(40)]
+    for word, seen in (("alpha", "A"), ("beta", "B"), ("gamma", "C")):
+        rows += [f"{word} {seen}-10000{i}" for i in range(3)]
+    rows += [f"{word} {seen}-10000{i}" for word, seen in (("beta", "A"), ("gamma", "B"), ("delta", "C")) for i in range(3) for _ in range(10)]
+    rows.append("delta Z-777777")
+    got = {r.doc_id: r.spans for r in pii.digest(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got[len(rows) - 1] == "id:6:14"
