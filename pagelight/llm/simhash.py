@@ -382,7 +382,12 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     count = texts.agg(F.sum(F.size("keys"))).first()[0] or 0
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(count / 1_000_000))
     spread = texts.select(F.explode("keys").alias("key"), "id", "size")
-    shared = written(spread.repartition(tasks, "key").mapInArrow(shared_only, "key long, id long, size long"), "shared-keys")
+    every = written(spread.repartition(tasks, "key").mapInArrow(shared_only, "key long, id long, size long"), "shared-keys")
+    # keys of the same texts propose the same pairs: one of them will do (128 bits of the members' hashes)
+    member = [F.xxhash64("id"), F.xxhash64("id", F.lit(1))]
+    one = every.groupBy("key").agg(F.count("*").alias("n"), *[F.bit_xor(h).alias(f"h{i}") for i, h in enumerate(member)]).groupBy("n", "h0", "h1").agg(F.min("key").alias("key")).select("key")
+    shared = written(every.join(one, "key", "left_semi"), "keys")
+    forget(every)
     names = written(texts.select("id", "node", "mark"), "names")
     forget(texts)
     wanted = names.join(shared.select("id").distinct(), "id", "left_semi")
