@@ -253,13 +253,14 @@ def components(pairs: DataFrame) -> DataFrame:
     """(node, component) of every node in ``pairs`` (a, b): the smallest node that can be reached. Large-star and small-star rounds."""
     edges, before = pairs, None
     while True:
+        # the smallest neighbours are written first: a join of two plain exchanges, which AQE splits where a hub has most of the rows
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).filter(F.col("a") != F.col("b")).distinct()
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select("v", "m").unionByName(low.select(F.col("u").alias("v"), "m")).filter(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "smallest")
+        large = both.filter(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter(F.col("a") != F.col("b")).distinct()
         new = written(small, "components")
+        forget(low)
         state = new.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if before is not None:
             forget(edges)
@@ -280,170 +281,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, max_bu
 def digest(docs: DataFrame) -> DataFrame:
     done = near_duplicates(docs)
     return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-# near copies by the shingles that they share, for the corpus pipeline
-
-SIMILARITY, WORDS = 0.8, 5
-#: Texts and shingles that set the order of the keys. They bear on the cost only, any order finds the same pairs.
-ORDER_TEXTS, ORDER_KEYS = 20_000, 200_000
-
-
-def prefix_keys(text: bytes, shingle: int, similarity: float, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
-    """(keys, size): the hashes that stand first among those of the text's shingles, and their number; texts of ``similarity`` share a key.
-
-    The order is by ``rank`` for the hashes in ``common`` (ascending), zero for all others, then by hash.
-    Sets x and y alike share ``similarity * max(|x|, |y|)`` members at least, so the first of these is
-    among the first ``|x| - ceil(similarity * |x|) + 1`` of x, and likewise of y.
-    """
-    own = np.unique(fingerprint_words(text.lower().split(), shingle))
-    n = len(own)
-    if not n:
-        return np.zeros(1, np.uint64), 0
-    if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        own = own[np.argsort(np.where(common[at] == own, rank[at], 0), kind="stable")]
-    return own[: n - max(1, math.ceil(similarity * n - 1e-9)) + 1], n
-
-
-def shingle_set(text: bytes | None, n: int) -> set[bytes]:
-    words = (text or b"").lower().split()
-    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
-
-
-def similar(a: bytes | None, b: bytes | None, n: int, least: float) -> bool:
-    """Whether the shingle sets' Jaccard similarity is ``least`` or more; texts without words are alike."""
-    x, y = shingle_set(a, n), shingle_set(b, n)
-    return len(x & y) >= least * len(x | y) - 1e-12
-
-
-def key_order(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, rank): the shingles that stand in several of a sample of the texts, ascending by hash."""
-    n = rows.count()
-    some = rows.filter(F.pmod(F.xxhash64("mark"), F.lit(max(1, n // ORDER_TEXTS))) == 0).dropDuplicates(["mark"]).select("text")
-    schema = pa.schema([("key", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column("text").cast(pa.binary()):
-                own = np.unique(fingerprint_words(x.as_py().lower().split(), shingle))
-                for at in range(0, len(own), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(own[at : at + (1 << 16)].view(np.int64))], schema=schema)
-
-    often = some.mapInArrow(run, "key long").groupBy("key").count().filter("count > 2").orderBy(F.desc("count"), "key").limit(ORDER_KEYS).toArrow()
-    keys = often.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], often.column("count").to_numpy()[order]
-
-
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of every document with an id: documents linked by equal texts or by near copies.
-
-    Near copies share ``similarity`` of their sets of ``shingle``-word shingles. Two such texts share one of
-    their first shingles in a fixed order of all (``prefix_keys``), so the texts of one key are the candidates
-    and no pair is missed. Every link is verified on the whole texts before it joins anything: first each text
-    with the head of each of its keys, a new head each round while a tenth of them join, then every pair of a key
-    that is not joined yet. Rows that repeat a doc_id are one document; a null or empty text equals any
-    other without words. Keys are 64-bit hashes: equal hashes of different shingles cost a comparison.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).filter("doc_id IS NOT NULL").withColumn("mark", F.md5(F.col("text").cast("binary")))
-    common = docs.sparkSession.sparkContext.broadcast(key_order(rows, shingle))
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.string()), ("size", pa.int64()), ("keys", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                got = [prefix_keys(x.as_py(), shingle, similarity, *common.value) for x in part.column("text").cast(pa.binary())]
-                ends = pa.array(np.cumsum([0] + [len(k) for k, _ in got]), pa.int32())
-                keys = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([k for k, _ in got]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array([n for _, n in got], pa.int64()), keys], schema=schema)
-
-    marked = written(rows.mapInArrow(run, "doc_id long, mark string, size long, keys array<long>"), "prefix-keys")
-    texts = marked.groupBy("mark").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    texts = written(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
-    ids = written(marked.select("doc_id", "mark").distinct().join(texts.select("mark", "node", "id"), "mark").select("doc_id", "node"), "ids")
-    forget(marked)
-    kept = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int64())])
-
-    def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(c).to_numpy() for c in kept.names] for b in batches]
-        if got:
-            key, own, size = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            same = np.r_[False, key[1:] == key[:-1]]
-            twice = np.flatnonzero(same | np.r_[same[1:], False])
-            for at in range(0, len(twice), 1 << 16):
-                here = twice[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[here]), pa.array(own[order[here]]), pa.array(size[order[here]])], schema=kept)
-
-    count = texts.agg(F.sum(F.size("keys"))).first()[0] or 0
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(count / 1_000_000))
-    spread = texts.select(F.explode("keys").alias("key"), "id", "size")
-    every = written(spread.repartition(tasks, "key").mapInArrow(shared_only, "key long, id long, size long"), "shared-keys")
-    # keys of the same texts propose the same pairs: one of them will do (128 bits of the members' hashes)
-    member = [F.xxhash64("id"), F.xxhash64("id", F.lit(1))]
-    one = every.groupBy("key").agg(F.count("*").alias("n"), *[F.bit_xor(h).alias(f"h{i}") for i, h in enumerate(member)]).groupBy("n", "h0", "h1").agg(F.min("key").alias("key")).select("key")
-    shared = written(every.join(one, "key", "left_semi"), "keys")
-    forget(every)
-    names = written(texts.select("id", "node", "mark"), "names")
-    forget(texts)
-    wanted = names.join(shared.select("id").distinct(), "id", "left_semi")
-    held = rows.join(wanted.withColumnRenamed("mark", "own"), (F.col("doc_id") == F.col("node")) & (F.col("mark") == F.col("own"))).select("id", "text")
-    held = written(held.dropDuplicates(["id"]), "candidate-texts")
-    pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (batch.column(c).cast(pa.binary()) for c in ("text_a", "text_b"))
-            good = pa.array([similar(s.as_py(), t.as_py(), shingle, similarity) for s, t in zip(x, y, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], schema=pair)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
-
-    alike = F.least("size", "other") >= similarity * F.greatest("size", "other") - 1e-9
-    no_pairs = docs.sparkSession.createDataFrame([], "a long, b long")
-    sure, tried, turn = no_pairs, no_pairs, 0
-    grouped = shared.withColumn("comp", F.col("id"))
-    while True:
-        # what is left of a key: the members outside its largest component, and all that they may still be alike to
-        parts = grouped.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        open_ = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main")
-        rest = written(grouped.join(open_, "key"), "open-keys")
-        if turn is None:
-            small = rest.filter("comp <> main").select("key", "id", "size", "comp")
-            other = rest.select("key", F.col("id").alias("id_"), F.col("size").alias("other"), F.col("comp").alias("comp_"))
-            found = small.join(other, "key").filter(F.col("comp") != F.col("comp_")).filter(alike)
-        else:
-            head = rest.groupBy("key").agg(F.min_by(F.struct("id", "size", "comp"), F.struct(F.xxhash64("comp", F.lit(turn)), F.xxhash64("id", F.lit(turn)))).alias("h"))
-            found = rest.join(head, "key").filter(F.col("comp") != F.col("h.comp")).select("id", "size", F.col("h.id").alias("id_"), F.col("h.size").alias("other")).filter(alike)
-        pairs = found.select(F.greatest("id", "id_").alias("a"), F.least("id", "id_").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "candidate-pairs")
-        more = written(verified(pairs), "near-pairs")
-        forget(rest)
-        sure = sure.unionByName(more)
-        if turn is None:
-            break
-        tried = tried.unionByName(pairs)
-        turn = turn + 1 if more.count() * 10 > pairs.count() else None
-        if more.isEmpty():
-            continue
-        comp = components(sure)
-        grouped = shared.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).select("key", "id", "size", "comp")
-    # one doc_id may stand under several texts: it joins their groups
-    name = names.select("id", "node")
-    sure = sure.join(name.select(F.col("id").alias("a"), F.col("node").alias("x")), "a").join(name.select(F.col("id").alias("b"), F.col("node").alias("y")), "b")
-    sure = sure.filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    edges = sure.unionByName(ids.filter("doc_id > node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    comp = components(edges)
-    return ids.select("doc_id").distinct().join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose document has the smallest id of its group, with all their columns; rows without an id stay."""
-    gone = near_copies(docs, id_col=id_col, **options).filter("component_id < doc_id").select(F.col("doc_id").alias(fresh(docs, "gone")))
-    return docs.join(gone, docs[id_col] == gone[gone.columns[0]], "left_anti")

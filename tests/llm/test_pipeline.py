@@ -4,7 +4,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from pagelight.llm import bpe, quality, simhash
+from pagelight.llm import bpe, copies, quality
 
 SYL = ["ta", "ro", "mi", "len", "sto", "ver", "kan", "du", "pel", "or"]
 
@@ -57,7 +57,7 @@ def test_stages_against_plain_versions(spark, folder):
     rows = [d for d in docs if model.score(d[1]) >= quality.THRESHOLD]
     groups = []
     for d in sorted((d for d in rows if d[0] is not None), key=lambda d: d[0]):
-        near = [g for g in groups if any(simhash.similar((d[1] or "").encode(), (x[1] or "").encode(), 5, 0.8) for x in g)]
+        near = [g for g in groups if any(copies.similar((d[1] or "").encode(), (x[1] or "").encode(), 5, 0.8) for x in g)]
         merged = [d] + [x for g in near for x in g]
         groups = [g for g in groups if g not in near] + [merged]
     keep = {min(x[0] for x in g) for g in groups}
