@@ -9,7 +9,12 @@ product of what its patterns doubt. Tokens at ``accept`` or more with ``MIN_CHAR
 ``MIN_DIGITS`` digits at least are known in the next round, until a round finds no more; weaker ones, such
 as a bare number, teach nothing elsewhere. At last every identifier-like token beside a pattern of high
 confidence is a span of kind ``id``. Patterns and tokens are counted where they stand, so a frequent word
-is added up before it is shuffled, and whatever grows stays in Spark.
+is added up before it is shuffled, and whatever grows stays in Spark. A context word is the nearest word on
+that side, of any length, with neither digit nor line break between.
+
+Work grows with a text's length, not with its square: positions are running sums by chunks of ``CHUNK``
+matches, contexts come from the pieces between neighbouring matches, and which tokens lie in base spans is
+told by one ordered window over a text's spans.
 
 Defined results: a null text is the empty one; equal rows each give a row; rows that share a doc_id but
 not the text are apart; an empty table gives an empty result; other columns of the input are ignored.
@@ -17,8 +22,11 @@ not the text are apart; an empty table gives an empty result; other columns of t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagelight.llm.common import ascii_lower, forget, fresh, written
 
@@ -35,24 +43,61 @@ ORDER = [*KINDS, "id"]
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 MARK = r"(?:[0-9@_]|(?<=[A-Za-z0-9])[.\[(](?=[A-Za-z0-9]))"
 TOKEN = rf"(?<!\S)\S*?{MARK}\S*+"
+LEFT = r"(?<!\p{L})(\p{L}++)[^\p{L}\p{N}\n]*+$"
+RIGHT = r"^[^\p{L}\p{N}\n]*+(\p{L}++)(?!\p{N})"
 MIN_CHARS, MIN_DIGITS = 6, 4
 SUPPORT, CONFIDENT, ACCEPT = 3, 0.8, 0.9
-CONTEXT = 64
+#: Matches of a text that are folded one by one.
+CHUNK = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(xs: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """For each of an integer array's elements what ``both`` (a sum, a maximum) makes of all up to it, from zero; by chunks, as each step of a fold copies its result."""
+    cut = F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int")), lambda k: F.slice(xs, k * CHUNK + 1, F.lit(CHUNK)))).otherwise(F.array().cast("array<array<int>>"))
+
+    def scan(part: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            return let(both(acc.at, x), lambda now: F.struct(now.alias("at"), F.concat(acc.out, F.array(now)).alias("out")))
+
+        return F.aggregate(part, first, step, lambda acc: acc.out)
+
+    def joined_(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), both))
+        return let(F.concat(F.array(F.lit(0)), scan(totals, F.lit(0))), lambda starts: F.flatten(F.transform(chunks, lambda c, k: scan(c, F.get(starts, k)))))
+
+    return let(cut, joined_)
+
+
+def word(text: Column, pattern: str) -> Column:
+    return F.nullif(ascii_lower(F.regexp_extract(text, pattern, 1)), F.lit(""))
+
+
+def matches(text: Column, pattern: str, good: Callable[[Column], Column]) -> Column:
+    """The good matches of ``pattern`` as structs (start, stop, what, left, right), in code points, with the words beside them."""
 
+    def located(v: Column) -> Column:
+        lengths = F.transform(v.found, lambda m, i: F.length(m) + F.length(F.get(v.gaps, i)))
+        none = F.lit("")
 
-def matches(text: Column, pattern: str) -> Column:
-    """Matches of ``pattern`` as structs (start, stop, what), in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    steps = F.zip_with(between, found, lambda b, m: F.struct(F.length(b).alias("skip"), m.alias("what")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,what:string>>").alias("out"))
+        def place(ends: Column) -> Column:
+            def one(m: Column, i: Column) -> Column:
+                before = F.concat(F.coalesce(F.get(v.found, i - 1), none), F.get(v.gaps, i))
+                after = F.concat(F.get(v.gaps, i + 1), F.coalesce(F.get(v.found, i + 1), none))
+                end = F.get(ends, i)
+                return F.when(good(m), F.struct((end - F.length(m)).alias("start"), end.alias("stop"), m.alias("what"), word(before, LEFT).alias("left"), word(after, RIGHT).alias("right")))
 
-    def step(acc: Column, s: Column) -> Column:
-        begin = acc.at + s.skip
-        end = begin + F.length(s.what)
-        return F.struct(end.alias("at"), F.concat(acc.out, F.array(F.struct(begin.alias("start"), end.alias("stop"), s.what.alias("what")))).alias("out"))
+            return F.filter(F.transform(v.found, one), lambda x: x.isNotNull())
 
-    return F.aggregate(F.filter(steps, lambda s: s.what.isNotNull()), start, step, lambda acc: acc.out)
+        return let(running(lengths, lambda a, x: a + x), place)
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")), located)
 
 
 def luhn(digits: Column) -> Column:
@@ -72,14 +117,30 @@ def valid(kind: str, what: Column) -> Column:
 
 
 SPAN = "array<struct<start:int,ord:int,stop:int>>"
+PLACE = "array<struct<start:int,ord:int,stop:int,from:int,to:int,what:string,left:string,right:string>>"
+
+
+def place(s: Column, ord_: int, begin: Column, end: Column, what: Column) -> Column:
+    """Where it is, of which kind, from where to where it may overlap others, and between which words."""
+    return F.struct(begin.alias("start"), F.lit(ord_).alias("ord"), end.alias("stop"), s.start.alias("from"), s.stop.alias("to"), what.alias("what"), s.left.alias("left"), s.right.alias("right"))
 
 
 def base_spans(text: Column, kind: str) -> Column:
-    """(start, ord, stop) of the valid matches of one kind."""
-    ord_ = ORDER.index(kind)
-    own = F.transform(F.filter(matches(text, KINDS[kind]), lambda s: valid(kind, s.what)), lambda s: F.struct(s.start.alias("start"), F.lit(ord_).alias("ord"), s.stop.alias("stop")))
+    """The valid matches of one kind."""
+    own = F.transform(matches(text, KINDS[kind], lambda m: valid(kind, m)), lambda s: place(s, ORDER.index(kind), s.start, s.stop, s.what))
     need = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else F.lit(True)
-    return F.when(need & text.rlike("[0-9]" if kind != "email" else "@"), own).otherwise(F.array().cast(SPAN))
+    return F.when(need & text.rlike("[0-9]" if kind != "email" else "@"), own).otherwise(F.array().cast(PLACE))
+
+
+def tokens_of(text: Column) -> Column:
+    """Identifier-like tokens, cut to their first and last letter or digit."""
+
+    def core(s: Column) -> Column:
+        what = F.regexp_extract(s.what, r"[A-Za-z0-9](?:.*[A-Za-z0-9])?", 0)
+        begin = s.start + F.length(F.regexp_extract(s.what, r"^[^A-Za-z0-9]*+", 0))
+        return place(s, len(KINDS), begin, begin + F.length(what), what)
+
+    return F.when(text.rlike(MARK), F.transform(matches(text, TOKEN, lambda m: F.lit(True)), core)).otherwise(F.array().cast(PLACE))
 
 
 def joined(spans: Column) -> Column:
@@ -88,39 +149,26 @@ def joined(spans: Column) -> Column:
 
 
 def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, mark, email, ip, card, phone, base, tokens): spans by kind and the base spans and identifier-like tokens with their contexts."""
+    """(doc_id, mark, email, ip, card, phone, base, places): spans by kind, and every span and identifier-like token with its context."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    rows = rows.withColumns({k: base_spans(F.col("text"), k) for k in KINDS})
-    rows = rows.withColumn("base", F.concat(*[F.col(k) for k in KINDS]))
-    found = matches(F.col("text"), TOKEN)
-
-    word = lambda c, p: F.nullif(ascii_lower(F.regexp_extract(c, p, 1)), F.lit(""))
-
-    def place(begin: Column, end: Column, what: Column, low: Column, high: Column, known: Column) -> Column:
-        left = F.substring(F.col("text"), F.greatest(F.lit(1), low - CONTEXT + 1), F.least(F.lit(CONTEXT), low))
-        right = F.substring(F.col("text"), high + 1, F.lit(CONTEXT))
-        return F.struct(
-            begin.alias("start"),
-            end.alias("stop"),
-            what.alias("what"),
-            word(left, r"(\p{L}+)[^\p{L}\p{N}\n]*$").alias("left"),
-            word(right, r"^[^\p{L}\p{N}\n]*(\p{L}+)(?![\p{L}\p{N}])").alias("right"),
-            known.alias("known"),
-        )
-
-    def token(s: Column) -> Column:
-        core = F.regexp_extract(s.what, r"[A-Za-z0-9](?:.*[A-Za-z0-9])?", 0)
-        begin = s.start + F.length(F.regexp_extract(s.what, r"^[^A-Za-z0-9]*", 0))
-        return place(begin, begin + F.length(core), core, s.start, s.stop, F.lit(False))
-
-    inside = lambda s: F.exists("base", lambda b: (b.start < s.stop) & (b.stop > s.start))
-    covered = lambda b: F.exists("base", lambda c: (c.start <= b.start) & (c.stop >= b.stop) & ((c.stop - c.start > b.stop - b.start) | (c.ord < b.ord)))
-    whole = F.transform(F.filter("base", lambda b: ~covered(b)), lambda b: place(b.start, b.stop, F.substring(F.col("text"), b.start + 1, b.stop - b.start), b.start, b.stop, F.lit(True)))
-    none = F.array().cast("array<struct<start:int,stop:int,what:string,left:string,right:string,known:boolean>>")
-    others = F.filter(F.transform(F.filter(found, lambda s: ~inside(s)), token), lambda t: t.what.rlike(MARK))
-    tokens = F.when(F.col("text").rlike(MARK), F.concat(whole, others)).otherwise(none)
-    return rows.withColumn("tokens", tokens).drop("text")
+    rows = rows.withColumns({k: base_spans(F.col("text"), k) for k in KINDS} | {"tokens": tokens_of(F.col("text"))})
+    plain = lambda c: F.transform(c, lambda s: F.struct(s.start.alias("start"), s.ord.alias("ord"), s.stop.alias("stop")))
+    every = F.concat(*[F.col(k) for k in KINDS])
+    return rows.select("doc_id", "mark", *[plain(F.col(k)).alias(k) for k in KINDS], plain(every).alias("base"), F.concat(every, F.col("tokens")).alias("places"))
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """(doc_id, mark, start, stop, what, left, right, known) of base spans that no other one covers, and of tokens that no base span touches."""
+    one = rows.filter(F.size("places") > 0).groupBy("doc_id", "mark").agg(F.first("places").alias("places"))
+    flat = one.select("doc_id", "mark", F.explode("places").alias("p")).select("doc_id", "mark", "p.*")
+    token = F.col("ord") == len(KINDS)
+    # a base span begins in a token: it follows its token at once, and the tokens that it reaches come after it
+    order = Window.partitionBy("doc_id", "mark").orderBy("from", token, F.desc("to"), "ord")
+    before = F.max(F.when(~token, F.col("to"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    flat = flat.withColumns({"before": F.coalesce(before, F.lit(0)), "next": F.lead(F.when(~token, F.col("from"))).over(order)})
+    free = (F.col("before") <= F.col("from")) & F.coalesce(F.col("next") >= F.col("to"), F.lit(True)) & F.col("what").rlike(MARK)
+    return flat.filter(F.when(token, free).otherwise(F.col("before") < F.col("to"))).select("doc_id", "mark", "start", "stop", "what", "left", "right", (~token).alias("known"))
 
 
 def confident(edges: DataFrame, known: DataFrame, support: int, confident_: float, accept: float) -> DataFrame:
@@ -144,7 +192,7 @@ def confident(edges: DataFrame, known: DataFrame, support: int, confident_: floa
 
 def found_by_context(rows: DataFrame, support: int = SUPPORT, confident_: float = CONFIDENT, accept: float = ACCEPT) -> DataFrame:
     """(doc_id, mark, extra): spans that the bootstrap adds. ``rows`` come from ``marked``."""
-    places = written(rows.select("doc_id", "mark", F.explode("tokens").alias("t")).distinct().select("doc_id", "mark", "t.*"), "pii-tokens")
+    places = written(apart(rows), "pii-tokens")
     beside = places.select("doc_id", "mark", "start", "stop", "what", "known", F.explode(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("R "), "right"))).alias("pattern")).filter("pattern IS NOT NULL")
     edges = written(beside.groupBy("pattern", "what").agg(F.count("*").alias("n")), "pii-edges")
     seeds = places.filter("known").select("what").distinct()
@@ -158,7 +206,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     """(doc_id, mark, email, ip, card, phone, base, all): spans as (start, ord, stop), sorted; ord counts along ``ORDER``."""
     rows = written(marked(docs, id_col, text_col), "pii-spans")
     extra = found_by_context(rows, **options)
-    both = rows.drop("tokens").alias("r").join(extra.alias("e"), F.col("r.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("r.mark") == F.col("e.mark")), "left")
+    both = rows.drop("places").alias("r").join(extra.alias("e"), F.col("r.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("r.mark") == F.col("e.mark")), "left")
     own = [F.col(f"r.{c}") for c in ["doc_id", "mark", *KINDS, "base"]]
     return both.select(*own, F.sort_array(F.concat("base", F.coalesce("extra", F.array().cast(SPAN)))).alias("all"))
 
@@ -170,14 +218,28 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     both = docs.join(found, docs[id_col].eqNullSafe(doc) & (F.xxhash64(text) == mark), "left")
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in ORDER])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.struct(s.stop.alias("at"), F.concat(acc.out, F.array(F.substring(text, acc.at + 1, s.start - acc.at), F.element_at(names, s.ord + 1))).alias("out"))
-        return F.when(s.start >= acc.at, fresh).otherwise(F.struct(F.greatest(acc.at, s.stop).alias("at"), acc.out.alias("out")))
+    def replaced(v: Column) -> Column:
+        """v: spans, and how far each one and all before it reach. By chunks, as each cut walks from the start of its text."""
+        reach = lambda i: F.coalesce(F.get(v.ends, i - 1), F.lit(0))
+
+        def part(k: Column) -> Column:
+            low, high = reach(k * CHUNK), F.get(v.ends, F.least((k + 1) * CHUNK, F.size(v.ends)) - 1)
+
+            def one(piece: Column) -> Column:
+                def cut(s: Column, j: Column) -> Column:
+                    at = reach(k * CHUNK + j)
+                    return F.when(s.start >= at, F.concat(F.substring(piece, at - low + 1, s.start - at), F.element_at(names, s.ord + 1))).otherwise(F.lit(""))
+
+                return F.array_join(F.transform(F.slice(v.spans, k * CHUNK + 1, F.lit(CHUNK)), cut), "")
+
+            return let(F.substring(text, low + 1, high - low), one)
+
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v.ends) - 1) / CHUNK).cast("int")), part)
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(v.ends, -1) + 1, F.length(text)))
 
-    rest = lambda acc: F.concat(F.array_join(acc.out, ""), F.substring(text, acc.at + 1, F.length(text)))
-    return both.select(*[F.when(every.isNull(), docs[c]).otherwise(F.aggregate(every, start, step, rest)).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    whole = let(F.struct(every.alias("spans"), running(F.transform(every, lambda s: s.stop), lambda a, x: F.greatest(a, x)).alias("ends")), replaced)
+    return both.select(*[F.when(every.isNull(), docs[c]).otherwise(whole).alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
