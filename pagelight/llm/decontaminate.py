@@ -1,16 +1,17 @@
 """Benchmark decontamination by a prefix-filtered join, on DataFrame functions only.
 
-A benchmark item becomes windows of ``window`` consecutive words (an item of fewer words is one
-window), a window the set of its placed shingles of up to ``shingle`` words. All shingles of a window
-must stand in a document that holds it, so one of them is a sufficient prefix: the rarest. Order by
-rarity comes from the corpus, from one pass in which every document's shingles meet the benchmark's.
-Then only occurrences of prefix shingles are candidates; positional and length bounds drop those whose
-window would begin before the text or end after it; and a candidate holds if the shingles that tile
-its window stand word for word at their places. Only occurrences of benchmark shingles are shuffled,
-never texts. The benchmark side is broadcast only while it is smaller than ``broadcast_rows``.
+A benchmark item becomes windows of ``window`` consecutive words (an item of fewer words is one window),
+a window the set of its placed shingles of up to ``shingle`` words. All shingles of a window must stand in
+a document that holds it, so one of them is a sufficient prefix: the rarest, by how often its first word
+stands in the corpus, from one pass that counts the benchmark's words. Documents then build shingles only
+where such a first word stands, with the words around them; an equi-join with the prefix shingles,
+positional and length bounds, and the comparison of the whole window with the words around the place
+decide. So only places of prefix shingles are ever joined or shuffled, never texts and never all shingles.
+Up to ``inline_words`` first words are part of the scan's filter; beyond, every shingle is joined with the
+prefix shingles, of which Spark broadcasts a small table or builds a Bloom filter.
 
 Defined results: a null text has no words; an item without words has no windows; items with equal
-item_id count once; equal documents each give a row and rows that share a doc_id but not the text are
+item_id count once, items without one count as one that has no name in the list; equal documents each give a row and rows that share a doc_id but not the text are
 judged apart; empty tables give empty results or clean documents; other columns are ignored.
 """
 
@@ -23,7 +24,8 @@ from pyspark.sql.window import Window
 from pagelight.llm.common import ascii_lower, forget, fresh, written
 
 WINDOW, SHINGLE = 10, 5
-BROADCAST_ROWS = 500_000
+#: First words that the scan itself looks for.
+INLINE_WORDS = 10_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -33,65 +35,59 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lowered, NOT_WORD), lambda w: w != "")
 
 
-def grams(words: Column, n: int) -> Column:
-    """All runs of ``n`` words, each joined by blanks."""
-    run = lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(n)])
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), run)).otherwise(F.array().cast("array<string>"))
-
-
 def windows_of(items: DataFrame, window: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """(item, win, len, k): each item's windows as word arrays, with their length and the length of their shingles."""
-    own = items.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("words")).filter(F.col("item").isNotNull() & (F.size("words") > 0))
+    own = items.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("words")).filter(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - (window - 1)))
     spread = own.select("item", "words", F.explode(starts).alias("at")).select("item", F.slice("words", F.col("at"), F.lit(window)).alias("win")).distinct()
     return spread.withColumn("len", F.size("win")).withColumn("k", F.least(F.lit(shingle), F.col("len")))
 
 
-def shingles_of(wins: DataFrame) -> DataFrame:
-    """(win, len, k, at, gram): each window's shingles with their place in it."""
+def prefixes(rows: DataFrame, wins: DataFrame) -> DataFrame:
+    """(win, len, k, at, word, gram): of each window the shingle whose first word is rarest in the corpus; none if a word of the window stands nowhere."""
     one = wins.select("win", "len", "k").distinct()
-    places = one.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("k"))))
-    return places.withColumn("gram", F.array_join(F.slice("win", F.col("at") + 1, F.col("k")), " "))
+    vocabulary = one.select(F.explode("win").alias("word")).distinct()
+    often = rows.select(F.explode("words").alias("word")).join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("often"))
+    often = written(often, "benchmark-words")
+    rated = one.select("win", "len", "k", F.posexplode("win").alias("at", "word")).join(often, "word", "left")
+    rare = F.min(F.when(F.col("at") <= F.col("len") - F.col("k"), F.struct("often", "word", "at"))).alias("rare")
+    rated = rated.groupBy("win", "len", "k").agg(rare, F.count("often").alias("found")).filter(F.col("found") == F.col("len"))
+    rated = rated.select("win", "len", "k", F.col("rare.at").alias("at"), F.col("rare.word").alias("word"))
+    return rated.withColumn("gram", F.array_join(F.slice("win", F.col("at") + 1, F.col("k")), " "))
 
 
-def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, list[DataFrame]]:
-    """(doc_id, mark, start, len, item): every place where a window of an item stands, and the tables to forget in the end.
+def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", inline_words: int = INLINE_WORDS) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, mark, start, len, win): every place where a window of an item stands; and the windows (item, win) and other tables to forget in the end.
 
     ``mark`` tells apart different texts under one doc_id.
     """
     wins = written(windows_of(items, window, shingle, item_col, item_text), "windows")
-    tokens = written(shingles_of(wins), "window-shingles")
-    lengths = sorted(r.k for r in tokens.select("k").distinct().collect())  # at most ``shingle`` numbers
-    vocabulary = tokens.select("gram").distinct()
-    small = vocabulary.count() <= broadcast_rows
-    side = F.broadcast(vocabulary) if small else vocabulary
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"), words_of(F.col(text_col)).alias("words"))
-    met = None
-    for k in lengths:
-        spread = rows.select("doc_id", "mark", F.size("words").alias("n"), F.posexplode(grams(F.col("words"), k)).alias("pos", "gram"))
-        met = spread if met is None else met.unionByName(spread)
-    if met is None:
-        return docs.sparkSession.createDataFrame([], f"doc_id {dict(rows.dtypes)['doc_id']}, mark long, start int, len int, item string"), [wins, tokens]
-    met = written(met.join(side, "gram").distinct(), "shingle-places")
-    counts = met.groupBy("gram").agg(F.count("*").alias("often"))
-    # rarest shingle of each window; a window with a shingle that stands nowhere is nowhere
-    rated = tokens.join(counts, "gram", "left")
-    prefix = rated.groupBy("win", "len", "k").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "at", "gram")).alias("rare")).filter("rare.often > 0")
-    prefix = prefix.select("win", "len", "k", F.col("rare.at").alias("at"), F.col("rare.gram").alias("gram"))
-    candidates = met.join(prefix, "gram").withColumn("start", F.col("pos") - F.col("at")).filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n")))
-    # the shingles that tile a window: at 0, k, 2k, ... and at its end
-    tiles = F.array_distinct(F.concat(F.sequence(F.lit(0), F.col("len") - F.col("k"), F.col("k")), F.array(F.col("len") - F.col("k"))))
-    wanted = candidates.select("doc_id", "mark", "start", "len", "win", F.size(tiles).alias("needs"), F.explode(tiles).alias("tile"), "k")
-    wanted = wanted.select("doc_id", "mark", "start", "len", "win", "needs", (F.col("start") + F.col("tile")).alias("pos"), F.array_join(F.slice("win", F.col("tile") + 1, F.col("k")), " ").alias("gram"))
-    places = met.select("doc_id", "mark", "pos", "gram")
-    same = wanted.alias("w").join(places.alias("p"), F.col("w.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("w.mark") == F.col("p.mark")) & (F.col("w.pos") == F.col("p.pos")) & (F.col("w.gram") == F.col("p.gram")), "left_semi")
-    held = same.groupBy("doc_id", "mark", "start", "len", "win").agg(F.count("*").alias("got"), F.first("needs").alias("needs")).filter("got = needs")
-    return held.join(wins.select("item", "win"), "win").select("doc_id", "mark", "start", "len", "item"), [wins, tokens, met]
+    prefix = written(prefixes(rows, wins), "prefix-shingles")
+    lengths = sorted(r.k for r in prefix.select("k").distinct().collect())  # at most ``shingle`` numbers
+    if not lengths:
+        return docs.sparkSession.createDataFrame([], f"doc_id {dict(rows.dtypes)['doc_id']}, mark long, start int, len int, win array<string>"), [wins, prefix]
+    firsts = [r.word for r in prefix.select("word").distinct().limit(inline_words + 1).collect()]
+    words, size = F.col("words"), F.size("words")
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    if len(firsts) <= inline_words:
+        places = F.filter(places, lambda i: F.get(words, i).isin(firsts))
+
+    def near(i: Column) -> Column:
+        """The place with the shingles that begin there and the words before and behind it."""
+        low = F.greatest(F.lit(0), i - (window - 1))
+        grams = F.array(*[F.when(i + k <= size, F.array_join(F.slice(words, i + 1, F.lit(k)), " ")) for k in lengths])
+        return F.struct(i.alias("pos"), low.alias("low"), F.slice(words, low + 1, i - low + window).alias("around"), grams.alias("grams"))
+
+    spread = rows.select("doc_id", "mark", F.explode(F.transform(places, near)).alias("p")).select("doc_id", "mark", "p.pos", "p.low", "p.around", F.explode("p.grams").alias("gram")).filter("gram IS NOT NULL")
+    met = spread.join(prefix.select("gram", "at", "len", "win"), "gram").withColumn("start", F.col("pos") - F.col("at"))
+    held = met.filter((F.col("start") >= 0) & (F.slice("around", F.greatest(F.lit(1), F.col("start") - F.col("low") + 1), F.col("len")) == F.col("win")))
+    return held.select("doc_id", "mark", "start", "len", "win").distinct(), [wins, prefix]
 
 
 def hits(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """(doc_id, mark, n_hit, items) of every document in which a window of an item stands."""
-    found, made = occurrences(docs, items, **options)
+    """(doc_id, mark, n_hit, n_items, items) of every document in which a window of an item stands."""
+    found, (wins, *made) = occurrences(docs, items, **options)
     found = written(found, "occurrences")
     for df in made:
         forget(df)
@@ -99,16 +95,18 @@ def hits(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     spans = found.select("doc_id", "mark", "start", (F.col("start") + F.col("len")).alias("stop")).distinct()
     fresh = spans.withColumn("before", F.coalesce(F.max("stop").over(order), F.lit(0)))
     hit = fresh.groupBy("doc_id", "mark").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest("start", "before"))).alias("n_hit"))
-    named = found.select("doc_id", "mark", "item").distinct().groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    return hit.alias("h").join(named.alias("i"), F.col("h.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("h.mark") == F.col("i.mark"))).select("h.doc_id", "h.mark", "n_hit", "items")
+    named = found.select("doc_id", "mark", "win").distinct().join(wins.select("item", "win"), "win").select("doc_id", "mark", "item").distinct()
+    named = named.groupBy("doc_id", "mark").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list("item")).alias("items"))
+    return hit.alias("h").join(named.alias("i"), F.col("h.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("h.mark") == F.col("i.mark"))).select("h.doc_id", "h.mark", "n_hit", "n_items", "items")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, n_words, n_hit, items) of every document."""
+    """(doc_id, n_words, n_hit, n_items, items) of every document; an item without id counts, but has no name in ``items``."""
     found = hits(docs, items, id_col=id_col, text_col=text_col, **options)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
     joined = rows.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.mark") == F.col("f.mark")), "left")
-    return joined.select("d.doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return joined.select("d.doc_id", "n_words", number("n_hit"), number("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -119,7 +117,7 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
-    return contamination(docs, items).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return contamination(docs, items).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 SQL = r"""
