@@ -3,15 +3,20 @@
 Trusted positives are training documents labelled good; the unlabelled set is a sample of all other
 documents, whose labels are not looked at. With class prior p and logistic loss l the risk is
 ``p E+[l(g)] + max(0, Eu[l(-g)] - p E+[l(-g)])``; where the second part would turn negative, its
-gradient is climbed back instead. The prior is estimated from the training labels: their share of good
-documents, over all labelled training rows.
+gradient is climbed back instead.
+
+The class prior p is estimated from positives and unlabelled rows alone, as their smallest density ratio:
+a logistic model tells a half of the positives from a half of the unlabelled rows, and over the other
+halves the share of unlabelled rows above a score, divided by that of positives, is least where hardly any
+negative scores (the bound of Garg et al. 2021 picks the score; it holds the noise of small shares off).
 
 Features describe a text's form: frequencies of pairs of character classes, how often words and lines
 repeat, word lengths, and shares of capitals, digits and symbols. The fit takes at most ``n_positive``
-and ``n_unlabelled`` documents, chosen by a hash of their ids. Every text is scored whole.
+and ``n_unlabelled`` documents, chosen by a hash of their ids; their features are computed where the texts are, so the driver gets
+rows of numbers, as many as these bounds allow. Every text is scored whole.
 
 Defined results: a null or empty text scores as the model sees a text without characters; repeated rows
-each give a row; without positives every score is the prior (0.5 without labels); an empty table gives
+each give a row, and one text speaks for a doc_id in the fit; without positives every score is 0.5; an empty table gives
 an empty result; other columns of the input are ignored.
 """
 
@@ -99,11 +104,55 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float, epochs: int = 120, batch: int = 500, l2: float = 1e-4) -> Model:
-    """Non-negative PU learning by Adam over mini-batches."""
-    if not positive or not unlabelled or not 0 < prior < 1:
-        return constant(prior if positive or not unlabelled else 0.5)
-    p, u = np.stack([*map(features, positive)]), np.stack([*map(features, unlabelled)])
+def shares_above(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return 1 - np.searchsorted(np.sort(scores), at, side="left") / len(scores)
+
+
+def class_prior(p: np.ndarray, u: np.ndarray, rounds: int = 300, l2: float = 1e-3) -> float:
+    """Share of positives among the rows of ``u``, by the smallest density ratio over the scores of a model of p against u."""
+    if min(len(p), len(u)) < 4:
+        return 0.5
+    rng = np.random.default_rng(5)
+    p, u = p[rng.permutation(len(p))], u[rng.permutation(len(u))]
+    mean, scale = u.mean(axis=0), u.std(axis=0) + 0.02
+    (p_fit, p_held), (u_fit, u_held) = (np.array_split((x - mean) / scale, 2) for x in (p, u))
+    x = np.r_[p_fit, u_fit]
+    y = np.r_[np.ones(len(p_fit)), np.zeros(len(u_fit))]
+    share = np.where(y == 1, 0.5 / len(p_fit), 0.5 / len(u_fit))
+    w, b = np.zeros(x.shape[1]), 0.0
+    m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    for t in range(1, rounds + 1):
+        err = share * (sigmoid(x @ w + b) - y)
+        g = np.append(x.T @ err + l2 * w, err.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        w, b = w - step[:-1], b - step[-1]
+    p_score, u_score = p_held @ w + b, u_held @ w + b
+    at = np.unique(p_score)
+    q_p, q_u = shares_above(p_score, at), shares_above(u_score, at)
+    noise = math.sqrt(math.log(40) / 2 / len(u_held)) + math.sqrt(math.log(40) / 2 / len(p_held))
+    best = np.argmin((q_u + noise) / q_p)
+    return float(min(0.999, max(0.001, q_u[best] / q_p[best])))
+
+
+def risk(p_scores: np.ndarray, u_scores: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the unbiased risk under logistic loss: that of positives, and that of negatives, which the method keeps from sinking below zero."""
+    loss = lambda z: np.mean(np.logaddexp(0, -z))
+    return float(prior * loss(p_scores)), float(loss(-u_scores) - prior * loss(-p_scores))
+
+
+def gradient(xp: np.ndarray, xu: np.ndarray, w: np.ndarray, b: float, prior: float) -> np.ndarray:
+    """Of the risk by the weights and the intercept; where the negatives' part is below zero, uphill on that part alone."""
+    zp, zu = xp @ w + b, xu @ w + b
+    part = lambda x, e: np.append(x.T @ e, e.sum()) / len(x)
+    down = part(xu, sigmoid(zu)) - prior * part(xp, sigmoid(zp))
+    return prior * part(xp, sigmoid(zp) - 1) + down if risk(zp, zu, prior)[1] >= 0 else -down
+
+
+def fit(p: np.ndarray, u: np.ndarray, prior: float, epochs: int = 120, batch: int = 500, l2: float = 1e-4) -> Model:
+    """Non-negative PU learning by Adam over mini-batches. p, u: rows of features."""
+    if not len(p) or not len(u) or not 0 < prior < 1:
+        return constant(0.5)
     mean, scale = u.mean(axis=0), u.std(axis=0) + 0.02
     p, u = (p - mean) / scale, (u - mean) / scale
     rng = np.random.default_rng(7)
@@ -115,12 +164,7 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, epochs: int =
         for at in range(0, len(u), batch):
             xu = u[order[at : at + batch]]
             xp = p[rng.integers(0, len(p), batch)]
-            gp, gu = sigmoid(xp @ w + b), sigmoid(xu @ w + b)
-            # d l(g) = g - 1, d l(-g) = g for the logistic loss
-            negative = np.mean(-np.log(1 - gu + 1e-12)) - prior * np.mean(-np.log(1 - gp + 1e-12))
-            part = lambda x, e: np.append(x.T @ e, e.sum())
-            down = part(xu, gu) / len(xu) - prior * part(xp, gp) / len(xp)
-            grad = prior * part(xp, gp - 1) / len(xp) + down if negative >= 0 else -down
+            grad = gradient(xp, xu, w, b, prior)
             grad[:-1] += l2 * w
             t += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
@@ -134,13 +178,14 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, epochs: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", n_positive: int = N_POSITIVE, n_unlabelled: int = N_UNLABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """``labels`` must hold training rows only. Unlabelled documents are drawn from all of ``docs`` without their labels."""
+    """``labels`` must hold training rows only, of which the positives are used. Unlabelled documents are drawn from all of ``docs`` without their labels."""
     own = training.labelled(labels, label_col, id_col)
-    prior = own.agg(F.avg("label")).first()[0]
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
     chosen = training.by_hash(own.filter("label = 1"), n_positive, "doc_id").unionByName(training.by_hash(ids, n_unlabelled, "doc_id").withColumn("label", F.lit(0)))
-    rows = training.texts_of(docs, chosen, id_col, text_col)
-    return fit([t for _, t, label in rows if label], [t for _, t, label in rows if not label], 0.5 if prior is None else prior)
+    rows = training.numbers_of(docs, chosen, lambda text: features(text).astype(np.float32).tobytes(), id_col, text_col)
+    part = lambda which: np.array([np.frombuffer(x, np.float32) for _, x, label in rows if label == which], float).reshape(-1, N_FEATURES)
+    p, u = part(1), part(0)
+    return fit(p, u, class_prior(p, u))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -91,3 +91,49 @@ def test_empty_tables(spark, module):
     no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert module.digest(none, no_labels).collect() == []
     assert len(module.digest(spark.createDataFrame([(1, "x"), (1, "x")], "doc_id long, text string"), no_labels).collect()) == 2
+
+
+@pytest.mark.parametrize("share", [0.1, 0.3, 0.5, 0.7, 0.9])
+def test_class_prior_of_planted_shares(share):
+    """Rows of the quality features: the estimate sees positives and a mixture, never a negative as such."""
+    rng = random.Random(int(share * 100))
+    good = lambda: quality.features(prose(rng, rng.randrange(15, 80)))
+    bad = lambda: quality.features(" ".join(w.upper() + rng.choice(["!!", "!", "", " 77"]) for w in prose(rng, rng.randrange(15, 80)).split()))
+    p = np.stack([good() for _ in range(800)])
+    u = np.stack([good() if rng.random() < share else bad() for _ in range(1600)])
+    assert abs(quality.class_prior(p, u) - share) < 0.06
+
+
+def test_risk_and_gradient_against_plain_loops():
+    rng = np.random.default_rng(1)
+    for prior in (0.2, 0.6, 0.9):
+        xp, xu, w, b = rng.normal(size=(40, 5)) + 0.5, rng.normal(size=(60, 5)), rng.normal(size=5), 0.3
+        loss = lambda z: np.log1p(np.exp(-z))
+
+        def parts(w, b):
+            own = [loss(x @ w + b) for x in xp]
+            against = [loss(-(x @ w + b)) for x in xp]
+            other = [loss(-(x @ w + b)) for x in xu]
+            return prior * sum(own) / 40, sum(other) / 60 - prior * sum(against) / 40
+
+        assert np.allclose(quality.risk(xp @ w + b, xu @ w + b, prior), parts(w, b))
+        # non-negative risk: both parts downhill, or uphill on the second where it is below zero
+        sign = lambda w, b: sum(parts(w, b)) if parts(w, b)[1] >= 0 else -parts(w, b)[1]
+        slope = [(sign(w + 1e-6 * e, b) - sign(w - 1e-6 * e, b)) / 2e-6 for e in np.eye(5)] + [(sign(w, b + 1e-6) - sign(w, b - 1e-6)) / 2e-6]
+        assert np.allclose(quality.gradient(xp, xu, w, b, prior), slope, atol=1e-6)
+
+
+def test_chosen_bins_against_plain_counts(spark, monkeypatch):
+    docs, labels = corpus(120)
+    d = spark.createDataFrame(docs, "doc_id long, text string, label int")
+    ids = spark.createDataFrame([(i, t) for i, _, t in labels], "doc_id long, label int")
+    bins, c1, c0 = toxicity.bin_counts(d, ids, "doc_id", "text")
+    want = {}
+    for (_, text, _), (_, _, t) in zip(docs, labels, strict=True):
+        for b in toxicity.bins_of(text).tolist():
+            want.setdefault(b, [0, 0])[t] += 1
+    assert {b: [x, y] for b, x, y in zip(bins.tolist(), c0.tolist(), c1.tolist(), strict=True)} == {b: c for b, c in want.items() if sum(c) >= toxicity.LEAST}
+    n1 = sum(t for _, _, t in labels)
+    chosen, ratio = toxicity.chosen_bins(bins, c1, c0, n1, len(labels) - n1)
+    for b, r in list(zip(chosen.tolist(), ratio.tolist(), strict=True))[:50]:
+        assert abs(r - np.log((want[b][1] + 1) / (n1 + 2) / ((want[b][0] + 1) / (len(labels) - n1 + 2)))) < 1e-9
