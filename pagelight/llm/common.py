@@ -44,6 +44,15 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of a few numbers that are broadcast at most.
+BROADCAST_ROWS = 500_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table of ids, marked for broadcast if it has ``rows`` rows at most; else Spark shuffles it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a longer one that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

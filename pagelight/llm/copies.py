@@ -15,7 +15,7 @@ before it joins anything:
    A hash that stands in ``HOT`` texts of a task goes out as a count, and its texts by task.
 
 Each key's texts are first tried against one head, a new head each round while a tenth of the tried pairs
-join, then in pairs that are not joined yet. Hashes have 64 bits: equal hashes of different shingles cost
+join and more than ``FEW`` pairs a row are left, then in pairs that are not joined yet. Hashes have 64 bits: equal hashes of different shingles cost
 a comparison.
 
 Defined results: a null or empty text equals any other without words; equal texts are one; rows that
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelight.llm.common import forget, fresh, plan_bytes, written
+from pagelight.llm.common import forget, fresh, if_small, plan_bytes, written
 from pagelight.llm.simhash import components, links, majority
 from pagelight.llm.substring import pack, pack_ids, runs, unpack, unpack_ids, window_hashes, word_hashes
 
@@ -45,6 +45,8 @@ BLOCK = 1 << 21
 RANGE_BYTES = 3 << 20
 #: Texts of one block that share a hash, from which on the block sends their number.
 HOT = 64
+#: Pairs for each row of the keys that are tried without more heads.
+FEW = 8
 #: Kinds of rows between the tasks.
 SHINGLES, SIZES, COMMON, COUNTS = range(4)
 
@@ -245,7 +247,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).filter("doc_id IS NOT NULL").withColumn("mark", F.unhex(F.md5(F.col("text").cast("binary"))))
     ids, marked = named(rows)
     copies = written(marked.join(ids, ["doc_id", "mark"], "left_anti"), "equal-texts")
-    own = rows.join(copies, ["doc_id", "mark"], "left_anti")
+    own = rows.join(if_small(copies), ["doc_id", "mark"], "left_anti")
     odd = ids.filter("id <> doc_id")
     own = own.withColumn("id", F.col("doc_id")) if odd.isEmpty() else own.join(odd, ["doc_id", "mark"], "left").withColumn("id", F.coalesce("id", "doc_id"))
     own = own.select("id", "text")
@@ -263,8 +265,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     heads = written(prints.groupBy("fp").agg(F.min("id").alias("node")), "heads")
     proposed = links(heads, max_bits).unionByName(prints.join(heads, "fp").filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b")))
     proposed = written(proposed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidate-pairs")
-    wanted = shared.select("id").unionByName(proposed.select(F.col("a").alias("id"))).unionByName(proposed.select(F.col("b").alias("id"))).distinct()
-    held = written(own.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
+    wanted = written(shared.select("id").unionByName(proposed.select(F.col("a").alias("id"))).unionByName(proposed.select(F.col("b").alias("id"))).distinct(), "candidate-ids")
+    held = written(own.join(if_small(wanted), "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,11 +290,14 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         grouped = shared.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).select("key", "id", "size", "pos", "comp")
         # what is left of a key: the members outside its largest component, and all that they may still be alike to
         parts = grouped.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        open_ = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main")
-        rest = written(grouped.join(open_, "key"), "open-keys")
+        open_ = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most")).filter("parts > 1")
+        rest = written(grouped.join(open_.select("key", "main", (F.col("all") - F.col("most")).alias("pairs")), "key"), "open-keys")
         forget(comp)
-        if rest.isEmpty():
+        left = rest.agg(F.count("*").alias("rows"), F.sum("pairs").alias("pairs")).first()
+        if not left.rows:
             break
+        if left.pairs <= FEW * left.rows:
+            turn = None
         if turn is None:
             small = rest.filter("comp <> main").select("key", "id", "size", "pos", "comp")
             other = rest.select("key", F.col("id").alias("id_"), F.col("size").alias("size_"), F.col("pos").alias("pos_"), F.col("comp").alias("comp_"))
@@ -322,5 +327,5 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose document has the smallest id of its group, with all their columns; rows without an id stay."""
-    gone = near_copies(docs, id_col=id_col, **options).filter("component_id < doc_id").select(F.col("doc_id").alias(fresh(docs, "gone")))
-    return docs.join(gone, docs[id_col] == gone[gone.columns[0]], "left_anti")
+    gone = written(near_copies(docs, id_col=id_col, **options).filter("component_id < doc_id").select(F.col("doc_id").alias(fresh(docs, "gone"))), "copies")
+    return docs.join(if_small(gone), docs[id_col] == gone[gone.columns[0]], "left_anti")

@@ -249,8 +249,34 @@ def links(nodes: DataFrame, max_bits: int = 3, max_bucket: int = MAX_BUCKET) ->
     return found
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """(node, component) of every node in ``pairs`` (a, b): the smallest node that can be reached. Large-star and small-star rounds."""
+#: Edges that one task joins by itself.
+ONE_TASK = 500_000
+
+
+def components(pairs: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, component) of every node in ``pairs`` (a, b), but for components' smallest nodes: the smallest node that can be reached.
+
+    Large-star and small-star rounds; up to ``one_task`` edges (16 bytes each), counted first, make one task.
+    """
+    pairs = written(pairs, "edges")
+    if pairs.count() <= one_task:
+        schema = pa.schema([("node", pa.int64()), ("component", pa.int64())])
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+            if got:
+                a, b = (np.concatenate(x) for x in zip(*got, strict=True))
+                names, at = np.unique(np.r_[a, b], return_inverse=True)
+                parent = np.arange(len(names))
+                union(parent, at[: len(a)], at[len(a) :])
+                while (parent[parent] != parent).any():
+                    parent = parent[parent]
+                far = np.flatnonzero(parent != np.arange(len(names)))
+                yield pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[parent[far]])], schema=schema)
+
+        done = written(pairs.coalesce(1).mapInArrow(join, "node long, component long"), "components")
+        forget(pairs)
+        return done
     edges, before = pairs, None
     while True:
         # the smallest neighbours are written first: a join of two plain exchanges, which AQE splits where a hub has most of the rows

@@ -62,6 +62,22 @@ def test_near_copies_behind_a_reordered_head(spark):
     assert groups_of(spark, rows) == brute_near(rows) == {0: 0, 1: 1, 2: 1}
 
 
+def test_large_groups_by_heads(spark, monkeypatch):
+    """With no pairs allowed at once, all keys go through rounds of heads; a passage that many texts share joins none of them."""
+    monkeypatch.setattr(copies, "FEW", 0)
+    monkeypatch.setattr(copies, "HOT", 4)
+    rng = random.Random(9)
+    base, passage = [f"b{i}" for i in range(200)], [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        ws = list(base)
+        for _ in range(rng.randrange(8)):
+            ws[rng.randrange(200)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(ws)))
+    rows += [(100 + i, " ".join(passage + [f"o{i}x{j}" for j in range(rng.choice([10, 40]))])) for i in range(40)]
+    assert groups_of(spark, rows) == brute_near(rows)
+
+
 def test_near_copies_between_false_candidates(spark):
     """Reordered texts lie between two near copies by their words: candidates that fail must not stand in for the pair."""
     rng = random.Random(2)
