@@ -36,7 +36,6 @@ BLOCK = 1 << 21
 #: Bytes of the stored table for each range of hash values.
 RANGE_BYTES = 3 << 20
 NO_ID = np.iinfo(np.int64).max
-LOW48 = np.uint64((1 << 48) - 1)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -95,26 +94,31 @@ def unpack_ids(packed: tuple[int, int, bytes]) -> np.ndarray:
 
 
 def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
-    return (ids ^ (ids >> 11) ^ (ids >> 23)) % groups
+    """``pmod(xxhash64(id), groups)`` as Spark computes it, for a power of two: XXH64 of eight bytes, seed 42."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+    h = np.full(len(ids), 42 + 8, np.uint64) + p5
+    h = turn(h ^ (turn(ids.view(np.uint64) * p2, 31) * p1), 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return ((h ^ (h >> np.uint64(32))) & np.uint64(groups - 1)).astype(np.int64)
 
 
 def pack_marks(ids: np.ndarray, hashes: np.ndarray, groups: int) -> list[tuple[int, bytes]]:
-    """(group, marks) rows: by document the low 48 bits of its marked hashes."""
+    """(group, marks) rows: by document its marked hashes."""
     out = []
     group = group_of(ids, groups)
     order = np.lexsort((hashes, ids, group))
     ids, hashes, group = ids[order], hashes[order], group[order]
     for a, z in runs(group):
         own, n = np.unique(ids[a:z], return_counts=True)
-        out.append((int(group[a]), pickle.dumps((pack(own), n.astype(np.uint32).tobytes(), hashes[a:z].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))))
+        out.append((int(group[a]), pickle.dumps((pack(own), n.astype(np.uint32).tobytes(), hashes[a:z].tobytes()))))
     return out
 
 
 def unpack_marks(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids, n, low = pickle.loads(raw)
-    hashes = np.zeros((len(low) // 6, 8), np.uint8)
-    hashes[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
-    return unpack(ids, np.int64), np.frombuffer(n, np.uint32).astype(np.int64), hashes.reshape(-1).view(np.uint64)
+    return unpack(ids, np.int64), np.frombuffer(n, np.uint32).astype(np.int64), np.frombuffer(low, np.uint64)
 
 
 def runs(x: np.ndarray) -> list[tuple[int, int]]:
@@ -222,7 +226,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             n_gone = 0
             low = marked.get(NO_ID if doc is None else doc)
             if low:
-                starts = np.isin(window_hashes(word_hashes(words), window) & LOW48, np.concatenate(low))
+                starts = np.isin(window_hashes(word_hashes(words), window), np.concatenate(low))
                 covered = removal(starts, len(words), window)
                 gone, n_gone = intervals(covered), int(covered.sum())
                 kept = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
@@ -235,8 +239,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     blocks = rows.mapInArrow(hashes, shape)
     marks = blocks.groupBy("kind", "key").applyInArrow(count, "grp long, marks binary")
     code = F.coalesce("doc_id", F.lit(NO_ID))
-    fold = code.bitwiseXOR(F.shiftright(code, 11)).bitwiseXOR(F.shiftright(code, 23))
-    dealt = rows.withColumn("grp", F.pmod(fold, F.lit(groups)))
+    dealt = rows.withColumn("grp", F.pmod(F.xxhash64(code), F.lit(groups)))
     return dealt.groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(apply, "doc_id long, n_words long, n_removed long, removed array<struct<start:int,stop:int>>, kept string")
 
 

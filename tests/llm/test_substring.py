@@ -72,7 +72,7 @@ def test_blocks_and_ranges(per_block):
         for h in substring.window_hashes(substring.word_hashes((t or "").encode().split()), 13).tolist():
             first[h] = min(first.get(h, d), d)
             held.add((d, h))
-    assert found == {(d, h & ((1 << 48) - 1)) for d, h in held if first[h] < d}
+    assert found == {(d, h) for d, h in held if first[h] < d}
 
 
 def test_intervals_and_empty(spark):
@@ -81,3 +81,13 @@ def test_intervals_and_empty(spark):
     got = {r.doc_id: r for r in substring.remove_repeats(df).collect()}
     assert [tuple(x) for x in got[2].removed] == [(2, 22)] and got[2].kept == "a b c" and got[1].removed == []
     assert substring.digest(df.filter("doc_id > 9")).collect() == []
+
+
+def test_groups_are_those_of_spark(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    ids = [0, 1, -1, 2**32, 3 * 2**32, 2**63 - 1, -(2**63), *range(1000, 1200)]
+    got = [r.g for r in spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "i int, x long").orderBy("i").select(F.pmod(F.xxhash64("x"), F.lit(256)).alias("g")).collect()]
+    assert substring.group_of(np.array(ids, np.int64), 256).tolist() == got
+    assert len(set(substring.group_of(np.arange(4096) << 32, 256).tolist())) == 256
