@@ -138,7 +138,17 @@ INTENTS = [
     ("PREF_ORIGINAL", r"\b(?:original\s*language|original|source|don'?t\s*translate)\b"),
     ("PREF_TRANSLATE", r"\b(?:translated\s*language|translate|translated|translation)\b"),
 ]
-WAKE_WORD = r"\b(?:hey|ok|okay|hi)?\s*(?:vision\s*voice|vision|voice)\b"
+
+# Names that wake the device, one or several in a row, and the greetings that may come first.
+WAKE_NAMES = ["vision", "voice"]
+GREETINGS = ["hey", "ok", "okay", "hi"]
+
+
+def wake_pattern(names: list[str], greetings: list[str]) -> str:
+    return rf"\b(?:{'|'.join(greetings)})?\s*(?:{'|'.join(names)})(?:\s*(?:{'|'.join(names)}))*\b"
+
+
+WAKE_WORD = wake_pattern(WAKE_NAMES, GREETINGS)
 
 # Voices by two- or three-letter code, for two speech backends.
 VOICES_DESKTOP = {"en": "Samantha", "hi": "Rishi", "ta": "Veena", "te": "Rishi", "kn": "Rishi", "ml": "Rishi"}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,15 +51,35 @@ def history(events: DataFrame, key: str, order: list[str], *columns: str) -> Dat
     return events.groupBy(key).agg(F.array_sort(F.collect_list(kept)).alias("events"))
 
 
+#: Events of a key that are folded one by one.
+CHUNK = 256
+
+
+def before(events: Column, start: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """The state before each of an array's events; ``kind`` is its type. By chunks, as every step of a fold copies what it has gathered."""
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(events) - 1) / CHUNK).cast("int")), lambda k: F.slice(events, k * CHUNK + 1, F.lit(CHUNK)))
+    none = F.array().cast(f"array<{kind}>")
+
+    def inner(chunk: Column, state: Column) -> Column:
+        begin = F.struct(state.cast(kind).alias("now"), none.alias("path"))
+        return F.aggregate(chunk, begin, lambda acc, e: F.struct(step(acc.now, e).cast(kind).alias("now"), F.concat(acc.path, F.array(acc.now)).alias("path")))
+
+    def outer(acc: Column, chunk: Column) -> Column:
+        once = F.transform(F.array(inner(chunk, acc.now)), lambda r: F.struct(r.now.alias("now"), F.concat(acc.out, F.array(r.path)).alias("out")))
+        return F.element_at(once, 1)
+
+    begin = F.struct(start.cast(kind).alias("now"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(chunks, begin, outer, lambda acc: F.flatten(acc.out))
+
+
 def _edges() -> Column:
     return F.array(*[F.lit(f"{a}>{b}") for a, more in dims.EDGES.items() for b in more])
 
 
 def replay(events: DataFrame, key: str, order: list[str], requested: str, start: str = "INITIALIZING") -> DataFrame:
     """One row for each request: the state before and after, whether it was allowed, whether listeners hear of it."""
-    step = lambda acc, e: F.struct(F.when(F.array_contains(_edges(), F.concat(acc.state, F.lit(">"), e[requested])), e[requested]).otherwise(acc.state).alias("state"), F.concat(acc.path, F.array(acc.state)).alias("path"))
-    begin = F.struct(F.lit(start).alias("state"), F.array().cast("array<string>").alias("path"))
-    folded = history(events, key, order, requested).withColumn("before", F.aggregate("events", begin, step, lambda acc: acc.path))
+    step = lambda state, e: F.when(F.array_contains(_edges(), F.concat(state, F.lit(">"), e[requested])), e[requested]).otherwise(state)
+    folded = history(events, key, order, requested).withColumn("before", before(F.col("events"), F.lit(start), step, "string"))
     each = folded.select(key, F.explode(F.arrays_zip("events", "before")).alias("z")).select(key, *[F.col("z.events")[c].alias(c) for c in [*order, requested]], F.col("z.before").alias("from_state"))
     allowed = F.array_contains(_edges(), F.concat("from_state", F.lit(">"), requested))
     same = F.col("from_state") == F.col(requested)
@@ -108,9 +130,10 @@ def changes(events: DataFrame, key: str, order: list[str], value: str) -> DataFr
 
 def debounce(events: DataFrame, key: str, time_us: str, tie: str, millis: int) -> DataFrame:
     """Events at least ``millis`` after the last accepted one of their key."""
-    step = lambda acc, e: F.when(acc.last.isNull() | (e[time_us] - acc.last >= millis * 1000), F.struct(e[time_us].alias("last"), F.concat(acc.kept, F.array(e[tie])).alias("kept"))).otherwise(acc)
-    begin = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    return history(events, key, [time_us, tie]).select(key, F.explode(F.aggregate("events", begin, step, lambda acc: acc.kept)).alias(tie))
+    passes = lambda last, e: last.isNull() | (e[time_us] - last >= millis * 1000)
+    folded = history(events, key, [time_us, tie]).withColumn("before", before(F.col("events"), F.lit(None), lambda last, e: F.when(passes(last, e), e[time_us]).otherwise(last), "bigint"))
+    each = folded.select(key, F.explode(F.arrays_zip("events", "before")).alias("z"))
+    return each.filter(passes(F.col("z.before"), F.col("z.events"))).select(key, F.col(f"z.events.{tie}").alias(tie))
 
 
 def press_class(seconds: Column) -> Column:

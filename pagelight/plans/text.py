@@ -79,8 +79,8 @@ def sql_sentences(source: str, key: str, text: str) -> str:
     back = "s"
     for i, abbr in enumerate(dims.ABBREVIATIONS):
         escaped = abbr.replace(".", r"\.")
-        guarded = rf"regexp_replace({guarded}, '(^|[^\p{{L}}\p{{N}}_]){escaped}', '\1__ABBR_{i}__', 'gi')"
-        back = f"replace({back}, '__ABBR_{i}__', '{abbr}')"
+        guarded = rf"regexp_replace({guarded}, '(^|[^\p{{L}}\p{{N}}_]){escaped}', '\1{chr(0xE000 + i)}', 'gi')"
+        back = f"replace({back}, '{chr(0xE000 + i)}', '{abbr}')"
     once = r"""regexp_replace({x}, '([.!?।॥])\s+([A-Z\x{{0900}}-\x{{0D7F}}\p{{Nd}}"''(])', '\1' || chr(1) || '\2', 'g')"""
     cut = once.format(x=once.format(x=guarded))
     cut = rf"regexp_replace({cut}, '\n\s*\n', chr(1), 'g')"

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, else, as in tests, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return found or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
 
 
@@ -30,10 +32,12 @@ def raw_gray(images: DataFrame) -> DataFrame:
     head = F.decode(F.substring("content", 1, 64), "ISO-8859-1")
     parts = F.regexp_extract_all(head, F.lit(r"^P5\s(\d+)\s(\d+)\s255\s"), F.lit(0))
     own = images.withColumn("h", F.get(parts, F.lit(0))).filter("h IS NOT NULL")
-    own = own.withColumns({"w": F.regexp_extract("h", r"^P5\s(\d+)", 1).cast("int"), "n": F.length("h"), "bytes": F.hex("content")})
-    spread = own.select("path", "w", "n", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("content") - F.col("n") - 1)).alias("i"))
-    v = F.conv(F.substring(F.col("bytes"), (F.col("n") + F.col("i")) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    return spread.select("path", F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), (F.col("i") % F.col("w")).alias("x"), v.alias("v"))
+    own = own.withColumns({"w": F.regexp_extract("h", r"^P5\s(\d+)", 1).cast("int"), "n": F.length("h")})
+    # bytes are cut from the binary column in place, and only numbers are spread to rows
+    byte = lambda i: F.conv(F.hex(F.substring(F.col("content"), i, F.lit(1))), 16, 10).cast("int")
+    values = F.transform(F.sequence(F.col("n") + 1, F.octet_length("content")), byte)
+    spread = own.select("path", "w", F.posexplode(values).alias("i", "v"))
+    return spread.select("path", F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), (F.col("i") % F.col("w")).alias("x"), "v")
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:

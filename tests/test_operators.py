@@ -205,3 +205,14 @@ def test_tables_and_append(spark, tmp_path):
     assert spark.table("page_history").columns[0] == "id"
     spark.sql("DROP TABLE page_history")
     spark.sql("DROP TABLE reading_sessions")
+
+
+def test_folds_of_many_events_on_one_key(spark):
+    import time
+
+    n = 200_000
+    began = time.time()
+    asked = spark.range(n).selectExpr("1 AS s", "id AS i", "CASE id % 3 WHEN 0 THEN 'WAIT_WAKE_WORD' WHEN 1 THEN 'WAIT_START' ELSE 'ERROR' END AS requested")
+    got = N.replay(asked, "s", ["i"], "requested").agg({"accepted": "count"}).collect()[0][0]
+    kept = N.debounce(spark.range(n).selectExpr("1 AS k", "id * 100000 AS us", "id AS event_id"), "k", "us", "event_id", 300).count()
+    assert got == n and kept == -(-n // 3) and time.time() - began < 60
