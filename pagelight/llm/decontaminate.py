@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagelight.llm.common import ascii_lower, forget, fresh, written
+from pagelight.llm.common import ascii_lower, forget, fresh, if_small, written
 
 WINDOW, SHINGLE = 10, 5
 #: First words that the scan itself looks for.
@@ -46,9 +46,10 @@ def windows_of(items: DataFrame, window: int, shingle: int, id_col: str, text_co
 def prefixes(rows: DataFrame, wins: DataFrame) -> DataFrame:
     """(win, len, k, at, word, gram): of each window the shingle whose first word is rarest in the corpus; none if a word of the window stands nowhere."""
     one = wins.select("win", "len", "k").distinct()
-    vocabulary = one.select(F.explode("win").alias("word")).distinct()
-    often = rows.select(F.explode("words").alias("word")).join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("often"))
+    vocabulary = written(one.select(F.explode("win").alias("word")).distinct(), "benchmark-vocabulary")
+    often = rows.select(F.explode("words").alias("word")).join(if_small(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("often"))
     often = written(often, "benchmark-words")
+    forget(vocabulary)
     rated = one.select("win", "len", "k", F.posexplode("win").alias("at", "word")).join(often, "word", "left")
     rare = F.min(F.when(F.col("at") <= F.col("len") - F.col("k"), F.struct("often", "word", "at"))).alias("rare")
     rated = rated.groupBy("win", "len", "k").agg(rare, F.count("often").alias("found")).filter(F.col("found") == F.col("len"))
@@ -80,7 +81,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle
         return F.struct(i.alias("pos"), low.alias("low"), F.slice(words, low + 1, i - low + window).alias("around"), grams.alias("grams"))
 
     spread = rows.select("doc_id", "mark", F.explode(F.transform(places, near)).alias("p")).select("doc_id", "mark", "p.pos", "p.low", "p.around", F.explode("p.grams").alias("gram")).filter("gram IS NOT NULL")
-    met = spread.join(prefix.select("gram", "at", "len", "win"), "gram").withColumn("start", F.col("pos") - F.col("at"))
+    met = spread.join(if_small(prefix.select("gram", "at", "len", "win")), "gram").withColumn("start", F.col("pos") - F.col("at"))
     held = met.filter((F.col("start") >= 0) & (F.slice("around", F.greatest(F.lit(1), F.col("start") - F.col("low") + 1), F.col("len")) == F.col("win")))
     return held.select("doc_id", "mark", "start", "len", "win").distinct(), [wins, prefix]
 
