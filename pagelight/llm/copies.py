@@ -14,8 +14,8 @@ before it joins anything:
    text only never travels back; so rare shingles make the keys and common passages hardly ever do.
    A hash that stands in ``HOT`` texts of a task goes out as a count, and its texts by task.
 
-Each key's texts are first tried against one head, a new head each round while a tenth of the tried pairs
-join and more than ``FEW`` pairs a row are left, then in pairs that are not joined yet. Hashes have 64 bits: equal hashes of different shingles cost
+Each key's texts are first tried against ``HEADS`` of them, others in each round, while more than ``FEW`` pairs
+a row are left and a round makes a tenth of them needless; then in all pairs that are not joined yet. Hashes have 64 bits: equal hashes of different shingles cost
 a comparison.
 
 Defined results: a null or empty text equals any other without words; equal texts are one; rows that
@@ -45,6 +45,8 @@ BLOCK = 1 << 21
 RANGE_BYTES = 3 << 20
 #: Texts of one block that share a hash, from which on the block sends their number.
 HOT = 64
+#: Heads of a key in one round.
+HEADS = 8
 #: Pairs for each row of the keys that are tried without more heads.
 FEW = 8
 #: Kinds of rows between the tasks.
@@ -284,7 +286,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         enough = 1 + F.least(size - pos, other - at) - 1 >= similarity / (1 + similarity) * (size + other) - 1e-6
         return (F.least(size, other) >= similarity * F.greatest(size, other) - 1e-9) & enough
 
-    sure, tried, turn = verified(proposed), proposed, 0
+    sure, tried, turn, before = verified(proposed), proposed, 0, math.inf
     while True:
         comp = components(sure)
         grouped = shared.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).select("key", "id", "size", "pos", "comp")
@@ -296,15 +298,16 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         left = rest.agg(F.count("*").alias("rows"), F.sum("pairs").alias("pairs")).first()
         if not left.rows:
             break
-        if left.pairs <= FEW * left.rows:
+        if left.pairs <= FEW * left.rows or left.pairs > 0.9 * before:
             turn = None
+        before = left.pairs
         if turn is None:
             small = rest.filter("comp <> main").select("key", "id", "size", "pos", "comp")
             other = rest.select("key", F.col("id").alias("id_"), F.col("size").alias("size_"), F.col("pos").alias("pos_"), F.col("comp").alias("comp_"))
             found = small.join(other, "key").filter(F.col("comp") != F.col("comp_"))
         else:
-            order = F.struct(F.xxhash64("comp", F.lit(turn)), F.xxhash64("id", F.lit(turn)))
-            head = rest.groupBy("key").agg(F.min_by(F.struct("id", "size", "pos", "comp"), order).alias("h")).select("key", *[F.col(f"h.{c}").alias(f"{c}_") for c in ("id", "size", "pos", "comp")])
+            some = [F.min_by(F.struct("id", "size", "pos", "comp"), F.xxhash64("id", F.lit(turn * HEADS + i))) for i in range(HEADS)]
+            head = rest.groupBy("key").agg(F.array_distinct(F.array(*some)).alias("h")).select("key", F.explode("h").alias("h")).select("key", *[F.col(f"h.{c}").alias(f"{c}_") for c in ("id", "size", "pos", "comp")])
             found = rest.join(written(head, "key-heads"), "key").filter(F.col("comp") != F.col("comp_"))
         found = found.filter(may_be(F.col("pos"), F.col("size"), F.col("pos_"), F.col("size_")))
         pairs = found.select(F.greatest("id", "id_").alias("a"), F.least("id", "id_").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
@@ -315,7 +318,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         if turn is None:
             break
         tried = tried.unionByName(pairs)
-        turn = turn + 1 if more.count() * 10 > pairs.count() else None
+        turn += 1
     # a text's group is that of its smallest document, one doc_id may stand under several texts
     name = ids.select("id", F.col("doc_id").alias("node"))
     linked = sure.join(name.select(F.col("id").alias("a"), F.col("node").alias("x")), "a").join(name.select(F.col("id").alias("b"), F.col("node").alias("y")), "b")
