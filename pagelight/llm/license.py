@@ -3,9 +3,11 @@
 The templates are few and fixed. One pass counts in how many documents each licence word stands; from
 that follows each word's IDF. Every template is indexed under its highest-IDF words only: so many that
 no stretch which holds ``share`` of the template's IDF weight can miss them all. A file looks up its
-words there, the postings found are intersected by relative position (file position less template
-position), and a stretch that reaches ``share`` counts if every mandatory key phrase stands in it word
-for word. Base phrases are templates that must be there whole.
+words there, and the postings found are intersected by relative position (file position less template
+position). A word may drift: it counts within one place of its own for every ``DRIFT_WORDS`` words of the
+template, ``DRIFT`` at most, so that a notice with a word more or less is still found; one file word may
+stand for two equal words of the template. A stretch that reaches ``share`` counts if every mandatory key
+phrase stands in it word for word. Base phrases are templates that must be there whole and in place.
 
 Defined results: a null or empty text has no words, no labels and score 0; repeated rows each give a
 row; an empty table gives an empty result; other columns of the input are ignored.
@@ -27,19 +29,47 @@ BASE = {
     "general public license": "gpl",
     "all rights reserved": "reserved",
 }
-#: Label, template, mandatory key phrases.
-TEMPLATES = [
-    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license", "2 0"]),
+#: Label, template, mandatory key phrases: sentences of the licences' own notices and headers.
+NOTICES = [
+    ("apache-2.0", "licensed under the apache license version 2 0", ["apache", "2 0"]),
+    ("apache-2.0", "apache license version 2 0 january 2004", ["apache license", "2 0"]),
     ("mit", "released under the mit license", ["mit license"]),
+    ("mit", "licensed under the mit license", ["mit license"]),
+    ("mit", "the mit license mit", ["mit license"]),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission is hereby granted", "free of charge"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee"]),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ["general public license", "version 3"]),
+    ("gpl-3.0", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ["gnu general public license", "version 3"]),
+    ("gpl-2.0", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ["gnu general public license", "version 2"]),
+    ("lgpl", "the gnu lesser general public license", ["lesser general public license"]),
+    ("agpl", "the gnu affero general public license", ["affero general public license"]),
     ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ["cc by sa"]),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc"]),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ["attribution sharealike 4 0"]),
+    ("cc0-1.0", "cc0 1 0 universal public domain dedication", ["cc0 1 0"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["source and binary forms"]),
+    ("bsd-3-clause", "may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products"]),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+    ("epl-2.0", "made available under the terms of the eclipse public license 2 0", ["eclipse public license", "2 0"]),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", ["boost software license"]),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", ["will the authors be held liable"]),
 ]
+#: Identifiers of licence tags; each makes a template, the whole of which is mandatory.
+TAGS = ["MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Unlicense", "Zlib", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0"]
+
+
+def tag_template(name: str) -> tuple[str, str, list[str]]:
+    text = f"spdx license identifier {name.lower().replace('-', ' ').replace('.', ' ')}"
+    return name.lower(), text, [text]
+
+
+TEMPLATES = NOTICES + [tag_template(name) for name in TAGS]
 SHARE = 0.8
+#: Words by which a template word may stand before or after its place, at most, and template words for each.
+DRIFT, DRIFT_WORDS = 2, 4
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -47,42 +77,57 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
+def drift_of(template: list[bytes]) -> int:
+    return min(DRIFT, len(template) // DRIFT_WORDS)
+
+
 class Index:
     """Postings of each template under its rarest words."""
 
     def __init__(self, df: dict[bytes, int], n_docs: int, share: float = SHARE):
-        self.templates = [(label, words_of(p.encode()), [], 1.0, True) for p, label in BASE.items()]
-        self.templates += [(label, words_of(t.encode()), [words_of(k.encode()) for k in keys], share, False) for label, t, keys in TEMPLATES]
+        self.templates = [(label, words_of(p.encode()), [], 1.0, 0) for p, label in BASE.items()]
+        self.templates += [(label, ws, [words_of(k.encode()) for k in keys], share, drift_of(ws)) for label, t, keys in TEMPLATES for ws in [words_of(t.encode())]]
         self.idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 1)) + 1 for w in vocabulary()}
         self.total = [sum(self.idf[w] for w in ws) for _, ws, _, _, _ in self.templates]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, ws, _, least, _) in enumerate(self.templates):
+        self.postings: dict[bytes, list[tuple[int, int, int]]] = defaultdict(list)
+        self.rarest = []
+        for t, (_, ws, _, least, drift) in enumerate(self.templates):
             missed = 0.0
-            for at in sorted(range(len(ws)), key=lambda i: (-self.idf[ws[i]], i)):
+            self.rarest.append(sorted(range(len(ws)), key=lambda i: (-self.idf[ws[i]], i)))
+            for at in self.rarest[t]:
                 if missed > (1 - least) * self.total[t] + 1e-9:
                     break
-                self.postings[ws[at]].append((t, at))
+                self.postings[ws[at]].append((t, at, drift))
                 missed += self.idf[ws[at]]
 
     def scan(self, words: list[bytes]) -> dict:
-        starts = {(t, i - at) for i, w in enumerate(words) if w in self.postings for t, at in self.postings[w]}
+        places: dict[bytes, set[int]] = defaultdict(set)
+        for i, w in enumerate(words):
+            if w in self.idf:
+                places[w].add(i)
+        starts = {(t, i - at + d) for w in places.keys() & self.postings.keys() for t, at, drift in self.postings[w] for i in places[w] for d in range(-drift, drift + 1)}
         base: list[int] = []
         base_labels, labels, score = set(), set(), 0.0
         for t, start in starts:
-            label, ws, keys, least, is_base = self.templates[t]
-            lined = [0 <= start + j < len(words) and words[start + j] == w for j, w in enumerate(ws)]
-            got = sum(self.idf[w] for w, ok in zip(ws, lined, strict=True) if ok) / self.total[t]
-            if is_base:
-                if all(lined):
-                    base.append(start)
-                    base_labels.add(label)
-                    score = 1.0
+            label, ws, keys, least, drift = self.templates[t]
+            spare = (1 - least) * self.total[t] + 1e-9
+            for j in self.rarest[t]:
+                here = places.get(ws[j], ())
+                if not any(start + j + d in here for d in range(-drift, drift + 1)):
+                    spare -= self.idf[ws[j]]
+                    if spare < 0:
+                        break
+            if spare < 0:
+                continue
+            if t < len(BASE):
+                base.append(start)
+                base_labels.add(label)
+                score = 1.0
                 continue
-            if got >= least - 1e-9:
-                stretch = words[max(0, start) : start + len(ws)]
-                if all(any(stretch[i : i + len(k)] == k for i in range(len(stretch))) for k in keys):
-                    labels.add(label)
-                    score = max(score, min(1.0, got))
+            stretch = words[max(0, start - drift) : start + len(ws) + drift]
+            if all(any(stretch[i : i + len(k)] == k for i in range(len(stretch))) for k in keys):
+                labels.add(label)
+                score = max(score, min(1.0, least + (spare - 1e-9) / self.total[t]))
         score = math.floor(score * 1e6 + 0.5) / 1e6
         return {"n_words": len(words), "n_base": len(base), "first_word": min(base, default=None), "last_word": max(base, default=None), "base_labels": ",".join(sorted(base_labels)), "labels": ",".join(sorted(base_labels | labels)), "score": score}
 
@@ -129,20 +174,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share:
 
 def sql() -> str:
     """The same rows from DuckDB, templates and all."""
-    rows = [(t, label, tuple(words_of(text.encode())), (), 1.0, True) for t, (text, label) in enumerate(BASE.items())]
-    rows += [(len(BASE) + t, label, tuple(words_of(text.encode())), tuple(keys), SHARE, False) for t, (label, text, keys) in enumerate(TEMPLATES)]
+    rows = [(t, label, words_of(text.encode()), [], 1.0, 0) for t, (text, label) in enumerate(BASE.items())]
+    rows += [(len(BASE) + t, label, ws, keys, SHARE, drift_of(ws)) for t, (label, text, keys) in enumerate(TEMPLATES) for ws in [words_of(text.encode())]]
     words = ", ".join(f"({t}, {at}, '{w.decode()}')" for t, _, ws, _, _, _ in rows for at, w in enumerate(ws))
-    kinds = ", ".join(f"({t}, '{label}', {len(ws)}, [{', '.join(repr(k) for k in keys)}]::VARCHAR[], {least}, {base})" for t, label, ws, keys, least, base in rows)
+    kinds = ", ".join(f"({t}, '{label}', {len(ws)}, [{', '.join(repr(k) for k in keys)}]::VARCHAR[], {least}, {t < len(BASE)}, {drift})" for t, label, ws, keys, least, drift in rows)
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 tw(t, k, w) AS (VALUES {words}),
-tk(t, label, n, keys, least, base) AS (VALUES {kinds}),
+tk(t, label, n, keys, least, base, drift) AS (VALUES {kinds}),
 p AS (SELECT rid, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM d),
 hit AS (SELECT p.rid, p.pos, p.w FROM p WHERE p.w IN (SELECT w FROM tw)),
 idf AS (SELECT v.w, ln((n.n + 1) / (coalesce(f.df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT w FROM tw) v LEFT JOIN (SELECT w, count(DISTINCT rid) AS df FROM hit GROUP BY w) f ON f.w = v.w, (SELECT count(*) AS n FROM d) n),
 tot AS (SELECT t, sum(idf) AS total FROM tw JOIN idf ON idf.w = tw.w GROUP BY t),
-lined AS (SELECT h.rid, tw.t, h.pos - tw.k AS start, sum(idf.idf) AS got, count(*) AS m FROM hit h JOIN tw ON tw.w = h.w JOIN idf ON idf.w = h.w GROUP BY ALL),
-cand AS (SELECT l.rid, tk.label, tk.base, l.start, l.got / tot.total AS share, tk.keys, array_to_string(d.ws[greatest(l.start, 0) + 1:l.start + tk.n], ' ') AS stretch
+near AS (SELECT DISTINCT h.rid, tw.t, h.pos - tw.k + o.d AS start, tw.k, h.w FROM hit h JOIN tw ON tw.w = h.w JOIN tk ON tk.t = tw.t JOIN (SELECT unnest(range(-2, 3)) AS d) o ON abs(o.d) <= tk.drift),
+lined AS (SELECT n.rid, n.t, n.start, sum(idf.idf) AS got, count(*) AS m FROM near n JOIN idf ON idf.w = n.w GROUP BY ALL),
+cand AS (SELECT l.rid, tk.label, tk.base, l.start, l.got / tot.total AS share, tk.keys, array_to_string(d.ws[greatest(l.start - tk.drift, 0) + 1:l.start + tk.n + tk.drift], ' ') AS stretch
          FROM lined l JOIN tk ON tk.t = l.t JOIN tot ON tot.t = l.t JOIN d ON d.rid = l.rid WHERE CASE WHEN tk.base THEN l.m = tk.n ELSE l.got / tot.total >= tk.least - 1e-9 END),
 ok AS (SELECT * FROM cand WHERE base OR len(list_filter(keys, lambda k: NOT contains(' ' || stretch || ' ', ' ' || k || ' '))) = 0),
 agg AS (
