@@ -11,13 +11,16 @@ the vector is. Lists that hold more than ``chunk`` vectors, as many equal ones w
 over several tasks by a hash of the id.
 
 Search: a query walks the in-memory centroid graph from its entry points while it finds centroids
-within the ratio of the nearest; every list within the ratio is read. A task compares its part of a
-list with the queries that want it, block by block, and sends each query's best; queries then merge
-theirs. The centroids and the graph are broadcast; ``max_lists`` bounds them.
-
-Defined results: vectors that are null, zero or hold a null or non-finite component take no part,
-neither do vectors whose length is not the table's most frequent one (of ties the smallest); rows with
-a null id take no part; of rows with equal ids each is a candidate, but the query's own id is none; an
+within the ratio of the nearest; every list within the ratio is read, and where these are the home of
+too few vectors, the next nearest lists too. A task compares its part of a list with the queries that
+want it, block by block, and sends each query's best; queries then merge theirs. The number of lists
+grows with the table up to ``max_lists``, which bounds the centroids and the graph that are broadcast,
+and the sample with the lists: ``LIST_SAMPLE`` vectors for each, ``SAMPLE`` at least.
+
+Defined results: vectors that are null, zero or hold a null or non-finite component take no part; an
+inner product joins vectors of one length only, and the index holds the table's most frequent length
+(of ties the smallest): queries of another length are compared with every vector of theirs, block by
+block; rows with a null id take no part; of rows with equal ids each is a candidate, but the query's own id is none; an
 empty table gives an empty result; other columns of the input are ignored.
 """
 
@@ -31,9 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelight.llm.common import written
+
 SAMPLE = 20_000
+LIST_SAMPLE = 8
 LIST_ROWS = 512
-MAX_LISTS = 1 << 15
+MAX_LISTS = 1 << 14
 CHUNK = 20_000
 TARGET = 0.99
 SPILL, REPLICAS = 1.05, 4
@@ -47,12 +53,22 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0))
 
 
+def blocks(n: int, width: int) -> list[slice]:
+    """Slices of ``n`` rows with at most ``CELLS`` scores of ``width`` columns in each."""
+    step = max(1, CELLS // max(1, width))
+    return [slice(a, min(n, a + step)) for a in range(0, n, step)]
+
+
+def nearest_of(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([distances(x[b], c).argmin(axis=1) for b in blocks(len(x), len(c))])
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Centroids with balanced shares: a cluster above 1.5 times the mean takes the place of the smallest one."""
     rng = np.random.default_rng(11)
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for r in range(rounds):
-        near = np.concatenate([distances(x[i : i + 4096], c).argmin(axis=1) for i in range(0, len(x), 4096)])
+        near = nearest_of(x, c)
         n = np.bincount(near, minlength=k)
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
@@ -73,8 +89,8 @@ class Lists:
         self.norm = norm
         x = self.lifted(sample)
         self.centroids = kmeans(x, n_lists)
-        between = distances(self.centroids, self.centroids)
-        self.edges = np.argsort(between, axis=1, kind="stable")[:, 1 : DEGREE + 1] if n_lists > 1 else np.zeros((1, 0), int)
+        c = self.centroids
+        self.edges = np.concatenate([np.argsort(distances(c[b], c), axis=1, kind="stable")[:, 1 : DEGREE + 1] for b in blocks(n_lists, n_lists)])
         self.entries = np.unique(np.linspace(0, n_lists - 1, min(n_lists, 32)).astype(int))
         self.ratio = 1.0
         self.ratio = self.calibrated(sample, x, top, target)
@@ -97,21 +113,25 @@ class Lists:
             out.append(np.array(chosen))
         return out
 
+    @staticmethod
+    def true_best(sample: np.ndarray, block: slice, top: int) -> np.ndarray:
+        s = sample[block] @ sample.T
+        s[np.arange(len(s)), np.arange(block.start, block.stop)] = -np.inf
+        return np.argsort(-s, axis=1, kind="stable")[:, : min(top, len(sample) - 1)]
+
     def calibrated(self, sample: np.ndarray, x: np.ndarray, top: int, target: float) -> float:
         """The distance ratio within which ``target`` of the sample's true neighbours lie."""
         m = min(len(sample), 512)
         q = np.c_[sample[:m], np.zeros(m)]
-        s = sample[:m] @ sample.T
-        s[np.arange(m), np.arange(m)] = -np.inf
-        best = np.argsort(-s, axis=1, kind="stable")[:, : min(top, len(sample) - 1)]
+        best = np.concatenate([self.true_best(sample, b, top) for b in blocks(m, len(sample))])
         d = distances(q, self.centroids)
-        homes = self.homes(x[np.unique(best)])
-        of = dict(zip(np.unique(best).tolist(), homes, strict=True))
+        wanted = np.unique(best)
+        of = dict(zip(wanted.tolist(), [h for b in blocks(len(wanted), len(d[0])) for h in self.homes(x[wanted[b]])], strict=True))
         need = [d[i, of[j]].min() / max(d[i].min(), 1e-12) for i in range(m) for j in best[i].tolist()]
         return float(np.quantile(need, target)) * 1.0005 if need else 1.0
 
-    def probes(self, q: np.ndarray) -> list[np.ndarray]:
-        """Of each query, the lists within the ratio that a walk over the graph finds."""
+    def probes(self, q: np.ndarray, held: np.ndarray, least: int) -> list[np.ndarray]:
+        """Of each query, the lists within the ratio that a walk over the graph finds, and the next nearest until they are home to ``least`` vectors, of ``held`` in each list."""
         q = np.c_[q, np.zeros(len(q))]
         n, k = len(q), len(self.centroids)
         d = np.full((n, k), np.inf)
@@ -134,7 +154,13 @@ class Lists:
                 r, c = rows[a : a + (1 << 16)], cols[a : a + (1 << 16)]
                 d[r, c] = np.sqrt(np.maximum(0, ((q[r] - self.centroids[c]) ** 2).sum(axis=1)))
             open_ |= new
-        return [np.flatnonzero(row <= row.min() * self.ratio) for row in d]
+        chosen = [np.flatnonzero(row <= row.min() * self.ratio) for row in d]
+        for i, lists in enumerate(chosen):
+            if held[lists].sum() < least:
+                order = np.argsort(distances(q[i : i + 1], self.centroids)[0], kind="stable")
+                order = np.r_[lists, order[~np.isin(order, lists)]]
+                chosen[i] = order[: np.searchsorted(np.cumsum(held[order]), least) + 1]
+        return chosen
 
 
 def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, top: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -142,6 +168,8 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, to
     out: list = [None] * len(q)
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
+    # what the order of summation can change in a score
+    slack = 4 * x.shape[1] * np.finfo(float).eps * np.sqrt((x * x).sum(axis=1).max(initial=0.0)) * np.sqrt((q * q).sum(axis=1))
     for a in range(0, len(q), max(1, CELLS // max(1, len(x)))):
         block = slice(a, a + max(1, CELLS // max(1, len(x))))
         s = q[block] @ x.T
@@ -150,7 +178,7 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, to
             keep = np.flatnonzero(row > -np.inf)
             if len(keep) > top:
                 least = np.partition(row, len(row) - top)[len(row) - top]
-                keep = np.flatnonzero((row >= least - 1e-9 * max(1.0, abs(least))) & (row > -np.inf))
+                keep = np.flatnonzero((row >= least - slack[a + i]) & (row > -np.inf))
             exact = (x[keep] * q[a + i]).sum(axis=1)
             chosen = np.lexsort((ids[keep], -exact))[:top]
             out[a + i] = ids[keep][chosen], exact[chosen]
@@ -171,49 +199,62 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, id_col: str =
     shape = "query_id long, rank int, vec_id long, score double"
     rows = usable(vectors, id_col, vec_col)
     lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)).alias("norm2"))
-    found = lengths.orderBy(F.desc("rows"), "n").first()
-    if found is None:
+    found = lengths.orderBy(F.desc("rows"), "n").limit(2).collect()
+    if not found:
         return spark.createDataFrame([], shape)
-    dim, total, norm = found.n, found["rows"], float(np.sqrt(found.norm2)) * (1 + 1e-9)
-    rows = rows.filter(F.size("v") == dim)
-    wanted = usable(queries, id_col, vec_col).filter(F.size("v") == dim)
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    dim, total, norm = found[0].n, found[0]["rows"], float(np.sqrt(found[0].norm2)) * (1 + 1e-9)
+    common = rows.filter(F.size("v") == dim)
+    wanted = usable(queries, id_col, vec_col)
+    n_lists = int(min(max_lists, max(1, total // list_rows)))
+    drawn = common.orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE, LIST_SAMPLE * n_lists)).toArrow()
     sample = np.stack(drawn.column("v").to_numpy())
-    n_lists = int(min(max_lists, max(1, total // list_rows), max(1, len(sample) // 8)))
+    n_lists = min(n_lists, max(1, len(sample) // LIST_SAMPLE))
     held = spark.sparkContext.broadcast(Lists(sample, n_lists, norm, top, target))
 
     def matrix(column) -> np.ndarray:
         flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = held.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                some = batch.slice(at, 2048)
+            for b in blocks(batch.num_rows, n_lists):
+                some = batch.slice(b.start, b.stop - b.start)
                 homes = lists.homes(lists.lifted(matrix(some.column("v"))))
                 take = pa.array(np.repeat(np.arange(len(homes)), [len(h) for h in homes]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(homes) if homes else [], pa.int32()), some.column("id").take(take), some.column("v").take(take)], names=["list", "id", "v"])
+                home = np.concatenate([np.arange(len(h)) == 0 for h in homes])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(homes), pa.int32()), pa.array(home), some.column("id").take(take), some.column("v").take(take)], names=["list", "home", "id", "v"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = held.value
         for batch in batches:
-            step = max(1, CELLS // len(lists.centroids))
-            for at in range(0, batch.num_rows, step):
-                some = batch.slice(at, step)
-                wanted = lists.probes(matrix(some.column("v")))
+            for b in blocks(batch.num_rows, n_lists):
+                some = batch.slice(b.start, b.stop - b.start)
+                wanted = lists.probes(matrix(some.column("v")), homes, top + 1)
                 take = pa.array(np.repeat(np.arange(len(wanted)), [len(h) for h in wanted]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(wanted) if wanted else [], pa.int32()), some.column("id").take(take), some.column("v").take(take)], names=["list", "id", "v"])
 
-    posted = rows.mapInArrow(post, "list int, id long, v array<double>")
-    sizes = posted.groupBy("list").count().filter(F.col("count") > chunk).collect()  # at most max_lists numbers
-    parts = {r.list: -(-r["count"] // chunk) for r in sizes}
+    posted = common.mapInArrow(post, "list int, home boolean, id long, v array<double>")
+    others = lambda some: some.filter(F.size("v") != dim)
+    if len(found) > 1:
+        posted = posted.unionByName(others(rows).select((-F.size("v")).alias("list"), F.lit(True).alias("home"), "id", "v"))
+    posted = written(posted, "posted")
+    # numbers of lists: max_lists, and one for each other length
+    sizes = posted.groupBy("list").agg(F.count("*").alias("rows"), F.sum(F.col("home").cast("long")).alias("homes")).collect()
+    homes = np.zeros(n_lists, np.int64)
+    for r in sizes:
+        if r.list >= 0:
+            homes[r.list] = r.homes
+    parts = {r.list: -(-r["rows"] // chunk) for r in sizes if r["rows"] > chunk}
     if parts:
         n_parts = F.coalesce(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])[F.col("list")], F.lit(1))
     else:
         n_parts = F.lit(1)
-    posted = posted.withColumn("part", F.pmod(F.xxhash64("id"), n_parts.cast("long")).cast("int"))
-    probed = wanted.mapInArrow(probe, "list int, id long, v array<double>").withColumn("part", F.explode(F.sequence(F.lit(0), n_parts.cast("int") - 1)))
+    posted = posted.select("list", "id", "v").withColumn("part", F.pmod(F.xxhash64("id"), n_parts.cast("long")).cast("int"))
+    probed = wanted.filter(F.size("v") == dim).mapInArrow(probe, "list int, id long, v array<double>")
+    if len(found) > 1:
+        probed = probed.unionByName(others(wanted).select((-F.size("v")).alias("list"), "id", "v"))
+    probed = probed.withColumn("part", F.explode(F.sequence(F.lit(0), n_parts.cast("int") - 1)))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict = {"query_id": [], "found": []}
