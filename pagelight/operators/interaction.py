@@ -39,6 +39,17 @@ def stability(frames: DataFrame, key: str, order: list[str], min_area: float = M
     return made.withColumn("status", status).drop("usable", "segment", "first", "moved", "step", "run")
 
 
+def overlay(status: Column, area_ratio: Column, stable_count: Column, required: int = STABLE_FRAMES) -> Column:
+    """Struct (label, colour, outlined) of what a preview shows: a banner's text, its colour as blue, green, red, and whether the page is outlined."""
+    count = F.concat(F.lit(" ("), stable_count.cast("string"), F.lit(f"/{required})"))
+    share = F.concat(F.lit("PAGE TOO SMALL ("), F.format_string("%.1f", area_ratio * 100), F.lit("%)"))
+    # The texts and colours of the banner.
+    shown = [("PAGE_STABLE", F.concat(F.lit("PAGE STABLE"), count), (0, 255, 0)), ("PAGE_DETECTED", F.concat(F.lit("HOLD STILL"), count), (0, 255, 255))]
+    made = lambda label, colour, outlined: F.struct(label.alias("label"), F.array(*map(F.lit, colour)).alias("colour"), F.lit(outlined).alias("outlined"))
+    case = F.when(status == shown[0][0], made(*shown[0][1:], True)).when(status == shown[1][0], made(*shown[1][1:], True))
+    return case.when(area_ratio.isNotNull(), made(share, (0, 165, 255), False)).otherwise(made(F.lit("SEARCHING FOR BOOK PAGE..."), (0, 0, 255), False))
+
+
 def first_stable(tracked: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The frame at which each device's search ends: its first stable one."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))

@@ -1,12 +1,20 @@
-"""Image filters that no column expression gives: NumPy over one image at a time, fed by Arrow."""
+"""Image filters that no column expression gives: NumPy over one image at a time, fed by Arrow.
+
+Images travel as rows (image_id, width, height, content) with one byte a pixel, so a filter needs no shuffle.
+An Arrow batch holds whole images: lower ``spark.sql.execution.arrow.maxRecordsPerBatch`` for large ones.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from pagelight.functions import dims
+from pagelight.operators import image
 
 
 def _gaussian(size: int, sigma: float) -> np.ndarray:
@@ -143,15 +151,138 @@ def warp(img: np.ndarray, corners: np.ndarray, width: int, height: int) -> np.nd
     return _to_byte(out)
 
 
+def stretch(img: np.ndarray) -> np.ndarray:
+    """Percentiles 1 and 99 become 0 and 255."""
+    low, high = np.percentile(img, (1, 99))
+    if high <= low:
+        return img
+    return np.clip((img - low) * (255.0 / (high - low)), 0, 255).astype(np.uint8)
+
+
+def otsu(img: np.ndarray) -> np.ndarray:
+    """Binomial 3 x 3 blur, then white above the first level that maximises the variance between both sides."""
+    wide = np.pad(img.astype(np.int64), 1, mode="reflect")
+    rows = wide[:-2] + 2 * wide[1:-1] + wide[2:]
+    soft = rows[:, :-2] + 2 * rows[:, 1:-1] + rows[:, 2:]
+    soft = (soft + 8) >> 4
+    n = np.bincount(soft.ravel(), minlength=256)
+    w0, m0 = np.cumsum(n), np.cumsum(n * np.arange(256))
+    gap = (m0 * w0[-1] - m0[-1] * w0).astype(float)
+    both = (w0 > 0) & (w0 < w0[-1])
+    between = np.where(both, gap * gap / np.where(both, w0.astype(float) * (w0[-1] - w0), 1.0), -1.0)
+    return np.where(soft > (int(between.argmax()) if both.any() else 0), 255, 0).astype(np.uint8)
+
+
+# Each variant by the one that it is made from and its filter.
+RECIPES: dict[str, tuple[str, Callable[[np.ndarray], np.ndarray]]] = {
+    "contrast_enhanced": ("original_gray", stretch),
+    "clahe": ("original_gray", clahe),
+    "illumination_corrected": ("original_gray", normalize_illumination),
+    "otsu": ("clahe", otsu),
+    "adaptive_gaussian": ("illumination_corrected", adaptive_gaussian),
+    "mild_denoised": ("clahe", bilateral),
+    "sharpened": ("illumination_corrected", unsharp),
+    "upscaled_gray": ("clahe", upscale),
+    "upscaled_threshold": ("upscaled_gray", otsu),
+}
+
+
+def variants(img: np.ndarray, fast: bool = False) -> dict[str, np.ndarray]:
+    """Every recognition variant of an image that the catalogue makes for its size and mode, in order."""
+    made = {}
+    for name, _, in_fast, _ in dims.VARIANTS:
+        if (in_fast or not fast) and (name not in dims.UPSCALED or max(img.shape) < dims.UPSCALE_LIMIT):
+            source, run = RECIPES.get(name, (None, None))
+            made[name] = run(made[source]) if run else img
+    return made
+
+
+def decoded(content: bytes | None, width: int | None, height: int | None) -> np.ndarray | None:
+    """The image of one byte a pixel; None where there is none or its bytes are not width times height."""
+    if not content or not width or not height or len(content) != width * height:
+        return None
+    return np.frombuffer(content, np.uint8).reshape(height, width)
+
+
+def to_images(pixels: DataFrame) -> DataFrame:
+    """(image_id, width, height, content) of pixel rows (image_id, y, x, v)."""
+    cell = F.struct("y", "x", F.lpad(F.hex("v"), 2, "0").alias("d"))
+    packed = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c.d), ""))
+    size = [(F.max(c) + 1).cast("int").alias(n) for c, n in (("x", "width"), ("y", "height"))]
+    return pixels.groupBy("image_id").agg(*size, packed.alias("content"))
+
+
+def _mapped(images: DataFrame, run: Callable[[dict], list[tuple]], schema: str, *columns: str) -> DataFrame:
+    """One image at a time through ``run``; each gives the rows after image_id."""
+    shape = images.sparkSession.createDataFrame([], f"image_id {dict(images.dtypes)['image_id']}, {schema}").schema
+    kinds = images.sparkSession.createDataFrame([], shape).toArrow().schema
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                got = [(row["image_id"], *r) for r in run(row)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), kinds, strict=True)], schema=kinds)
+
+    return images.select("image_id", "width", "height", "content", *columns).mapInArrow(each, shape)
+
+
+def make_variants(images: DataFrame, fast: bool = False) -> DataFrame:
+    """(image_id, ord, variant, width, height, content, error): all variants of each image.
+
+    An image that is null, empty or of the wrong length gives one row with ``error`` INVALID_IMAGE and nothing else.
+    """
+    order = {name: o for name, o, _, _ in dims.VARIANTS}
+
+    def run(row: dict) -> list[tuple]:
+        img = decoded(row["content"], row["width"], row["height"])
+        if img is None:
+            return [(None, None, None, None, None, "INVALID_IMAGE")]
+        return [(order[name], name, v.shape[1], v.shape[0], v.tobytes(), None) for name, v in variants(img, fast).items()]
+
+    return _mapped(images, run, "ord int, variant string, width int, height int, content binary, error string")
+
+
+def page_regions(images: DataFrame) -> DataFrame:
+    """(image_id, width, height, content, was_warped) of images with ``corners``, four points (x, y) in any order.
+
+    The page is rectified to its longer sides; one with a side below 50 leaves the image as it is. Without corners,
+    or where they span no quadrilateral, the image loses a margin of 5 % on each side. Invalid images give nulls.
+    """
+    ordered = images.withColumn("corners", F.when(F.size("corners") == 4, image.order_points(F.col("corners"))))
+    width, height = image.warp_size(F.col("corners"))
+    ordered = ordered.withColumns({"to_w": width, "to_h": height})
+
+    def run(row: dict) -> list[tuple]:
+        img = decoded(row["content"], row["width"], row["height"])
+        if img is None:
+            return [(None, None, None, None)]
+        out, warped = img, row["corners"] is not None
+        if row["to_w"] is not None:
+            try:
+                out = warp(img, np.array([[p["x"], p["y"]] for p in row["corners"]]), row["to_w"], row["to_h"])
+            except np.linalg.LinAlgError:
+                warped = False
+        if not warped:
+            my, mx = img.shape[0] * 5 // 100, img.shape[1] * 5 // 100
+            out = img[my : img.shape[0] - my, mx : img.shape[1] - mx]
+        return [(out.shape[1], out.shape[0], out.tobytes(), warped)]
+
+    return _mapped(ordered, run, "width int, height int, content binary, was_warped boolean", "corners", "to_w", "to_h")
+
+
+def graymap(width: Column, height: Column, content: Column) -> Column:
+    """Bytes of a binary portable graymap, as ``sources.folders.raw_gray`` reads them."""
+    head = F.concat(F.lit("P5\n"), width.cast("string"), F.lit(" "), height.cast("string"), F.lit("\n255\n"))
+    return F.concat(F.encode(head, "ISO-8859-1"), content)
+
+
 def apply(pixels: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Run a filter over every image of a pixel table (image_id, y, x, v). A task holds one image at a time."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf.y.max()) + 1, int(pdf.x.max()) + 1
-        img = np.zeros((h, w), np.uint8)
-        img[pdf.y, pdf.x] = pdf.v
-        out = kernel(img)
+    def run(row: dict) -> list[tuple]:
+        out = kernel(decoded(row["content"], row["width"], row["height"]))
         y, x = np.indices(out.shape)
-        return pd.DataFrame({"image_id": pdf.image_id.iloc[0], "y": y.ravel(), "x": x.ravel(), "v": out.ravel().astype(int)})
+        return list(zip(y.ravel().tolist(), x.ravel().tolist(), out.ravel().tolist(), strict=True))
 
-    return pixels.select("image_id", "y", "x", "v").groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, v int")
+    return _mapped(to_images(pixels), run, "y int, x int, v int")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pagelight.functions.text import rounded
 from pagelight.operators import image as I
-from pagelight.operators import kernels as K
 from pagelight.plans.registry import query, table
 from pagelight.plans.text import R, rows, values
 
@@ -164,16 +163,3 @@ def contour_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(100000.0).alias("img_area"),
     )
     return I.page_contours(made)
-
-
-def _kernel(name: str, run):
-    def made(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return K.apply(pixels(spark, sf_dir), run)
-
-    made.__name__ = f"kernel_{name}"
-    made.__doc__ = f"Every image filtered by ``kernels.{run.__name__}``; no SQL form."
-    return query()(made)
-
-
-for _name, _run in (("clahe", K.clahe), ("illumination", K.normalize_illumination), ("adaptive_gaussian", K.adaptive_gaussian), ("unsharp", K.unsharp), ("bilateral", K.bilateral), ("upscale", K.upscale)):
-    _kernel(_name, _run)

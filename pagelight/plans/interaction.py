@@ -45,6 +45,16 @@ def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("user_id", "event_id", T.rounded(F.col("area_ratio"), 6).alias("area_ratio"), T.rounded(F.col("movement"), 6).alias("movement"), "stable_count", "status")
 
 
+@query(f"""WITH {STABLE} SELECT user_id, event_id, CASE WHEN status = 'PAGE_STABLE' THEN 'PAGE STABLE (' || stable_count || '/4)' WHEN status = 'PAGE_DETECTED' THEN 'HOLD STILL (' || stable_count || '/4)'
+WHEN area_ratio IS NULL THEN 'SEARCHING FOR BOOK PAGE...' ELSE 'PAGE TOO SMALL (' || printf('%.1f', area_ratio * 100) || '%)' END AS label,
+CASE WHEN status = 'PAGE_STABLE' THEN '0,255,0' WHEN status = 'PAGE_DETECTED' THEN '0,255,255' WHEN area_ratio IS NULL THEN '0,0,255' ELSE '0,165,255' END AS colour, status <> 'PAGE_NOT_FOUND' AS outlined FROM st""")
+def frame_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the preview of each frame shows."""
+    made = O.stability(frames(spark, sf_dir), "user_id", ORDER)
+    shown = made.select("user_id", "event_id", O.overlay(F.col("status"), F.col("area_ratio"), F.col("stable_count")).alias("o"))
+    return shown.select("user_id", "event_id", "o.label", F.array_join("o.colour", ",").alias("colour"), "o.outlined")
+
+
 @query(f"WITH {STABLE} SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM st WHERE status = 'PAGE_STABLE') WHERE rn = 1")
 def first_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.first_stable(O.stability(frames(spark, sf_dir), "user_id", ORDER), "user_id", ORDER).select("user_id", "event_id")

@@ -34,7 +34,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from pagelight.plans import history, images, interaction, recognition, streams, text  # noqa: F401
+    from pagelight.plans import filters, history, images, interaction, recognition, streams, text  # noqa: F401
 
 
 _load()

@@ -73,6 +73,24 @@ class Settings:
     camera_width: int = 1920
     camera_height: int = 1080
     translation: bool = False
+    translation_target: str = "en"
+    platform: str = "mac"
+    camera_backend: str = "mac"
+    camera_index: int = 0
+    camera_fps: int = 30
+    detection_fps: int = 10
+    audio_backend: str = "mac"
+    audio_device: str = "plughw:3,0"
+    recogniser: str = ""
+    recogniser_data: str = ""
+    pin_power: int = 17
+    pin_volume_up: int = 27
+    pin_volume_down: int = 22
+    pin_light: int = 24
+    debug: bool = True
+    preview: bool = False
+    save_images: bool = True
+    data_folder: str = "data"
 
     @classmethod
     def load(cls, spark: SparkSession) -> Settings:
@@ -87,6 +105,11 @@ class Settings:
     def language_list(self) -> list[str]:
         return [x.strip() for x in (self.languages or type(self).languages).replace("+", ",").split(",") if x.strip()]
 
+    @property
+    def folders(self) -> dict[str, str]:
+        """Where captures, processed images, recognised pages, logs and the tables lie."""
+        return {name: f"{self.data_folder}/{name}" for name in ("captures", "processed", "ocr", "logs", "tables")}
+
     @property
     def resolution(self) -> tuple[int, int]:
         return self.camera_width, self.camera_height

@@ -177,6 +177,39 @@ def test_kernel_over_pixels(spark):
     assert K.apply(df, K.upscale).groupBy("image_id").count().filter("count = 108").count() == 2
 
 
+def test_variants_of_images(spark):
+    rng = np.random.default_rng(3)
+    img = rng.integers(0, 256, (20, 30), dtype=np.uint8)
+    rows = [(1, 30, 20, img.tobytes()), (2, 30, 20, None), (3, 0, 0, b""), (4, 30, 21, img.tobytes())]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "image_id long, width int, height int, content binary, variant string")
+    got = K.make_variants(df).collect()
+    assert [r.variant for r in sorted((r for r in got if r.image_id == 1), key=lambda r: r.ord)] == [v[0] for v in K.dims.VARIANTS]
+    assert sorted(r.image_id for r in got if r.error == "INVALID_IMAGE") == [2, 3, 4]
+    assert {r.variant: bytes(r.content) for r in got if r.image_id == 1}["sharpened"] == K.unsharp(K.normalize_illumination(img)).tobytes()
+    assert len([r for r in K.make_variants(df, fast=True).collect() if r.image_id == 1]) == 6
+    assert K.make_variants(df.filter("image_id > 9")).collect() == []
+    assert len(K.variants(np.zeros((2, 2400), np.uint8))) == 8
+
+
+def test_page_regions(spark):
+    img = (np.indices((100, 120)).sum(axis=0) % 256).astype(np.uint8)
+    quads = {1: [(10.0, 10.0), (109.0, 10.0), (109.0, 89.0), (10.0, 89.0)], 2: None, 3: [(0.0, 0.0), (60.0, 60.0), (60.0, 60.0), (0.0, 0.0)], 4: [(0.0, 0.0)], 5: [(1.0, 1.0), (20.0, 1.0), (20.0, 20.0), (1.0, 20.0)]}
+    df = spark.createDataFrame([(i, 120, 100, img.tobytes(), q) for i, q in quads.items()] + [(6, 120, 100, None, None)], "image_id long, width int, height int, content binary, corners array<struct<x:double,y:double>>")
+    got = {r.image_id: r for r in K.page_regions(df).collect()}
+    assert (got[1].width, got[1].height, got[1].was_warped) == (99, 79, True)
+    flat = np.frombuffer(got[1].content, np.uint8).reshape(79, 99)
+    assert np.abs(flat[[0, 0, -1, -1], [0, -1, 0, -1]].astype(int) - img[[10, 10, 89, 89], [10, 109, 10, 109]]).max() <= 1
+    assert all((got[i].width, got[i].height, got[i].was_warped) == (108, 90, False) for i in (2, 3, 4))
+    assert bytes(got[2].content) == img[5:95, 6:114].tobytes()
+    assert bytes(got[5].content) == img.tobytes() and got[5].was_warped and got[6].width is None
+
+
+def test_written_graymap_is_read_back(spark, tmp_path):
+    df = spark.createDataFrame([(7, 3, 2, bytes([0, 10, 200, 255, 13, 7]))], "image_id long, width int, height int, content binary")
+    made = df.select(K.graymap(F.col("width"), F.col("height"), F.col("content")).alias("content"), F.lit("a").alias("path"))
+    assert sorted((r.y, r.x, r.v) for r in folders.raw_gray(made).collect()) == [(0, 0, 0), (0, 1, 10), (0, 2, 200), (1, 0, 255), (1, 1, 13), (1, 2, 7)]
+
+
 def test_graymap_scan(spark, tmp_path):
     (tmp_path / "a.pgm").write_bytes(b"P5\n3 2\n255\n" + bytes([0, 10, 200, 255, 13, 7]))
     (tmp_path / "b.jpg").write_bytes(b"\xff\xd8 nothing")
@@ -189,6 +222,7 @@ def test_settings(spark):
     spark.conf.set("pagelight.fast_mode", "Yes")
     spark.conf.set("pagelight.languages", "eng+tam")
     s = folders.Settings.load(spark)
+    assert s.pin_light == 24 and s.save_images and s.folders["ocr"] == "data/ocr"
     assert s.fast_mode and s.language_list == ["eng", "tam"] and s.early_stop_score == 85.0 and s.resolution == (1920, 1080)
     spark.conf.unset("pagelight.fast_mode")
     spark.conf.unset("pagelight.languages")
