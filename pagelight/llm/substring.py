@@ -1,16 +1,21 @@
 """Substring deduplication by Rabin-Karp hashes of every token window, counted in Spark.
 
-1. Each task hashes every window of ``window`` consecutive words of its documents (a Rabin-Karp
-   polynomial over 64-bit word hashes) and packs them into one row for each range of hash values.
-   A hash that several of the task's documents share is sent once, for the smallest doc_id; the task
-   itself marks the others. So a passage in a third of all documents costs one entry for each task.
-2. Each range of hash values is counted on its own: every document that holds a hash which also
-   starts in a document with a smaller doc_id gets a mark for it.
-3. Documents meet their marks; the marked windows merge into maximal removal intervals.
-
-Ranges and groups grow in number with the input, so no task grows. Two different windows are taken
-for equal if their 64-bit hashes collide: at 10^8 windows the expected number of such pairs is below
-0.001, and it grows with the square of the windows (about 4 of 10^7 windows at 10^13).
+Documents are dealt into groups by id and text, once; every later step reads that exchange again.
+
+1. Each group hashes every window of ``window`` consecutive words of its documents (a Rabin-Karp polynomial
+   over 64-bit word hashes, cut to ``SPARE`` bits more than the table has groups) and sends each hash once,
+   packed by ranges of hash values, without ids: about three bytes a window, however often it stands there.
+2. Each range is counted: hashes that several groups hold go back to these groups.
+3. Only for windows of these hashes a group sends a 64-bit hash of the words' text itself with its smallest
+   doc_id, so that windows which merely share a short hash part here.
+4. Each range answers the groups whose smallest document is not the smallest of all.
+5. A group marks the windows so answered, and those that a smaller document of its own holds; marked windows
+   merge into maximal removal intervals.
+
+So a passage in a third of all documents costs each group one entry. Groups and ranges grow in number with
+the input, so no task grows, and the share of windows that reach step 3 for nothing stays below 0.1 %. Two
+different windows count as equal only if both the polynomial and the hash of their text collide, more than
+94 bits in all: at 10^13 windows, where the polynomial has 50 bits, 10^-8 such pairs are expected.
 
 Defined results: a null or empty text has no words; a text of fewer than ``window`` words loses
 nothing; rows with the same doc_id are never judged against each other; a null doc_id counts as larger
@@ -31,17 +36,17 @@ from pagelight.llm.common import plan_bytes
 
 WINDOW = 13
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Windows that a task hashes before it sends them.
-BLOCK = 1 << 21
-#: Bytes of the stored table for each range of hash values.
-RANGE_BYTES = 3 << 20
+#: Bits of a window's hash beyond those that name its range. Sources of a range are numbered in 24 bits.
+SPARE = 30
+#: Bytes of the stored table for each group, and for each range of hash values.
+GROUP_BYTES = 3 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    return np.array([*map(xxh64_intdigest, words)], np.uint64)
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -61,6 +66,17 @@ def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
     return mixed(out)
 
 
+def text_hashes(words: list[bytes], at: np.ndarray, window: int) -> np.ndarray:
+    """Hash of the words' text for each window that begins at one of ``at``. No word holds a blank, so the text names the words."""
+    from xxhash import xxh3_64_intdigest
+
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = ends - np.fromiter(map(len, words), np.int64, len(words)) - 1
+    text = b" ".join(words)
+    spans = zip(starts[at].tolist(), (ends[at + window - 1] - 1).tolist(), strict=True)
+    return np.fromiter((xxh3_64_intdigest(text[a:z]) for a, z in spans), np.uint64, len(at))
+
+
 def pack(x: np.ndarray) -> tuple[int, int, bytes]:
     """Ascending integers as (first, bytes for each step, steps)."""
     step = np.diff(x).astype(np.uint64)
@@ -93,34 +109,6 @@ def unpack_ids(packed: tuple[int, int, bytes]) -> np.ndarray:
     return (off.reshape(-1).view(np.uint64) + np.array(low, np.int64).view(np.uint64)).view(np.int64)
 
 
-def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
-    """``pmod(xxhash64(id), groups)`` as Spark computes it, for a power of two: XXH64 of eight bytes, seed 42."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-    h = np.full(len(ids), 42 + 8, np.uint64) + p5
-    h = turn(h ^ (turn(ids.view(np.uint64) * p2, 31) * p1), 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return ((h ^ (h >> np.uint64(32))) & np.uint64(groups - 1)).astype(np.int64)
-
-
-def pack_marks(ids: np.ndarray, hashes: np.ndarray, groups: int) -> list[tuple[int, bytes]]:
-    """(group, marks) rows: by document its marked hashes."""
-    out = []
-    group = group_of(ids, groups)
-    order = np.lexsort((hashes, ids, group))
-    ids, hashes, group = ids[order], hashes[order], group[order]
-    for a, z in runs(group):
-        own, n = np.unique(ids[a:z], return_counts=True)
-        out.append((int(group[a]), pickle.dumps((pack(own), n.astype(np.uint32).tobytes(), hashes[a:z].tobytes()))))
-    return out
-
-
-def unpack_marks(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, n, low = pickle.loads(raw)
-    return unpack(ids, np.int64), np.frombuffer(n, np.uint32).astype(np.int64), np.frombuffer(low, np.uint64)
-
-
 def runs(x: np.ndarray) -> list[tuple[int, int]]:
     if not len(x):
         return []
@@ -128,37 +116,120 @@ def runs(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(heads.tolist(), [*heads[1:].tolist(), len(x)], strict=True))
 
 
-def count_block(ids: list[int], hashes: list[np.ndarray], bits: int, groups: int) -> Iterator[tuple[int, int, bytes]]:
-    """(kind, key, payload) rows of a task's documents. Kind 0: hashes of range key with their smallest document; 1: marks of group key."""
-    order = np.argsort(np.array(ids, np.int64), kind="stable")
-    own = np.array(ids, np.int64)[order]
-    n = np.array([len(hashes[i]) for i in order])
-    h, doc = np.concatenate([hashes[i] for i in order]), np.repeat(own, n)
-    if not len(h):
-        return
-    by = np.argsort(h, kind="stable")
-    h, doc = h[by], doc[by]
-    head = np.r_[True, h[1:] != h[:-1]]
-    smallest = doc[head][np.cumsum(head) - 1]
-    again = doc > smallest
-    if again.any():
-        pair = np.unique(np.rec.fromarrays([doc[again], h[again]]))
-        for group, marks in pack_marks(pair.f0.copy(), pair.f1.copy(), groups):
-            yield 1, group, marks
-    h, doc = h[head], doc[head]
-    for a, z in runs(h >> np.uint64(64 - bits) if bits else np.zeros(len(h), np.uint64)):
-        yield 0, int(h[a] >> np.uint64(64 - bits)) if bits else 0, pickle.dumps((pack(h[a:z]), pack_ids(doc[a:z])))
-
-
-def count_range(payloads: list[bytes], groups: int) -> list[tuple[int, bytes]]:
-    """Marks for all but the smallest document of each hash."""
+def member(x: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in ``among``, an ascending array: a bit table first, binary search for what it lets through."""
+    if not len(among) or not len(x):
+        return np.zeros(len(x), bool)
+    size = np.uint64((1 << max(10, min(24, len(among).bit_length() + 4))) - 1)
+    table = np.zeros(int(size) + 1, bool)
+    table[among & size] = True
+    out = table[x & size]
+    maybe = np.flatnonzero(out)
+    near = np.minimum(np.searchsorted(among, x[maybe]), len(among) - 1)
+    out[maybe] = among[near] == x[maybe]
+    return out
+
+
+class Group:
+    """The documents of a group: words, ids and short window hashes, and keys of the windows that matter."""
+
+    def __init__(self, ids: list[int | None], texts: list[bytes | None], bits: int, window: int) -> None:
+        self.window = window
+        self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
+        self.words = [(t or b"").split() for t in texts]
+        cut = np.uint64(64 - bits - SPARE)
+        self.hashes = [window_hashes(word_hashes(w), window) >> cut if len(w) >= window else np.empty(0, np.uint64) for w in self.words]
+        self.flat = np.concatenate([*self.hashes, np.empty(0, np.uint64)])
+
+    def repeated(self) -> np.ndarray:
+        """Hashes that stand more than once here, ascending."""
+        x = np.sort(self.flat)
+        return np.unique(x[1:][x[1:] == x[:-1]])
+
+    def keys(self, among: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, text hash, document's place, window's place) of every window with a hash in ``among``."""
+        hit = np.flatnonzero(member(self.flat, among))
+        stops = np.cumsum([len(h) for h in self.hashes], dtype=np.int64)
+        doc = np.searchsorted(stops, hit, side="right")
+        at = hit - np.concatenate([[0], stops])[doc]
+        texts = [text_hashes(self.words[int(doc[a])], at[a:z], self.window) for a, z in runs(doc)]
+        return self.flat[hit], np.concatenate([*texts, np.empty(0, np.uint64)]), doc, at
+
+
+def smallest(h: np.ndarray, text: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, head, smallest id) of entries in the order of hash, text hash and id; heads begin a key."""
+    order = np.lexsort((ids, text, h))
+    h, text, ids = h[order], text[order], ids[order]
+    head = np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (text[1:] != text[:-1])])
+    return order, head, ids[head][np.cumsum(head) - 1] if len(h) else ids
+
+
+def ranged(h: np.ndarray) -> list[tuple[int, int, int]]:
+    """(range, begin, end) of ascending hashes."""
+    key = h >> np.uint64(SPARE)
+    return [(int(key[a]), a, z) for a, z in runs(key)]
+
+
+def send_hashes(group: Group) -> Iterator[tuple[int, bytes]]:
+    h = np.unique(group.flat)
+    for key, a, z in ranged(h):
+        yield key, pickle.dumps(pack(h[a:z]))
+
+
+def count_hashes(key: int, sources: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """(group, hashes): those of a range that several groups hold."""
+    low, spare = np.uint64((1 << SPARE) - 1), np.uint64(SPARE)
+    parts = [((unpack(pickle.loads(p)) & low) << np.uint64(24)) | np.uint64(s) for s, p in zip(sources, payloads, strict=True)]
+    x = np.sort(np.concatenate(parts))
+    h, source = x >> np.uint64(24), x & np.uint64((1 << 24) - 1)
+    same = h[1:] == h[:-1]
+    held = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    y = np.sort((source[held] << spare) | h[held])
+    for a, z in runs(y >> spare):
+        yield int(y[a] >> spare), pickle.dumps(pack((y[a:z] & low) | np.uint64(key << SPARE)))
+
+
+def send_keys(group: Group, payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """(range, keys with the smallest id) of the windows whose hash other groups hold too."""
+    h, text, doc, _ = group.keys(np.sort(np.concatenate([unpack(pickle.loads(p)) for p in payloads])))
+    order, head, first = smallest(h, text, group.ids[doc])
+    h, text, first = h[order][head], text[order][head], first[head]
+    for key, a, z in ranged(h):
+        yield key, pickle.dumps((pack(h[a:z]), text[a:z].tobytes(), pack_ids(first[a:z])))
+
+
+def count_keys(sources: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """(group, keys) of which another group holds a smaller document."""
     parts = [pickle.loads(p) for p in payloads]
-    h, doc = np.concatenate([unpack(p[0]) for p in parts]), np.concatenate([unpack_ids(p[1]) for p in parts])
-    order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
-    head = np.r_[True, h[1:] != h[:-1]]
-    again = doc > doc[head][np.cumsum(head) - 1]
-    return pack_marks(doc[again], h[again], groups) if again.any() else []
+    hs = [unpack(h) for h, _, _ in parts]
+    h, text = np.concatenate(hs), np.concatenate([np.frombuffer(t, np.uint64) for _, t, _ in parts])
+    ids, source = np.concatenate([unpack_ids(i) for _, _, i in parts]), np.repeat(np.array(sources, np.int64), [len(x) for x in hs])
+    order, _, first = smallest(h, text, ids)
+    late = order[ids[order] > first]
+    late = late[np.argsort(source[late], kind="stable")]
+    for a, z in runs(source[late]):
+        own = late[a:z]
+        yield int(source[own[0]]), pickle.dumps((pack(h[own]), text[own].tobytes()))
+
+
+def marked(group: Group, payloads: list[bytes]) -> list[np.ndarray | None]:
+    """For each document where its marked windows begin, as booleans; None where it has none."""
+    told = [pickle.loads(p) for p in payloads]
+    far_h = np.concatenate([*(unpack(h) for h, _ in told), np.empty(0, np.uint64)])
+    far_text = np.concatenate([*(np.frombuffer(t, np.uint64) for _, t in told), np.empty(0, np.uint64)])
+    h, text, doc, at = group.keys(np.union1d(far_h, group.repeated()))
+    far = set(zip(far_h.tolist(), far_text.tolist(), strict=True))
+    order, _, first = smallest(h, text, group.ids[doc])
+    gone = np.zeros(len(h), bool)
+    gone[order] = group.ids[doc][order] > first
+    gone |= np.fromiter((k in far for k in zip(h.tolist(), text.tolist(), strict=True)), bool, len(h)) if far else False
+    out: list[np.ndarray | None] = [None] * len(group.ids)
+    doc, at = doc[gone], at[gone]
+    for a, z in runs(doc):
+        d = int(doc[a])
+        out[d] = np.zeros(len(group.hashes[d]), bool)
+        out[d][at[a:z]] = True
+    return out
 
 
 def removal(starts: np.ndarray, n_words: int, window: int) -> np.ndarray:
@@ -177,70 +248,53 @@ def intervals(covered: np.ndarray) -> list[dict]:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, removed, kept): word intervals that go, and the words that stay, joined by one space."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bits = max(4, min(24, (plan_bytes(docs, text_col) // RANGE_BYTES).bit_length()))
-    groups = 1 << bits
-    sent = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("payload", pa.binary())])
-    shape = "kind int, key long, payload binary"
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, got, n = [], [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for kind, key, payload in count_block(ids, got, bits, groups):
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([key], pa.int64()), pa.array([payload], pa.binary())], schema=sent)
-
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
-                w = window_hashes(word_hashes((texts[i].as_py() or b"").split()), window)
-                if len(w):
-                    ids.append(NO_ID if doc is None else doc)
-                    got.append(w)
-                    n += len(w)
-                if n >= BLOCK:
-                    yield from flush()
-                    ids, got, n = [], [], 0
-        if n:
-            yield from flush()
-
-    def count(table: pa.Table) -> pa.Table:
-        payloads = table.column("payload").to_pylist()
-        if table.column("kind")[0].as_py():
-            found = [(table.column("key")[0].as_py(), p) for p in payloads]
-        else:
-            found = count_range(payloads, groups)
-        return pa.table({"grp": pa.array([g for g, _ in found], pa.int64()), "marks": pa.array([m for _, m in found], pa.binary())})
-
+    bits = max(4, min(24, (plan_bytes(docs, text_col) // GROUP_BYTES).bit_length()))
+    sent = pa.schema([("key", pa.int64()), ("grp", pa.int64()), ("payload", pa.binary())])
+    shape = "key long, grp long, payload binary"
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("kept", pa.string())])
 
-    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        marked: dict[int, list[np.ndarray]] = {}
-        for raw in right.column("marks").to_pylist():
-            ids, n, low = unpack_marks(raw)
-            for doc, z, k in zip(ids.tolist(), np.cumsum(n).tolist(), n.tolist(), strict=True):
-                marked.setdefault(doc, []).append(low[z - k : z])
+    def table(made: list[tuple[int, int, bytes]]) -> pa.Table:
+        columns = zip(*made, strict=True) if made else ([], [], [])
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, sent, strict=True)], schema=sent)
+
+    def group(docs: pa.Table) -> Group:
+        return Group(docs.column("doc_id").to_pylist(), docs.column("text").cast(pa.binary()).to_pylist(), bits, window)
+
+    def hashes(docs: pa.Table) -> pa.Table:
+        own = docs.column("grp")[0].as_py()
+        return table([(key, own, p) for key, p in send_hashes(group(docs))])
+
+    def shared(sent: pa.Table) -> pa.Table:
+        key = sent.column("key")[0].as_py()
+        return table([(key, g, p) for g, p in count_hashes(key, sent.column("grp").to_pylist(), sent.column("payload").to_pylist())])
+
+    def keys(docs: pa.Table, told: pa.Table) -> pa.Table:
+        if not told.num_rows:
+            return table([])
+        own = told.column("grp")[0].as_py()
+        return table([(key, own, p) for key, p in send_keys(group(docs), told.column("payload").to_pylist())])
+
+    def late(sent: pa.Table) -> pa.Table:
+        key = sent.column("key")[0].as_py()
+        return table([(key, g, p) for g, p in count_keys(sent.column("grp").to_pylist(), sent.column("payload").to_pylist())])
+
+    def apply(docs: pa.Table, told: pa.Table) -> pa.Table:
+        own = group(docs)
         made: list[list] = [[], [], [], []]
-        for doc, text in zip(left.column("doc_id").to_pylist(), left.column("text").cast(pa.binary()), strict=True):
-            words = (text.as_py() or b"").split()
-            gone = []
-            n_gone = 0
-            low = marked.get(NO_ID if doc is None else doc)
-            if low:
-                starts = np.isin(window_hashes(word_hashes(words), window), np.concatenate(low))
+        for words, starts in zip(own.words, marked(own, told.column("payload").to_pylist()), strict=True):
+            gone, n_gone, kept = [], 0, words
+            if starts is not None:
                 covered = removal(starts, len(words), window)
                 gone, n_gone = intervals(covered), int(covered.sum())
                 kept = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
-            else:
-                kept = words
             for column, value in zip(made, (len(words), n_gone, gone, b" ".join(kept).decode()), strict=True):
                 column.append(value)
-        return pa.Table.from_arrays([left.column("doc_id").combine_chunks(), *(pa.array(x, f.type) for x, f in zip(made, list(out)[1:], strict=True))], schema=out)
+        return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), *(pa.array(x, f.type) for x, f in zip(made, list(out)[1:], strict=True))], schema=out)
 
-    blocks = rows.mapInArrow(hashes, shape)
-    marks = blocks.groupBy("kind", "key").applyInArrow(count, "grp long, marks binary")
-    code = F.coalesce("doc_id", F.lit(NO_ID))
-    dealt = rows.withColumn("grp", F.pmod(F.xxhash64(code), F.lit(groups)))
-    return dealt.groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(apply, "doc_id long, n_words long, n_removed long, removed array<struct<start:int,stop:int>>, kept string")
+    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << bits)))
+    held = dealt.groupBy("grp").applyInArrow(hashes, shape).groupBy("key").applyInArrow(shared, shape)
+    told = dealt.groupBy("grp").cogroup(held.groupBy("grp")).applyInArrow(keys, shape).groupBy("key").applyInArrow(late, shape)
+    return dealt.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(apply, "doc_id long, n_words long, n_removed long, removed array<struct<start:int,stop:int>>, kept string")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -52,27 +52,65 @@ def test_against_brute_force(spark, seed):
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize("per_block", [1, 7, 1000])
-def test_blocks_and_ranges(per_block):
-    rows = [(d, t) for d, t in sample(9) if d is not None]
-    groups, bits = 16, 4
-    got, keep = {}, {}
-    for at in range(0, len(rows), per_block):
-        some = [(d, substring.window_hashes(substring.word_hashes((t or "").encode().split()), 13)) for d, t in rows[at : at + per_block]]
-        for kind, key, payload in substring.count_block([d for d, _ in some], [h for _, h in some], bits, groups):
-            (keep if kind else got).setdefault(key, []).append(payload)
-    marks = [m for p in got.values() for m in substring.count_range(p, groups)] + [(g, m) for g, p in keep.items() for m in p]
-    found = set()
-    for group, raw in marks:
-        ids, n, low = substring.unpack_marks(raw)
-        assert (substring.group_of(ids, groups) == group).all()
-        found |= set(zip(np.repeat(ids, n).tolist(), low.tolist(), strict=True))
-    first, held = {}, set()
-    for d, t in rows:
-        for h in substring.window_hashes(substring.word_hashes((t or "").encode().split()), 13).tolist():
-            first[h] = min(first.get(h, d), d)
-            held.add((d, h))
-    assert found == {(d, h) for d, h in held if first[h] < d}
+def plain_hashes(monkeypatch, bits):
+    """Leave only ``bits`` bits of a window's polynomial."""
+    full = substring.window_hashes
+    monkeypatch.setattr(substring, "window_hashes", lambda words, window: (full(words, window) >> np.uint64(64 - bits)) << np.uint64(64 - bits))
+
+
+@pytest.mark.parametrize("n_groups", [1, 3, 16])
+@pytest.mark.parametrize("hash_bits", [64, 8, 1])
+def test_steps_against_brute_force(monkeypatch, n_groups, hash_bits):
+    """The five steps without Spark; also where most windows collide in their polynomial."""
+    if hash_bits < 64:
+        plain_hashes(monkeypatch, hash_bits)
+    rows, bits = sample(9), 4
+    groups = {g: substring.Group([d for d, _ in rows[g::n_groups]], [None if t is None else t.encode() for _, t in rows[g::n_groups]], bits, 13) for g in range(n_groups)}
+
+    def deal(made):
+        out = {}
+        for key, source, payload in made:
+            out.setdefault(key, []).append((source, payload))
+        return out
+
+    sent = deal((key, g, p) for g, own in groups.items() for key, p in substring.send_hashes(own))
+    told = deal((g, key, p) for key, got in sent.items() for g, p in substring.count_hashes(key, [s for s, _ in got], [p for _, p in got]))
+    sent = deal((key, g, p) for g, got in told.items() for key, p in substring.send_keys(groups[g], [p for _, p in got]))
+    told = deal((g, key, p) for key, got in sent.items() for g, p in substring.count_keys([s for s, _ in got], [p for _, p in got]))
+    found = []
+    for g, own in groups.items():
+        for (d, _), words, starts in zip(rows[g::n_groups], own.words, substring.marked(own, [p for _, p in told.get(g, [])]), strict=True):
+            gone = np.zeros(len(words), bool) if starts is None else substring.removal(starts, len(words), 13)
+            kept = b" ".join(w for w, c in zip(words, gone.tolist(), strict=True) if not c)
+            found.append((d, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
+    assert sorted(found, key=str) == brute(rows)
+
+
+def test_member_and_packing():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 5000, 3000).astype(np.uint64)
+    among = np.unique(rng.integers(0, 5000, 700)).astype(np.uint64)
+    assert (substring.member(x, among) == np.isin(x, among)).all()
+    assert not substring.member(x, among[:0]).any() and not len(substring.member(x[:0], among))
+    wide = np.sort(rng.integers(0, 2**63, 50)).astype(np.uint64)
+    assert (substring.unpack(substring.pack(wide)) == wide).all()
+    ids = np.array([5, -(2**63), 2**63 - 1, 0], np.int64)
+    assert (substring.unpack_ids(substring.pack_ids(ids)) == ids).all()
+
+
+def test_many_rows_without_id(spark):
+    text = " ".join(f"t{i}" for i in range(40))
+    rows = [(None, f"own{i} " + text) for i in range(60)] + [(None, text)] * 30 + [(4, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(r) for r in substring.digest(df).collect()), key=str) == brute(rows)
+
+
+def test_one_very_long_text(spark):
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(300_000))
+    part = " ".join(long.split()[1000:1100])
+    got = {r.doc_id: r for r in substring.remove_repeats(spark.createDataFrame([(2, long), (1, "x " + part + " y")], "doc_id long, text string")).collect()}
+    assert got[2].n_words == 300_000 and [tuple(x) for x in got[2].removed] == [(1000, 1100)] and got[1].n_removed == 0
 
 
 def test_intervals_and_empty(spark):
@@ -81,13 +119,3 @@ def test_intervals_and_empty(spark):
     got = {r.doc_id: r for r in substring.remove_repeats(df).collect()}
     assert [tuple(x) for x in got[2].removed] == [(2, 22)] and got[2].kept == "a b c" and got[1].removed == []
     assert substring.digest(df.filter("doc_id > 9")).collect() == []
-
-
-def test_groups_are_those_of_spark(spark):
-    import numpy as np
-    from pyspark.sql import functions as F
-
-    ids = [0, 1, -1, 2**32, 3 * 2**32, 2**63 - 1, -(2**63), *range(1000, 1200)]
-    got = [r.g for r in spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "i int, x long").orderBy("i").select(F.pmod(F.xxhash64("x"), F.lit(256)).alias("g")).collect()]
-    assert substring.group_of(np.array(ids, np.int64), 256).tolist() == got
-    assert len(set(substring.group_of(np.arange(4096) << 32, 256).tolist())) == 256
