@@ -40,7 +40,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 SPARE = 30
 #: Bytes of the stored table for each group, and for each range of hash values.
 GROUP_BYTES = 3 << 20
-NO_ID = np.iinfo(np.int64).max
+NO_ID, BELOW = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -116,6 +116,12 @@ def runs(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(heads.tolist(), [*heads[1:].tolist(), len(x)], strict=True))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Ascending, each once: sorting beats the hash table that ``numpy.unique`` fills."""
+    x = np.sort(x)
+    return x[np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])]
+
+
 def member(x: np.ndarray, among: np.ndarray) -> np.ndarray:
     """Which of ``x`` are in ``among``, an ascending array: a bit table first, binary search for what it lets through."""
     if not len(among) or not len(x):
@@ -142,9 +148,9 @@ class Group:
         self.flat = np.concatenate([*self.hashes, np.empty(0, np.uint64)])
 
     def repeated(self) -> np.ndarray:
-        """Hashes that stand more than once here, ascending."""
+        """Hashes that stand more than once here, ascending, with repeats."""
         x = np.sort(self.flat)
-        return np.unique(x[1:][x[1:] == x[:-1]])
+        return x[1:][x[1:] == x[:-1]]
 
     def keys(self, among: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hash, text hash, document's place, window's place) of every window with a hash in ``among``."""
@@ -171,7 +177,7 @@ def ranged(h: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def send_hashes(group: Group) -> Iterator[tuple[int, bytes]]:
-    h = np.unique(group.flat)
+    h = distinct(group.flat)
     for key, a, z in ranged(h):
         yield key, pickle.dumps(pack(h[a:z]))
 
@@ -217,12 +223,13 @@ def marked(group: Group, payloads: list[bytes]) -> list[np.ndarray | None]:
     told = [pickle.loads(p) for p in payloads]
     far_h = np.concatenate([*(unpack(h) for h, _ in told), np.empty(0, np.uint64)])
     far_text = np.concatenate([*(np.frombuffer(t, np.uint64) for _, t in told), np.empty(0, np.uint64)])
-    h, text, doc, at = group.keys(np.union1d(far_h, group.repeated()))
-    far = set(zip(far_h.tolist(), far_text.tolist(), strict=True))
-    order, _, first = smallest(h, text, group.ids[doc])
-    gone = np.zeros(len(h), bool)
-    gone[order] = group.ids[doc][order] > first
-    gone |= np.fromiter((k in far for k in zip(h.tolist(), text.tolist(), strict=True)), bool, len(h)) if far else False
+    h, text, doc, at = group.keys(np.sort(np.concatenate([far_h, group.repeated()])))
+    # a key told from afar counts as held by a document below all others
+    ids = np.concatenate([group.ids[doc], np.full(len(far_h), BELOW)])
+    order, _, first = smallest(np.concatenate([h, far_h]), np.concatenate([text, far_text]), ids)
+    late = np.zeros(len(ids), bool)
+    late[order] = ids[order] > first
+    gone = late[: len(h)]
     out: list[np.ndarray | None] = [None] * len(group.ids)
     doc, at = doc[gone], at[gone]
     for a, z in runs(doc):
