@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagelight.functions import dims
@@ -87,21 +88,39 @@ def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def upsert_to_end(changes: DataFrame, folder: str) -> DataFrame:
-    """Session rows after a stream of changes: every batch is folded into the table as it stood, written as a new version."""
+def _versions(spark: SparkSession, base: str, below: int) -> dict[int, str]:
+    """Of each bucket the folder that the newest batch before ``below`` wrote for it; at most ``buckets`` entries."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/v*/bucket=*")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    newest: dict[int, int] = {}
+    for status in found or []:
+        at = status.getPath()
+        number, bucket = int(at.getParent().getName()[1:]), int(at.getName().partition("=")[2])
+        if number < below:
+            newest[bucket] = max(number, newest.get(bucket, -1))
+    return {bucket: f"{base}/v{number}/bucket={bucket}" for bucket, number in newest.items()}
+
+
+def upsert_to_end(changes: DataFrame, folder: str, buckets: int = 64) -> DataFrame:
+    """Session rows after a stream of changes. Sessions lie in ``buckets`` by their hash; a batch reads and writes only those it touches.
+
+    Each batch writes its buckets as a version of its own, so a repeated batch starts from the same rows and writes the same files.
+    """
     spark: SparkSession = changes.sparkSession
     base = f"{folder}/sessions-{uuid.uuid4().hex}"
+    place = F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int")
+    columns = [c.split()[0] for c in history.SESSIONS.split(",")]
 
     def fold(batch: DataFrame, number: int) -> None:
-        new = history.upsert(batch)
-        if number:
-            old = batch.sparkSession.read.parquet(f"{base}/v{number - 1}")
-            new = history.merged(old, batch)
-        new.write.mode("overwrite").parquet(f"{base}/v{number}")  # a repeated batch writes the same version
+        own = batch.sparkSession
+        touched = {r.bucket for r in batch.select(place.alias("bucket")).distinct().collect()}
+        before = [path for bucket, path in _versions(own, base, number).items() if bucket in touched]
+        rows = history.merged(own.read.schema(history.SESSIONS).parquet(*before), batch) if before else history.upsert(batch)
+        rows.withColumn("bucket", place).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/v{number}")
 
     query = changes.writeStream.foreachBatch(fold).option("checkpointLocation", f"{base}-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = max((p["numInputRows"] and p["batchId"] for p in query.recentProgress), default=None)
-    if last is None:
+    last = list(_versions(spark, base, 1 << 62).values())
+    if not last:
         return spark.createDataFrame([], history.SESSIONS)
-    return spark.read.parquet(f"{base}/v{last}")
+    return spark.read.schema(history.SESSIONS).parquet(*last).select(*columns)

@@ -218,6 +218,23 @@ def test_graymap_scan(spark, tmp_path):
     assert sorted((r.y, r.x, r.v) for r in folders.raw_gray(found).collect()) == [(0, 0, 0), (0, 1, 10), (0, 2, 200), (1, 0, 255), (1, 1, 13), (1, 2, 7)]
 
 
+def test_sessions_by_batches(spark, tmp_path):
+    from pagelight.streaming import stateful
+
+    rng = random.Random(5)
+    rows = [(f"s{rng.randrange(30)}", i, f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", f"b{i % 7}", "en", "original", i, i % 9) for i in range(240)]
+    schema = "session_id string, seq long, ts string, book_id string, preferred_language string, read_mode string, current_page int, current_sentence int"
+    every = spark.createDataFrame(rows, schema).withColumn("ts", F.to_timestamp("ts"))
+    for n in range(4):
+        every.filter(F.floor(F.col("seq") / 60) == n).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for buckets in (1, 8):
+        got = stateful.upsert_to_end(stream, f"file://{tmp_path}", buckets)
+        want = H.upsert(every)
+        columns = sorted(want.columns)
+        assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+
+
 def test_settings(spark):
     spark.conf.set("pagelight.fast_mode", "Yes")
     spark.conf.set("pagelight.languages", "eng+tam")
