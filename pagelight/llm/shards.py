@@ -1,7 +1,8 @@
 """Sharding by sampled splitters, on DataFrame functions only.
 
 Records are ordered by (crc32 of the text, doc_id), so equal texts lie side by side and yet a group of
-copies can be cut anywhere. A size-weighted sample of keys gives quantile boundaries of many small
+copies can be cut anywhere; rows equal in both are told apart by their size and by a mark that each gets
+when the keys are written, so that a mass of equal rows is cut as well. A size-weighted sample of keys gives quantile boundaries of many small
 ranges; a range that comes out above ``overfull`` times the mean is sampled again and subdivided. The
 exact sizes of the ranges, and running sums inside each, then give every record its place in the whole
 order, and the place its shard: 16 stretches of near-equal bytes, whose ends differ from the ideal by
@@ -28,65 +29,68 @@ OVERFULL = 2.0
 ROUNDS = 6
 BINS = 4096
 LEAST = -(1 << 63)
+#: What records are ordered by.
+ORDER = ["crc", "key", "size", "tie"]
+Key = tuple[int, int, int, int]
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).cast("long").alias("crc"), F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("key"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).cast("long").alias("crc"), F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("key"), F.xxhash64(F.monotonically_increasing_id()).alias("tie"))
 
 
 def drawn(rows: DataFrame, rate: Column, seed: int) -> DataFrame:
     """Rows by a draw whose chance is size times rate; ``n`` counts how often a row larger than 1 / rate is due."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "crc", "key", "size"), F.lit(1 << 40)) / float(1 << 40)
+    u = F.pmod(F.xxhash64(F.lit(seed), *ORDER), F.lit(1 << 40)) / float(1 << 40)
     due = F.col("size") * rate
-    return rows.filter(u < due).select("crc", "key", F.greatest(F.lit(1.0), due).alias("n"))
+    return rows.filter(u < due).select(*ORDER, F.greatest(F.lit(1.0), due).alias("n"))
 
 
-def quantiles(sample: list[tuple[int, int, float]], parts: int) -> list[tuple[int, int]]:
+def quantiles(sample: list[tuple[Key, float]], parts: int) -> list[Key]:
     """Boundaries that cut the weighted sample in ``parts`` of near-equal weight."""
-    total, run, cuts = sum(n for _, _, n in sample), 0.0, []
-    for crc, key, n in sorted(sample):
+    total, run, cuts = sum(n for _, n in sample), 0.0, []
+    for key, n in sorted(sample):
         if run >= (len(cuts) + 1) * total / parts:
-            cuts.append((crc, key))
+            cuts.append(key)
         run += n
     return cuts
 
 
-def ranged(rows: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
+def ranged(rows: DataFrame, splitters: list[Key]) -> DataFrame:
     """``rows`` with their range number. Splitters are looked up by the crc's upper bits, then among the few of that bin."""
     spark = rows.sparkSession
     if not splitters:
         return rows.withColumn("range", F.lit(0))
-    flat = ",".join(f"{crc}:{key}" for crc, key in sorted(set(splitters)))
-    pair = F.transform(F.split(F.lit(flat), ","), lambda s: F.struct(F.split(s, ":")[0].cast("long").alias("crc"), F.split(s, ":")[1].cast("long").alias("key")))
-    bins = spark.range(BINS).withColumn("cuts", pair).select(
+    flat = ",".join(":".join(map(str, key)) for key in sorted(set(splitters)))
+    cuts = F.transform(F.split(F.lit(flat), ","), lambda s: F.struct(*[F.split(s, ":")[i].cast("long").alias(c) for i, c in enumerate(ORDER)]))
+    bins = spark.range(BINS).withColumn("cuts", cuts).select(
         F.col("id").alias("bin"),
         F.size(F.filter("cuts", lambda s: F.shiftright(s.crc, 20) < F.col("id"))).alias("before"),
         F.filter("cuts", lambda s: F.shiftright(s.crc, 20) == F.col("id")).alias("own"),
     )
     # BINS rows and at most MAX_RANGES * 2 splitters: bounded whatever the input
     placed = rows.withColumn("bin", F.shiftright("crc", 20)).join(F.broadcast(bins), "bin")
-    after = F.size(F.filter("own", lambda s: (s.crc < F.col("crc")) | ((s.crc == F.col("crc")) & (s.key <= F.col("key")))))
+    after = F.size(F.filter("own", lambda s: s <= F.struct(*ORDER)))
     return placed.withColumn("range", F.col("before") + after).drop("bin", "before", "own")
 
 
-def split_points(rows: DataFrame, n_rows: int, total: int, overfull: float = OVERFULL, samples: int = SAMPLES) -> list[tuple[int, int]]:
+def split_points(rows: DataFrame, n_rows: int, total: int, overfull: float = OVERFULL, samples: int = SAMPLES) -> list[Key]:
     ranges = max(MIN_RANGES, min(MAX_RANGES, n_rows // RANGE_ROWS))
-    take = lambda df: [(r.crc, r.key, r.n) for r in df.collect()]
+    take = lambda df: [(tuple(r[c] for c in ORDER), r.n) for r in df.collect()]
     splitters = quantiles(take(drawn(rows, F.lit(ranges * samples / total), 0)), ranges)
     mean = total / ranges
     for seed in range(1, ROUNDS + 1):
-        sizes = ranged(rows, splitters).groupBy("range").agg(F.sum("size").alias("bytes"), F.min(F.struct("crc", "key")).alias("low"), F.max(F.struct("crc", "key")).alias("high"))
+        sizes = ranged(rows, splitters).groupBy("range").agg(F.sum("size").alias("bytes"), F.min(F.struct(*ORDER)).alias("low"), F.max(F.struct(*ORDER)).alias("high"))
         full = [r for r in sizes.filter((F.col("bytes") > overfull * mean) & (F.col("low") != F.col("high"))).collect() if len(splitters) < 2 * MAX_RANGES]
         if not full:
             break
         rate = F.create_map(*[F.lit(x) for r in full for x in (r.range, 4.0 * samples / mean)])[F.col("range")]
         wanted = ranged(rows, splitters).filter(F.col("range").isin([r.range for r in full]))
-        again = drawn(wanted.withColumn("rate", rate), F.col("rate"), seed).select("crc", "key", "n")
+        again = drawn(wanted.withColumn("rate", rate), F.col("rate"), seed).select(*ORDER, "n")
         found = take(again)
         for r in full:
-            low, high = (r.low.crc, r.low.key), (r.high.crc, r.high.key)
-            own = [s for s in found if low <= s[:2] <= high]
+            low, high = tuple(r.low), tuple(r.high)
+            own = [s for s in found if low <= s[0] <= high]
             splitters += quantiles(own, max(2, round(r.bytes / mean))) or [high]
         splitters = sorted(set(splitters))
     return splitters
@@ -103,7 +107,7 @@ def assign(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
     # one row for each range: bounded, and small enough for one task and a broadcast
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     base = ranges.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"))
-    inside = Window.partitionBy("range").orderBy("crc", "key", "size")
+    inside = Window.partitionBy("range").orderBy(*ORDER)
     located = placed.withColumn("rn", F.row_number().over(inside)).withColumn("run", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(base), "range")
     middle = 2 * (F.col("bytes_before") + F.col("run")) - F.col("size")
     shard = F.least(F.floor(middle / F.lit(2 * whole.bytes / shards)), F.lit(shards - 1)).cast("int")

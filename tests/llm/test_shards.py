@@ -48,3 +48,20 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(i, "w" * i) for i in range(50)], "doc_id long, text string")
     plan = shards.assign(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_mass_of_equal_rows_is_cut(spark):
+    rows = [(None, "the same text " * 3)] * 20_000 + [(i, f"own {i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    keys = shards.written(shards.sized(df), "test-keys")
+    whole = keys.selectExpr("count(*) AS n", "sum(size) AS bytes").first()
+    sizes = [r.b for r in shards.ranged(keys, shards.split_points(keys, whole.n, whole.bytes)).groupBy("range").agg({"size": "sum"}).toDF("range", "b").collect()]
+    assert max(sizes) < 4 * whole.bytes / shards.MIN_RANGES
+    got = shards.assign(df).collect()
+    assert len(got) == 20_500 and len({(r.shard, r.slot) for r in got}) == 20_500
+    by_shard = {}
+    for r in got:
+        by_shard.setdefault(r.shard, []).append(r)
+    totals = [sum(r.size for r in own) for own in by_shard.values()]
+    assert len(totals) == 16 and max(totals) - min(totals) <= 2 * max(r.size for r in got)
+    assert all(sorted(r.slot for r in own) == list(range(len(own))) for own in by_shard.values())
