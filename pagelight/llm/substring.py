@@ -12,10 +12,11 @@ Documents are dealt into groups by id and text, once; every later step reads tha
 5. A group marks the windows so answered, and those that a smaller document of its own holds; marked windows
    merge into maximal removal intervals.
 
-So a passage in a third of all documents costs each group one entry. Groups and ranges grow in number with
-the input, so no task grows, and the share of windows that reach step 3 for nothing stays below 0.1 %. Two
-different windows count as equal only if both the polynomial and the hash of their text collide, more than
-94 bits in all: at 10^13 windows, where the polynomial has 50 bits, 10^-8 such pairs are expected.
+So a passage in a third of all documents costs each group one entry. Groups, ranges and the tasks that take
+them grow in number with the input, tasks up to ``MAX_TASKS``, and a task holds one group or range at a time; the
+share of windows that reach step 3 for nothing stays below 0.1 %. Two different windows count as equal only if
+both the polynomial and the hash of their text collide, 98 bits or more in all: at 10^13 windows, where the
+polynomial has 54 bits, 10^-9 such pairs are expected.
 
 Defined results: a null or empty text has no words; a text of fewer than ``window`` words loses
 nothing; rows with the same doc_id are never judged against each other; a null doc_id counts as larger
@@ -40,6 +41,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 SPARE = 30
 #: Bytes of the stored table for each group, and for each range of hash values.
 GROUP_BYTES = 3 << 20
+#: Groups or ranges for each task, and tasks of a shuffle at most.
+TASK_GROUPS, MAX_TASKS = 4, 20_000
 NO_ID, BELOW = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
 
@@ -298,10 +301,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 column.append(value)
         return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), *(pa.array(x, f.type) for x, f in zip(made, list(out)[1:], strict=True))], schema=out)
 
-    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << bits)))
-    held = dealt.groupBy("grp").applyInArrow(hashes, shape).groupBy("key").applyInArrow(shared, shape)
-    told = dealt.groupBy("grp").cogroup(held.groupBy("grp")).applyInArrow(keys, shape).groupBy("key").applyInArrow(late, shape)
-    return dealt.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(apply, "doc_id long, n_words long, n_removed long, removed array<struct<start:int,stop:int>>, kept string")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MAX_TASKS, (1 << bits) // TASK_GROUPS))
+    by = lambda df, column: df.repartition(tasks, column).groupBy(column)
+    dealt = by(rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << bits))), "grp")
+    held = by(by(dealt.applyInArrow(hashes, shape), "key").applyInArrow(shared, shape), "grp")
+    told = by(by(dealt.cogroup(held).applyInArrow(keys, shape), "key").applyInArrow(late, shape), "grp")
+    return dealt.cogroup(told).applyInArrow(apply, "doc_id long, n_words long, n_removed long, removed array<struct<start:int,stop:int>>, kept string")
 
 
 def digest(docs: DataFrame) -> DataFrame:
