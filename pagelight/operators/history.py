@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagelight.functions import text as T
+from pagelight.sources.folders import shared_folder
 
 SESSIONS = "session_id STRING, book_id STRING, start_time TIMESTAMP, last_updated TIMESTAMP, preferred_language STRING, read_mode STRING, current_page INT, current_sentence INT"
 PAGES = (
@@ -66,8 +68,15 @@ def numbered(pages: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def with_ids(pages: DataFrame, base: int, order: str) -> DataFrame:
-    """Consecutive ids after ``base``: counts of ordered ranges first, then positions inside each, so that no task sees all rows."""
-    ranged = pages.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    """Consecutive ids after ``base``: counts of ordered ranges first, then positions inside each, so that no task sees all rows.
+
+    The ranges are written with their rows: made anew for the counts, they could be cut or joined elsewhere.
+    """
+    spark = pages.sparkSession
+    cut = pages.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    path = f"{shared_folder(spark)}/ranges-{uuid.uuid4().hex}"
+    cut.write.parquet(path)
+    ranged = spark.read.schema(cut.schema).parquet(path)
     ranged = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = ranged.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")

@@ -267,3 +267,13 @@ def test_folds_of_many_events_on_one_key(spark):
     got = N.replay(asked, "s", ["i"], "requested").agg({"accepted": "count"}).collect()[0][0]
     kept = N.debounce(spark.range(n).selectExpr("1 AS k", "id * 100000 AS us", "id AS event_id"), "k", "us", "event_id", 300).count()
     assert got == n and kept == -(-n // 3) and time.time() - began < 60
+
+
+def test_ids_of_a_table_whose_ranges_are_joined(spark):
+    """Wide rows and their narrow counts are shuffled in sizes so unlike that ranges are joined differently for each."""
+    n = 60_000
+    pad = F.concat(*[F.sha2(F.concat("id", F.lit(f" {i}")), 512) for i in range(4)])
+    wide = spark.range(n).select((F.col("id") * 7 % n).alias("seq"), pad.alias("pad")).repartition(5)
+    wrong = F.count(F.when(F.col("id") != F.col("seq") + 41, 1))
+    got = H.with_ids(wide, 40, "seq").agg(F.count("*").alias("n"), F.max("id").alias("top"), wrong.alias("wrong"), F.max(F.length("pad")).alias("width")).first()
+    assert (got.n, got.top, got.wrong, got.width) == (n, n + 40, 0, 512)
