@@ -50,7 +50,7 @@ def session_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A recognised page for each event; hashes repeat, some are empty, some pages are invalid or have no sentences."""
-    i, v = F.col("event_id"), F.floor("value").cast("int")
+    i, v = F.col("event_id"), F.floor("value").cast("long")
     hashed = F.when(i % 11 == 0, "").otherwise(F.lower(F.lpad(F.hex((v * 2654435 + 17) % 1000003), 16, "0")))
     return table(spark, sf_dir, "events").select(
         F.concat(F.lit("s"), "user_id").alias("session_id"),

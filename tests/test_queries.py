@@ -51,3 +51,18 @@ def test_entry_point_without_the_training_subpackage():
     names = __spark_entry__.queries()
     assert set(QUERIES) <= set(names) and set(ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
     assert all(k in names for k in __spark_entry__.oracle_sql())
+
+
+LARGE = ["already_read", "page_history"]
+
+
+@pytest.mark.parametrize("name", LARGE)
+def test_page_hashes_of_large_values(spark, tmp_path, name):
+    """Values of events grow with the table; the product behind a page's hash must not be one of 32 bits."""
+    con = duckdb.connect()
+    con.sql(f"copy (select 100000 + i as event_id, timestamp '2024-01-01' + to_seconds(i) as ts, i % 3 as user_id, 'view' as event_type, 805.5 + i // 4 * 3 as value, '' as props from range(40) t(i)) to '{tmp_path}/events.parquet' (format parquet)")
+    con.sql(f"create view events as select * from read_parquet('{tmp_path}/events.parquet')")
+    rel = con.sql(ORACLE_SQL[name])
+    cols = sorted(rel.columns)
+    want = sorted((tuple(plain(r[rel.columns.index(c)]) for c in cols) for r in rel.fetchall()), key=str)
+    assert want and sorted((tuple(plain(r[c]) for c in cols) for r in QUERIES[name](spark, str(tmp_path)).collect()), key=str) == want
