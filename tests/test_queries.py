@@ -53,7 +53,7 @@ def test_entry_point_without_the_training_subpackage():
     assert all(k in names for k in __spark_entry__.oracle_sql())
 
 
-LARGE = ["already_read", "artifact_json", "dup_pages", "page_history", "session_report"]
+LARGE = ["already_read", "artifact_json", "dup_pages", "page_history", "session_report", "stream_new_pages"]
 
 
 @pytest.mark.parametrize("name", LARGE)
