@@ -12,31 +12,57 @@ from pagelight.functions import text as T
 EARLY_STOP, FALLBACK_BELOW = 85.0, 40.0
 
 
+def _kept(words: DataFrame) -> DataFrame:
+    return words.withColumn("text", T.strip(F.col("text"))).filter("text <> ''")
+
+
+def _placed() -> Column:
+    """The words of a group with their places, in input order."""
+    return F.sort_array(F.collect_list(F.struct(F.struct("block_num", "par_num").alias("par"), "line_num", "ord", "text")))
+
+
+def _joined(placed: str) -> Column:
+    """One pass over a column of ``_placed`` words: what parts a word from the one before it depends on their places alone."""
+
+    def one(word: Column, i: Column) -> Column:
+        last = F.get(F.col(placed), i - 1)
+        near = F.when(word["line_num"].eqNullSafe(last["line_num"]), " ").otherwise("\n")
+        return F.concat(F.when(i == 0, "").when(word["par"].eqNullSafe(last["par"]), near).otherwise("\n\n"), word["text"])
+
+    return T.strip(F.array_join(F.transform(F.col(placed), one), ""))
+
+
 def reconstruct(words: DataFrame, key: str) -> DataFrame:
     """(key, text): words joined by blanks in input order, lines by one break, paragraphs by two.
 
-    ``words`` has key, block_num, par_num, line_num, ord and text. One exchange by key serves all three levels.
+    ``words`` has key, block_num, par_num, line_num, ord and text. Words are gathered by key before the one exchange.
     """
-    kept = words.withColumn("text", T.strip(F.col("text"))).filter("text <> ''").repartition(key)
-    joined = lambda part, order, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, part))), lambda s: s[part]), sep)
-    lines = kept.groupBy(key, "block_num", "par_num", "line_num").agg(joined("text", ["ord"], " ").alias("text"))
-    paragraphs = lines.groupBy(key, "block_num", "par_num").agg(joined("text", ["line_num"], "\n").alias("text"))
-    return paragraphs.groupBy(key).agg(T.strip(joined("text", ["block_num", "par_num"], "\n\n")).alias("text"))
+    return _kept(words).groupBy(key).agg(_placed().alias("_placed")).select(key, _joined("_placed").alias("text"))
 
 
-def word_confidence(words: DataFrame, key: str) -> DataFrame:
-    """Mean confidence and share of sure words, over words with a confidence, and the sums that line heights need."""
+def heard(words: DataFrame, key: str) -> DataFrame:
+    """``reconstruct`` and ``word_confidence`` of keys with a word that is not blank, from one aggregation of the words."""
+    made = _kept(words).groupBy(key).agg(_placed().alias("_placed"), *_confidence())
+    return made.withColumn("text", _joined("_placed")).drop("_placed")
+
+
+def _confidence() -> list[Column]:
     valid = (F.col("conf") >= 0) & (T.strip(F.col("text")) != "")
     tall = valid & (F.col("height") > 0)
     n, total = F.count(F.when(valid, 1)), F.sum(F.when(valid, F.col("conf")))
-    return words.groupBy(key).agg(
+    return [
         n.alias("n_valid"),
         F.when(n > 0, total / n).otherwise(0.0).alias("avg_conf"),
         F.when(n > 0, F.count(F.when(valid & (F.col("conf") >= 50), 1)) / n).otherwise(0.0).alias("high_share"),
         F.count(F.when(tall, 1)).alias("n_heights"),
         F.coalesce(F.sum(F.when(tall, F.col("height"))), F.lit(0)).alias("h1"),
         F.coalesce(F.sum(F.when(tall, F.col("height") * F.col("height"))), F.lit(0)).alias("h2"),
-    )
+    ]
+
+
+def word_confidence(words: DataFrame, key: str) -> DataFrame:
+    """Mean confidence and share of sure words, over words with a confidence, and the sums that line heights need."""
+    return words.groupBy(key).agg(*_confidence())
 
 
 def line_consistency(words: Column, lines: Column, n: Column, h1: Column, h2: Column) -> Column:
@@ -55,10 +81,13 @@ def target_match(target: Column, shares: dict[str, Column]) -> Column:
     return F.when(top >= 0.30, 1.0).when(top >= 0.10, 0.7).otherwise(0.2)
 
 
-def scored(pages: DataFrame, confidence: DataFrame, key: str, target: str | Column = "eng") -> DataFrame:
-    """Composite score, 0 to 100, of recognised pages (key, text) with their word confidences, for a target script or a column of them."""
+def scored(pages: DataFrame, confidence: DataFrame | None, key: str, target: str | Column = "eng", also: tuple[str, ...] = ()) -> DataFrame:
+    """Composite score, 0 to 100, of recognised pages (key, text) with their word confidences, for a target script or a column of them.
+
+    Without ``confidence`` the pages hold it themselves; columns named in ``also`` are handed on.
+    """
     target = F.lit(target) if isinstance(target, str) else target
-    made = T.with_scripts(pages.join(confidence, key, "left"), "text", False, "share_").withColumns(T.statistics(F.col("text")))
+    made = T.with_scripts(pages if confidence is None else pages.join(confidence, key, "left"), "text", False, "share_").withColumns(T.statistics(F.col("text")))
     shares = T.shares_of("share_")
     made = made.fillna(0, ["n_valid", "avg_conf", "high_share", "n_heights", "h1", "h2"]).withColumns({"ws": T.words(F.col("text")), "runs": T.garbage_runs(F.col("text")), "primary": F.greatest(*shares.values())})
     made = made.withColumns(
@@ -77,6 +106,7 @@ def scored(pages: DataFrame, confidence: DataFrame, key: str, target: str | Colu
     zero = lambda c: F.when(empty, 0.0).otherwise(c)
     return made.select(
         key,
+        *also,
         T.rounded(zero(F.col("avg_conf")), 2).alias("word_confidence_avg"),
         T.rounded(zero(F.col("valid_ratio")), 3).alias("valid_word_ratio"),
         T.rounded(zero(F.col("primary")), 3).alias("alpha_ratio"),
@@ -116,6 +146,15 @@ def best(candidates: DataFrame, key: str) -> DataFrame:
     return candidates.groupBy(key).agg(F.max_by(F.struct(*others), F.struct("score", -F.col("ord"))).alias("b")).select(key, "b.*")
 
 
+def searched(candidates: DataFrame, key: str, stop: float = EARLY_STOP, below: float = FALLBACK_BELOW) -> DataFrame:
+    """Candidates that ``evaluated`` and ``with_fallback`` leave, of candidates with ``is_fallback``, in one exchange and without making any twice."""
+    first = F.col("is_fallback") == F.lit(False)
+    before = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    made = candidates.withColumn("_tried", F.coalesce(first & ~F.coalesce(F.max(first & (F.col("score") >= stop)).over(before), F.lit(False)), F.lit(False)))
+    made = made.withColumn("_best", F.max(F.when(F.col("_tried"), F.col("score"))).over(Window.partitionBy(key)))
+    return made.filter(F.col("_tried") | (F.col("is_fallback") & (F.col("_best").isNull() | (F.col("_best") < below)))).drop("_tried", "_best")
+
+
 def probe_decision(evidence: DataFrame, key: str) -> DataFrame:
     """(key, script, ratio) from probe texts (key, probe_lang, probe_text, fallback_lang).
 
@@ -154,14 +193,12 @@ def process(pages: DataFrame, candidates: DataFrame, words: DataFrame, stop: flo
     cand. Pages of bad quality and pages without text give an error row. Only the winner is cleaned.
     """
     good = pages.filter("status = 'OK'")
-    own = candidates.join(good.select("page_id"), "page_id", "left_semi")
-    heard = words.join(own.select("cand"), "cand", "left_semi")
-    texts = reconstruct(heard, "cand").filter("text <> ''").join(own.select("cand", "lang"), "cand")
-    scores = scored(texts, word_confidence(heard, "cand"), "cand", F.col("lang")).select("cand", F.col("composite_score").alias("score"), F.col("word_confidence_avg").alias("average_confidence"))
-    ranked = own.join(scores, "cand").select("page_id", "ord", "cand", "variant", "psm", "lang", "is_fallback", "score", "average_confidence")
-    tried = evaluated(ranked.filter("NOT is_fallback"), "page_id", stop)
-    winner = best(with_fallback(tried, ranked.filter("is_fallback"), good, "page_id", below), "page_id")
-    read = winner.join(texts.select("cand", "text"), "cand").join(good.select("page_id", "script"), "page_id").withColumn("cleaned", T.clean(F.col("text")))
+    own = candidates.join(good.select("page_id"), "page_id", "left_semi").select("page_id", "cand", "ord", "variant", "psm", "lang", "is_fallback")
+    # words are the bulk: they are gathered once, and text and score of a candidate stay together until the page's winner is known
+    scores = scored(heard(words, "cand").join(own, "cand"), None, "cand", F.col("lang"), ("page_id", "ord", "variant", "psm", "is_fallback", "text"))
+    ranked = scores.select("page_id", "ord", "variant", "psm", "is_fallback", "text", F.col("composite_score").alias("score"), F.col("word_confidence_avg").alias("average_confidence"))
+    winner = best(searched(ranked, "page_id", stop, below), "page_id")
+    read = winner.join(good.select("page_id", "script"), "page_id").withColumn("cleaned", T.clean(F.col("text")))
     named = T.with_scripts(read, "cleaned", True, "share_").withColumn("language", T.detect_language(F.col("cleaned"), T.shares_of("share_"), F.col("script")))
     done = named.select("page_id", "variant", "psm", "score", "average_confidence", "cleaned", "language", T.sentences(F.col("cleaned")).alias("sentences"))
     out = pages.select("page_id", "status").join(done, "page_id", "left")

@@ -277,3 +277,31 @@ def test_ids_of_a_table_whose_ranges_are_joined(spark):
     wrong = F.count(F.when(F.col("id") != F.col("seq") + 41, 1))
     got = H.with_ids(wide, 40, "seq").agg(F.count("*").alias("n"), F.max("id").alias("top"), wrong.alias("wrong"), F.max(F.length("pad")).alias("width")).first()
     assert (got.n, got.top, got.wrong, got.width) == (n, n + 40, 0, 512)
+
+
+def test_search_gathers_words_once(spark):
+    """Words are read and shuffled once, whatever the search does with their candidates; places that are null are places."""
+    words = [(c, b, p, n, o, t, 90, 12) for c in (10, 11, 15) for o, (b, p, n, t) in enumerate([(1, 1, 1, "One "), (1, 1, 1, "two."), (1, 1, 2, " "), (1, 1, 3, "Three"), (1, 2, 3, "four"), (2, 2, 3, "five"), (None, None, None, "zero")])]
+    heard = spark.createDataFrame(words, "cand long, block_num int, par_num int, line_num int, ord long, text string, conf int, height int")
+    assert {r.text for r in R.reconstruct(heard, "cand").collect()} == {"zero\n\nOne two.\nThree\n\nfour\n\nfive"}
+    cands = spark.createDataFrame([(10 + o, 1, o, f"v{o}", 4, "eng", o == 5) for o in (0, 1, 5)], "cand long, page_id long, ord int, variant string, psm int, lang string, is_fallback boolean")
+    pages = spark.createDataFrame([(1, "OK", "eng"), (2, "OK", "eng"), (3, "IMAGE_TOO_DARK", "eng")], "page_id long, status string, script string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    done = {r.page_id: r for r in R.process(pages, cands, heard.mapInArrow(counted, heard.schema)).collect()}
+    assert done[1].selected_variant == "v0" and done[1].is_valid and not done[2].is_valid and not done[3].is_valid
+    assert calls.value == len(words)
+
+
+def test_search_in_one_exchange(spark):
+    rng = random.Random(4)
+    rows = [(p, o, rng.choice([10.0, 39.99, 40.0, 84.0, 85.0, 90.0]), o >= 900, f"v{o}") for p in range(200) for o in rng.sample([0, 1, 10, 11, 900, 901], rng.randrange(1, 7))]
+    df = spark.createDataFrame(rows, "page int, ord int, score double, is_fallback boolean, variant string")
+    tried = R.evaluated(df.filter("NOT is_fallback"), "page")
+    want = R.with_fallback(tried, df.filter("is_fallback"), df.select("page").distinct(), "page")
+    assert sorted(map(str, R.searched(df, "page").collect())) == sorted(map(str, want.collect()))
