@@ -14,6 +14,9 @@ before it joins anything:
    text only never travels back; so rare shingles make the keys and common passages hardly ever do.
    A hash that stands in ``HOT`` texts of a task goes out as a count, and its texts by task.
 
+A pair that shares a key must also pass by the parities of its texts' hashes in ``PARITY`` bits (a bitmap filter):
+two bitmaps never differ in more bits than the sets do in hashes, so no pair of ``similarity`` fails.
+
 Each key's texts are first tried against ``HEADS`` of them, others in each round, while more than ``FEW`` pairs
 a row are left and a round makes a tenth of them needless; then in all pairs that are not joined yet. Hashes have 64 bits: equal hashes of different shingles cost
 a comparison.
@@ -49,6 +52,8 @@ HOT = 64
 HEADS = 8
 #: Pairs for each row of the keys that are tried without more heads.
 FEW = 8
+#: Bits of a text's parities, a multiple of 64.
+PARITY = 512
 #: Kinds of rows between the tasks.
 SHINGLES, SIZES, COMMON, COUNTS = range(4)
 
@@ -70,6 +75,12 @@ def similar(a: bytes | None, b: bytes | None, n: int, least: float) -> bool:
     return len(x & y) >= least * len(x | y) - 1e-12
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Bit i of ``PARITY``: whether an odd number of the hashes have the remainder i; in words of 64 bits."""
+    odd = np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def by_group(groups: int, ids: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(group, payload): the rows of each group of ids."""
     group = ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % groups
@@ -270,6 +281,15 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     wanted = written(shared.select("id").unionByName(proposed.select(F.col("a").alias("id"))).unionByName(proposed.select(F.col("b").alias("id"))).distinct(), "candidate-ids")
     held = written(own.join(if_small(wanted), "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    bits = [f"bits{i}" for i in range(PARITY // 64)]
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [parities(shingle_hashes(x.as_py(), shingle)) for x in batch.column("text").cast(pa.binary())]
+            columns = np.array(made, np.int64).reshape(len(made), len(bits)).T
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=["id", *bits])
+
+    signs = written(held.select("id", "text").mapInArrow(sign, ", ".join(f"{c} long" for c in ("id", *bits))), "parities")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,6 +306,12 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         enough = 1 + F.least(size - pos, other - at) - 1 >= similarity / (1 + similarity) * (size + other) - 1e-6
         return (F.least(size, other) >= similarity * F.greatest(size, other) - 1e-9) & enough
 
+    def near() -> Column:
+        """By the parities: texts of ``similarity`` differ in a share of their hashes at most."""
+        differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) for c in bits), F.lit(0))
+        return differ <= (1 - similarity) / (1 + similarity) * (F.col("size") + F.col("size_")) + 1e-6
+
+    own_ = ["id", "size", "pos", "comp", *bits]
     sure, tried, turn, before = verified(proposed), proposed, 0, math.inf
     while True:
         comp = components(sure)
@@ -293,7 +319,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         # what is left of a key: the members outside its largest component, and all that they may still be alike to
         parts = grouped.groupBy("key", "comp").agg(F.count("*").alias("n"))
         open_ = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most")).filter("parts > 1")
-        rest = written(grouped.join(open_.select("key", "main", (F.col("all") - F.col("most")).alias("pairs")), "key"), "open-keys")
+        rest = written(grouped.join(open_.select("key", "main", (F.col("all") - F.col("most")).alias("pairs")), "key").join(signs, "id"), "open-keys")
         forget(comp)
         left = rest.agg(F.count("*").alias("rows"), F.sum("pairs").alias("pairs")).first()
         if not left.rows:
@@ -302,14 +328,14 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
             turn = None
         before = left.pairs
         if turn is None:
-            small = rest.filter("comp <> main").select("key", "id", "size", "pos", "comp")
-            other = rest.select("key", F.col("id").alias("id_"), F.col("size").alias("size_"), F.col("pos").alias("pos_"), F.col("comp").alias("comp_"))
+            small = rest.filter("comp <> main").select("key", *own_)
+            other = rest.select("key", *[F.col(c).alias(f"{c}_") for c in own_])
             found = small.join(other, "key").filter(F.col("comp") != F.col("comp_"))
         else:
-            some = [F.min_by(F.struct("id", "size", "pos", "comp"), F.xxhash64("id", F.lit(turn * HEADS + i))) for i in range(HEADS)]
-            head = rest.groupBy("key").agg(F.array_distinct(F.array(*some)).alias("h")).select("key", F.explode("h").alias("h")).select("key", *[F.col(f"h.{c}").alias(f"{c}_") for c in ("id", "size", "pos", "comp")])
+            some = [F.min_by(F.struct(*own_), F.xxhash64("id", F.lit(turn * HEADS + i))) for i in range(HEADS)]
+            head = rest.groupBy("key").agg(F.array_distinct(F.array(*some)).alias("h")).select("key", F.explode("h").alias("h")).select("key", *[F.col(f"h.{c}").alias(f"{c}_") for c in own_])
             found = rest.join(written(head, "key-heads"), "key").filter(F.col("comp") != F.col("comp_"))
-        found = found.filter(may_be(F.col("pos"), F.col("size"), F.col("pos_"), F.col("size_")))
+        found = found.filter(may_be(F.col("pos"), F.col("size"), F.col("pos_"), F.col("size_")) & near())
         pairs = found.select(F.greatest("id", "id_").alias("a"), F.least("id", "id_").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "candidate-pairs")
         more = verified(pairs)

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from pagelight.llm import copies
 
 
@@ -102,3 +104,35 @@ def test_near_copies_with_blocks(spark):
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(block + words if i % 2 else words[: 200 - len(block) * 4 // 5]))]
     want = brute_near(rows)
     assert groups_of(spark, rows) == want and 40 < len(set(want.values())) < 80
+
+
+def test_parities_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    for n, changed in [(1, 0), (5, 3), (200, 20), (200, 200), (3000, 40)]:
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.r_[a[changed:], rng.integers(0, 1 << 63, changed // 2, dtype=np.uint64)]
+        bits = sum(int(x).bit_count() for x in (copies.parities(a) ^ copies.parities(b)).view(np.uint64))
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist())) and (changed or not bits)
+
+
+def test_few_candidates_in_a_group_of_cousins(spark, monkeypatch):
+    """Texts that share much, but not enough, share keys; they must not all be tried on their texts."""
+    rng = random.Random(8)
+    base, rows = [f"b{i}" for i in range(300)], []
+    for i in range(60):
+        ws = list(base)
+        for at in range(0, 300, 30):
+            if rng.random() < 0.6:
+                ws[at + rng.randrange(25)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(ws)))
+    tried, written = [], copies.written
+
+    def counted(df, label):
+        out = written(df, label)
+        if label == "candidate-pairs":
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(copies, "written", counted)
+    assert groups_of(spark, rows) == brute_near(rows)
+    assert sum(tried) < 400
