@@ -12,8 +12,11 @@ over several tasks by a hash of the id.
 
 Search: a query walks the in-memory centroid graph from its entry points while it finds centroids
 within the ratio of the nearest; every list within the ratio is read, and where these are the home of
-too few vectors, the next nearest lists too. A task compares its part of a list with the queries that
-want it, block by block, and sends each query's best; queries then merge theirs. The number of lists
+too few vectors, the next nearest lists too. Lists lie together in regions of up to ``chunk`` vectors, and a
+query travels once to each region that holds lists it wants. A task compares a block of queries with the
+lists that each wants (with the whole region, where that is a quarter of its lists or more), and sends
+each query's best of the region; queries then merge theirs. A region that more than ``QUERIES`` queries
+want is read by several tasks, so that no task holds more than that of either side. The number of lists
 grows with the table up to ``max_lists``, which bounds the centroids and the graph that are broadcast,
 and the sample with the lists: ``LIST_SAMPLE`` vectors for each, ``SAMPLE`` at least.
 
@@ -40,7 +43,9 @@ SAMPLE = 20_000
 LIST_SAMPLE = 8
 LIST_ROWS = 512
 MAX_LISTS = 1 << 14
-CHUNK = 20_000
+CHUNK = 1 << 16
+#: Queries that a task compares with a region.
+QUERIES = 1 << 16
 TARGET = 0.99
 SPILL, REPLICAS = 1.05, 4
 DEGREE = 16
@@ -185,6 +190,47 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, to
     return out
 
 
+def distinct_rows(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of the rows (id, vector) without their replicas."""
+    _, at, n = np.unique(ids, return_inverse=True, return_counts=True)
+    again, seen = np.flatnonzero(n[at] > 1), set()
+    keep = n[at] == 1
+    for i in again.tolist():
+        name = (int(ids[i]), x[i].tobytes())
+        keep[i] = name not in seen
+        seen.add(name)
+    return np.flatnonzero(keep)
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]], top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``top`` of several (ids, scores), replicas once."""
+    pairs = np.unique(np.rec.fromarrays([np.concatenate([p[k] for p in parts]) for k in (0, 1)]))
+    order = np.lexsort((pairs.f0, -pairs.f1))[:top]
+    return pairs.f0[order], pairs.f1[order]
+
+
+def best_of_region(q_ids: np.ndarray, q: np.ndarray, wants: list[np.ndarray], ids: np.ndarray, x: np.ndarray, home: np.ndarray, top: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each query its ``top`` rows in the lists that it wants of a region with rows (id, vector, list)."""
+    order = np.argsort(home, kind="stable")
+    ids, x, home = ids[order], x[order], home[order]
+    lists, start = np.unique(home, return_index=True)
+    stop = np.r_[start[1:], len(home)]
+    found: list[list] = [[] for _ in q_ids]
+    wide = np.array([4 * len(w) >= len(lists) for w in wants], bool)
+    if wide.any():
+        keep, own = distinct_rows(ids, x), np.flatnonzero(wide)
+        for i, best in zip(own.tolist(), best_of(q_ids[own], q[own], ids[keep], x[keep], top), strict=True):
+            found[i].append(best)
+    few = np.flatnonzero(~wide)
+    if len(few):
+        flat, asker = np.concatenate([wants[i] for i in few]), np.repeat(few, [len(wants[i]) for i in few])
+        for name, a, z in zip(lists.tolist(), start.tolist(), stop.tolist(), strict=True):
+            own = asker[flat == name]
+            for i, best in zip(own.tolist(), best_of(q_ids[own], q[own], ids[a:z], x[a:z], top) if len(own) else [], strict=True):
+                found[i].append(best)
+    return [merged(f, top) if f else (np.empty(0, np.int64), np.empty(0)) for f in found]
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v): the rows that take part."""
     v = F.col("v")
@@ -225,15 +271,6 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, id_col: str =
                 home = np.concatenate([np.arange(len(h)) == 0 for h in homes])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(homes), pa.int32()), pa.array(home), some.column("id").take(take), some.column("v").take(take)], names=["list", "home", "id", "v"])
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = held.value
-        for batch in batches:
-            for b in blocks(batch.num_rows, n_lists):
-                some = batch.slice(b.start, b.stop - b.start)
-                wanted = lists.probes(matrix(some.column("v")), homes, top + 1)
-                take = pa.array(np.repeat(np.arange(len(wanted)), [len(h) for h in wanted]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(wanted) if wanted else [], pa.int32()), some.column("id").take(take), some.column("v").take(take)], names=["list", "id", "v"])
-
     posted = common.mapInArrow(post, "list int, home boolean, id long, v array<double>")
     others = lambda some: some.filter(F.size("v") != dim)
     if len(found) > 1:
@@ -245,22 +282,59 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, id_col: str =
     for r in sizes:
         if r.list >= 0:
             homes[r.list] = r.homes
-    parts = {r.list: -(-r["rows"] // chunk) for r in sizes if r["rows"] > chunk}
-    if parts:
-        n_parts = F.coalesce(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])[F.col("list")], F.lit(1))
-    else:
-        n_parts = F.lit(1)
-    posted = posted.select("list", "id", "v").withColumn("part", F.pmod(F.xxhash64("id"), n_parts.cast("long")).cast("int"))
-    probed = wanted.filter(F.size("v") == dim).mapInArrow(probe, "list int, id long, v array<double>")
+    # regions: neighbours in the numbering together, a list that is too long or of another length alone and in parts
+    room = min(chunk, max(1, -(-sum(r["rows"] for r in sizes) // (4 * spark.sparkContext.defaultParallelism))))
+    region_of, parts, filled, region = np.zeros(n_lists, np.int32), {}, 0, 0
+    for r in sorted(sizes, key=lambda r: r.list):
+        if r.list >= 0:
+            if filled and filled + r["rows"] > room:
+                region, filled = region + 1, 0
+            region_of[r.list], filled = region, filled + r["rows"]
+        if r["rows"] > chunk:
+            parts[region if r.list >= 0 else r.list] = -(-r["rows"] // chunk)
+
+    def looked_up(table: dict, key: str):
+        return F.coalesce(F.create_map(*[F.lit(int(x)) for kv in table.items() for x in kv])[F.col(key)], F.lit(1)) if table else F.lit(1)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(region, id, v, lists): a query once for each region."""
+        for batch in batches:
+            for b in blocks(batch.num_rows, n_lists):
+                some = batch.slice(b.start, b.stop - b.start)
+                take, where, which = [], [], []
+                for i, lists in enumerate(held.value.probes(matrix(some.column("v")), homes, top + 1)):
+                    lists = lists[np.argsort(region_of[lists], kind="stable")]
+                    names, start = np.unique(region_of[lists], return_index=True)
+                    take += [i] * len(names)
+                    where += names.tolist()
+                    which += np.split(lists.astype(np.int32), start[1:])
+                offsets = np.r_[0, np.cumsum([len(w) for w in which])].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *which]), pa.int32()))
+                at = pa.array(take, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), some.column("id").take(at), some.column("v").take(at), lists], names=["region", "id", "v", "lists"])
+
+    probed = wanted.filter(F.size("v") == dim).mapInArrow(split, "region int, id long, v array<double>, lists array<int>")
     if len(found) > 1:
-        probed = probed.unionByName(others(wanted).select((-F.size("v")).alias("list"), "id", "v"))
-    probed = probed.withColumn("part", F.explode(F.sequence(F.lit(0), n_parts.cast("int") - 1)))
+        alone = (-F.size("v")).cast("int")
+        probed = probed.unionByName(others(wanted).select(alone.alias("region"), "id", "v", F.array(alone).alias("lists")))
+    asked = {}
+    if wanted.count() > QUERIES:
+        asked = {r.region: -(-r["count"] // QUERIES) for r in probed.select("region").groupBy("region").count().collect() if r["count"] > QUERIES}
+    named = F.when(F.col("list") < 0, F.col("list")).otherwise(F.get(F.lit(region_of.tolist()).cast("array<int>"), F.greatest(F.col("list"), F.lit(0))))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), n.cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+    n_parts, n_asked = looked_up(parts, "region"), looked_up(asked, "region")
+    posted = posted.select("list", "id", "v", named.alias("region")).withColumn("part", dealt(n_parts)).withColumn("block", every(n_asked))
+    probed = probed.withColumn("block", dealt(n_asked)).withColumn("part", every(n_parts))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict = {"query_id": [], "found": []}
         if left.num_rows and right.num_rows:
             q_ids = left.column("id").to_numpy()
-            for i, (ids, scores) in enumerate(best_of(q_ids, matrix(left.column("v")), right.column("id").to_numpy(), matrix(right.column("v")), top)):
+            wants = left.column("lists").combine_chunks()
+            ends = np.cumsum(wants.value_lengths().to_numpy())
+            wants = np.split(wants.flatten().to_numpy(), ends[:-1])
+            for i, (ids, scores) in enumerate(best_of_region(q_ids, matrix(left.column("v")), wants, right.column("id").to_numpy(), matrix(right.column("v")), right.column("list").to_numpy(), top)):
                 out["query_id"].append(int(q_ids[i]))
                 out["found"].append(pickle.dumps((ids.tobytes(), scores.tobytes())))
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "found": pa.array(out["found"], pa.binary())})
@@ -270,15 +344,13 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, id_col: str =
             out: list[list] = [[], [], [], []]
             for query, packed in zip(batch.column("query_id").to_pylist(), batch.column("found").to_pylist(), strict=True):
                 got = [pickle.loads(x) for x in packed]
-                ids, scores = (np.frombuffer(b"".join(g[k] for g in got), kind) for k, kind in ((0, np.int64), (1, np.float64)))
-                pairs = np.unique(np.rec.fromarrays([ids, scores]))  # replicas
-                order = np.lexsort((pairs.f0, -pairs.f1))[:top]
-                for column, values in zip(out, ([query] * len(order), range(1, len(order) + 1), pairs.f0[order].tolist(), pairs.f1[order].tolist()), strict=True):
+                ids, scores = merged([(np.frombuffer(g[0], np.int64), np.frombuffer(g[1], np.float64)) for g in got], top)
+                for column, values in zip(out, ([query] * len(ids), range(1, len(ids) + 1), ids.tolist(), scores.tolist()), strict=True):
                     column.extend(values)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "rank", "vec_id", "score"])
 
-    near = probed.groupBy("list", "part").cogroup(posted.groupBy("list", "part")).applyInArrow(compare, "query_id long, found binary")
-    # a query's lists are bounded by the centroids
+    near = probed.groupBy("region", "part", "block").cogroup(posted.groupBy("region", "part", "block")).applyInArrow(compare, "query_id long, found binary")
+    # one row for each region that a query visits
     return near.groupBy("query_id").agg(F.collect_list("found").alias("found")).mapInArrow(merge, shape)
 
 

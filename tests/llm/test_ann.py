@@ -97,3 +97,39 @@ def test_recall_and_lists_read(kind):
     if kind == "tight":
         assert np.mean([len(p) for p in probed]) < 6
     print(kind, "recall", hits / (20 * len(q)), "lists read", np.mean([len(p) for p in probed]), "of 30")
+
+
+def test_a_region_gives_the_best_of_the_lists_that_a_query_wants():
+    rng = np.random.default_rng(6)
+    x, home = rng.normal(size=(400, 6)), rng.integers(0, 40, 400)
+    ids = rng.permutation(400)
+    ids, x, home = np.r_[ids, ids[:50]], np.r_[x, x[:50]], np.r_[home, (home[:50] + 1) % 40]  # replicas
+    q = rng.normal(size=(30, 6))
+    wants = [np.sort(rng.choice(40, k, replace=False)) for k in [1, 2, 9, 40] * 7 + [3, 5]]
+    for i, (got, scores) in enumerate(ann.best_of_region(ids[:30], q, wants, ids, x, home, 5)):
+        all_ = sorted({(-float((a * q[i]).sum()), int(j)) for j, a, h in zip(ids, x, home, strict=True) if j != ids[i] and (4 * len(wants[i]) >= 40 or h in wants[i])})[:5]
+        assert got.tolist() == [j for _, j in all_] and np.allclose(scores, [-s for s, _ in all_])
+
+
+def test_many_queries_are_dealt_over_tasks(spark, monkeypatch):
+    """No task takes more than about ``QUERIES`` queries, however many want its lists."""
+    monkeypatch.setattr(ann, "QUERIES", 20, raising=False)
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    sizes = []
+    apply = type(df.groupBy("vec_id").cogroup(df.groupBy("vec_id"))).applyInArrow
+
+    def counted(groups, func, schema):
+        left = groups._gd1
+        sizes.extend(r["count"] for r in left.count().collect())
+        return apply(groups, func, schema)
+
+    monkeypatch.setattr(type(df.groupBy("vec_id").cogroup(df.groupBy("vec_id"))), "applyInArrow", counted)
+    got = {}
+    for r in ann.search(df, df.filter("vec_id % 5 = 0"), list_rows=50).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x = np.array([v for _, v in rows])
+    want = {q: set(np.argsort(-np.where(np.arange(2000) == q, -np.inf, x @ x[q]), kind="stable")[:20].tolist()) for q in range(0, 2000, 5)}
+    assert got.keys() == want.keys() and sum(len(got[q] & want[q]) for q in want) >= 0.9 * 20 * len(want)
+    assert max(sizes) <= 50
