@@ -21,15 +21,31 @@ def _placed() -> Column:
     return F.sort_array(F.collect_list(F.struct(F.struct("block_num", "par_num").alias("par"), "line_num", "ord", "text")))
 
 
-def _joined(placed: str) -> Column:
-    """One pass over a column of ``_placed`` words: what parts a word from the one before it depends on their places alone."""
+def _joined(placed: Column) -> Column:
+    """One pass over ``_placed`` words: what parts a word from the one before it depends on their places alone."""
 
     def one(word: Column, i: Column) -> Column:
-        last = F.get(F.col(placed), i - 1)
+        last = F.get(placed, i - 1)
         near = F.when(word["line_num"].eqNullSafe(last["line_num"]), " ").otherwise("\n")
         return F.concat(F.when(i == 0, "").when(word["par"].eqNullSafe(last["par"]), near).otherwise("\n\n"), word["text"])
 
-    return T.strip(F.array_join(F.transform(F.col(placed), one), ""))
+    return T.strip(F.array_join(F.transform(placed, one), ""))
+
+
+def _text(placed: Column) -> Column:
+    """``_joined``; the one-element array binds the sorted words, so that they are made once."""
+    return F.transform(F.array(placed), _joined)[0]
+
+
+def rebuilt(words: Column) -> Column:
+    """What ``reconstruct`` makes of an array of all words of a key, each (block_num, par_num, line_num, ord, text), without a row for each."""
+    placed = F.transform(words, lambda w: F.struct(F.struct(w["block_num"].alias("block_num"), w["par_num"].alias("par_num")).alias("par"), w["line_num"].alias("line_num"), w["ord"].alias("ord"), T.strip(w["text"]).alias("text")))
+    return _text(F.sort_array(F.filter(placed, lambda w: w["text"] != "")))
+
+
+def line_text(line: Column) -> Column:
+    """The words of a line, parted by white space of ASCII, each stripped and joined by blanks: any white space around such a part is one blank."""
+    return T.strip(F.regexp_replace(line, r"(?U)[\s&&[^ \t\r\f\n]]*+[ \t\r\f\n]\s*+", " "))
 
 
 def reconstruct(words: DataFrame, key: str) -> DataFrame:
@@ -37,17 +53,16 @@ def reconstruct(words: DataFrame, key: str) -> DataFrame:
 
     ``words`` has key, block_num, par_num, line_num, ord and text. Words are gathered by key before the one exchange.
     """
-    return _kept(words).groupBy(key).agg(_placed().alias("_placed")).select(key, _joined("_placed").alias("text"))
+    return _kept(words).groupBy(key).agg(_text(_placed()).alias("text"))
 
 
 def heard(words: DataFrame, key: str) -> DataFrame:
     """``reconstruct`` and ``word_confidence`` of keys with a word that is not blank, from one aggregation of the words."""
-    made = _kept(words).groupBy(key).agg(_placed().alias("_placed"), *_confidence())
-    return made.withColumn("text", _joined("_placed")).drop("_placed")
+    return _kept(words).groupBy(key).agg(_text(_placed()).alias("text"), *_confidence())
 
 
 def _confidence() -> list[Column]:
-    valid = (F.col("conf") >= 0) & (T.strip(F.col("text")) != "")
+    valid = (F.col("conf") >= 0) & ~T.blank(F.col("text"))
     tall = valid & (F.col("height") > 0)
     n, total = F.count(F.when(valid, 1)), F.sum(F.when(valid, F.col("conf")))
     return [
@@ -81,28 +96,35 @@ def target_match(target: Column, shares: dict[str, Column]) -> Column:
     return F.when(top >= 0.30, 1.0).when(top >= 0.10, 0.7).otherwise(0.2)
 
 
-def scored(pages: DataFrame, confidence: DataFrame | None, key: str, target: str | Column = "eng", also: tuple[str, ...] = ()) -> DataFrame:
-    """Composite score, 0 to 100, of recognised pages (key, text) with their word confidences, for a target script or a column of them.
+CONFIDENCE = ["n_valid", "avg_conf", "high_share", "n_heights", "h1", "h2"]
 
-    Without ``confidence`` the pages hold it themselves; columns named in ``also`` are handed on.
-    """
-    target = F.lit(target) if isinstance(target, str) else target
-    made = T.with_scripts(pages if confidence is None else pages.join(confidence, key, "left"), "text", False, "share_").withColumns(T.statistics(F.col("text")))
-    shares = T.shares_of("share_")
-    made = made.fillna(0, ["n_valid", "avg_conf", "high_share", "n_heights", "h1", "h2"]).withColumns({"ws": T.words(F.col("text")), "runs": T.garbage_runs(F.col("text")), "primary": F.greatest(*shares.values())})
-    made = made.withColumns(
+
+def measured(pages: DataFrame) -> DataFrame:
+    """Adds what a score needs of ``text`` itself; candidates that read the same text can share it."""
+    made = T.with_scripts(pages, "text", False, "share_").withColumns({"ws": T.words(F.col("text")), "empty": T.blank(F.col("text"))})
+    made = made.withColumns(T.statistics(F.col("text")) | {"word_count": F.when(F.col("empty"), 0).otherwise(F.size("ws"))})
+    made = made.withColumns({"runs": T.garbage_runs(F.col("text")), "primary": F.greatest(*T.shares_of("share_").values())})
+    return made.withColumns(
         {
             "valid_ratio": F.when(F.size("ws") > 0, F.size(F.filter("ws", lambda w: w.rlike(r"\p{L}"))) / F.size("ws")).otherwise(0.0),
             "length_ratio": F.when(F.size("ws") > 0, F.size(F.filter("ws", lambda w: F.length(w).between(2, 25))) / F.size("ws")).otherwise(0.0),
-            "match": target_match(target, shares),
             "penalty": F.when(F.col("runs") > 0, F.least(F.lit(1.0), F.least(F.lit(1.0), F.col("symbol_ratio") * 2) + F.col("runs") * 0.1)).otherwise(F.least(F.lit(1.0), F.col("symbol_ratio") * 2)),
-            "consistency": line_consistency(F.col("word_count"), F.col("line_count"), F.col("n_heights"), F.col("h1"), F.col("h2")),
             "volume": F.least(F.lit(1.0), F.log10(F.greatest(F.lit(1), F.col("word_count")) + 1) / 1.8),
         }
+    ).drop("ws")
+
+
+def composed(made: DataFrame, key: str, target: Column, also: tuple[str, ...] = ()) -> DataFrame:
+    """Composite score of ``measured`` texts with word confidences beside them; columns named in ``also`` are handed on."""
+    made = made.fillna(0, CONFIDENCE).withColumns(
+        {
+            "match": target_match(target, T.shares_of("share_")),
+            "consistency": line_consistency(F.col("word_count"), F.col("line_count"), F.col("n_heights"), F.col("h1"), F.col("h2")),
+        }
     )
     raw = F.col("avg_conf") * 0.30 + F.col("high_share") * 20.0 + F.col("valid_ratio") * 20.0 + F.col("primary") * F.col("match") * 15.0 + F.col("consistency") * F.col("length_ratio") * 15.0
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw * (1 - F.col("penalty") * 0.5) * (0.6 + 0.4 * F.col("volume"))))
-    empty = T.blank(F.col("text"))
+    empty = F.col("empty")
     zero = lambda c: F.when(empty, 0.0).otherwise(c)
     return made.select(
         key,
@@ -118,6 +140,12 @@ def scored(pages: DataFrame, confidence: DataFrame | None, key: str, target: str
     )
 
 
+def scored(pages: DataFrame, confidence: DataFrame, key: str, target: str | Column = "eng") -> DataFrame:
+    """Composite score, 0 to 100, of recognised pages (key, text) with their word confidences, for a target script or a column of them."""
+    target = F.lit(target) if isinstance(target, str) else target
+    return composed(measured(pages.join(confidence, key, "left")), key, target)
+
+
 def candidate_grid(pages: DataFrame, key: str, fast: bool, max_variants: int = 4, max_psms: int = 2) -> DataFrame:
     """Every candidate of a page in evaluation order: variants, then modes, then the page's languages."""
     max_variants, max_psms = (2, 1) if fast else (max_variants, max_psms)
@@ -192,17 +220,35 @@ def process(pages: DataFrame, candidates: DataFrame, words: DataFrame, stop: flo
     ``candidates`` has cand, page_id, ord, variant, psm, lang and is_fallback, ``words`` the words of each
     cand. Pages of bad quality and pages without text give an error row. Only the winner is cleaned.
     """
-    good = pages.filter("status = 'OK'")
-    own = candidates.join(good.select("page_id"), "page_id", "left_semi").select("page_id", "cand", "ord", "variant", "psm", "lang", "is_fallback")
+    own = candidates.join(pages.filter("status = 'OK'").select("page_id"), "page_id", "left_semi")
     # words are the bulk: they are gathered once, and text and score of a candidate stay together until the page's winner is known
-    scores = scored(heard(words, "cand").join(own, "cand"), None, "cand", F.col("lang"), ("page_id", "ord", "variant", "psm", "is_fallback", "text"))
+    read = heard(words, "cand").join(own, "cand").select("page_id", "text", F.array(_reading()).alias("readings"))
+    return process_texts(pages, read, stop, below)
+
+
+def readings(candidates: DataFrame, confidence: DataFrame) -> DataFrame:
+    """(page_id, readings): the candidates of each page with a confidence, as ``process_texts`` takes them."""
+    return confidence.join(candidates, "cand").groupBy("page_id").agg(F.collect_list(_reading()).alias("readings"))
+
+
+def _reading() -> Column:
+    return F.struct("ord", "variant", "psm", "lang", "is_fallback", *CONFIDENCE)
+
+
+def process_texts(pages: DataFrame, texts: DataFrame, stop: float = EARLY_STOP, below: float = FALLBACK_BELOW) -> DataFrame:
+    """``process`` of texts (page_id, text, readings), where all ``readings`` gave that text: a text is measured once, whoever read it.
+
+    Texts that are dealt by page_id stay where they are.
+    """
+    each = measured(texts.filter("text <> ''")).withColumn("r", F.explode("readings")).select("*", "r.*").drop("r", "readings")
+    scores = composed(each, "page_id", F.col("lang"), ("ord", "variant", "psm", "is_fallback", "text"))
     ranked = scores.select("page_id", "ord", "variant", "psm", "is_fallback", "text", F.col("composite_score").alias("score"), F.col("word_confidence_avg").alias("average_confidence"))
-    winner = best(searched(ranked, "page_id", stop, below), "page_id")
-    read = winner.join(good.select("page_id", "script"), "page_id").withColumn("cleaned", T.clean(F.col("text")))
-    named = T.with_scripts(read, "cleaned", True, "share_").withColumn("language", T.detect_language(F.col("cleaned"), T.shares_of("share_"), F.col("script")))
-    done = named.select("page_id", "variant", "psm", "score", "average_confidence", "cleaned", "language", T.sentences(F.col("cleaned")).alias("sentences"))
-    out = pages.select("page_id", "status").join(done, "page_id", "left")
+    winner = best(searched(ranked, "page_id", stop, below), "page_id").withColumn("cleaned", T.clean(F.col("text"))).drop("text")
+    named = T.with_scripts(winner, "cleaned", True, "share_").withColumn("sentences", T.sentences(F.col("cleaned")))
+    # rows of one page id are rows of one page: each gets the winner once
+    out = pages.join(named.withColumnRenamed("page_id", "_page"), (F.col("page_id") == F.col("_page")) & (F.col("status") == "OK"), "left")
     valid = F.col("variant").isNotNull()
+    out = out.withColumn("language", F.when(valid, T.detect_language(F.col("cleaned"), T.shares_of("share_"), F.col("script"))))
     error = F.when(F.col("status") != "OK", F.concat(F.lit("Image quality issue: "), "status")).when(~valid, "No readable text found on page")
     return out.select(
         "page_id",

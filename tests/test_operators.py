@@ -10,6 +10,7 @@ from pagelight.operators import image as I
 from pagelight.operators import interaction as N
 from pagelight.operators import kernels as K
 from pagelight.operators import recognition as R
+from pagelight.plans import recognition as P
 from pagelight.sources import folders
 
 
@@ -305,3 +306,14 @@ def test_search_in_one_exchange(spark):
     tried = R.evaluated(df.filter("NOT is_fallback"), "page")
     want = R.with_fallback(tried, df.filter("is_fallback"), df.select("page").distinct(), "page")
     assert sorted(map(str, R.searched(df, "page").collect())) == sorted(map(str, want.collect()))
+
+
+def test_page_text_is_that_of_the_words(spark):
+    """Text made inside a row, by lines or by mixed words, is what the word table of the same rows gives."""
+    rng = random.Random(7)
+    bits = ["a", "bc", "\u00a0", " ", "  ", "\t", "\n", "\r\n", "\f", "\u2003", "\u2028", "\u0085", "\x0b", "\x1c", "\u200b", "é", "नम"]
+    rows = [(i, "".join(rng.choices(bits, k=rng.randrange(120)))) for i in range(300)] + [(i, "".join(rng.choices(bits, k=60))) for i in range(280, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.text for r in R.reconstruct(P.words(docs), "doc_id").collect()}
+    got = {r.doc_id: r.text for r in docs.groupBy("doc_id").agg(P.page_text(F.collect_list("text")).alias("text")).collect()}
+    assert {k: t for k, t in got.items() if t} == want and len(got) == 300

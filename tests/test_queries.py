@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from pagelight.plans.registry import ORACLE_SQL, QUERIES
 
@@ -66,3 +67,39 @@ def test_page_hashes_of_large_values(spark, tmp_path, name):
     cols = sorted(rel.columns)
     want = sorted((tuple(plain(r[rel.columns.index(c)]) for c in cols) for r in rel.fetchall()), key=str)
     assert want and sorted((tuple(plain(r[c]) for c in cols) for r in QUERIES[name](spark, str(tmp_path)).collect()), key=str) == want
+
+
+def shuffled(spark, df):
+    """Bytes written for exchanges while ``df`` runs."""
+    sc = spark.sparkContext
+    quantiles = sc._gateway.new_array(sc._jvm.double, 0)
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, quantiles, None)
+        return {x.stageId(): x.shuffleWriteBytes() for x in map(found.apply, range(found.size()))}
+
+    before = stages()
+    df.write.format("noop").mode("overwrite").save()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_process_page_shuffles_texts_and_no_words(spark, tmp_path):
+    """Three candidates have the words of a page; what is written for exchanges is the texts, dealt to cores and to pages, and little else."""
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.concat(F.when(i % 12 == 0, "\n").otherwise(""), F.substring(F.md5((F.col("id") * 2001 + i).cast("string").cast("binary")), 1, 6))), " ")
+    spark.range(1, 401).select(F.col("id").alias("doc_id"), words.alias("text")).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    size = spark.read.parquet(f"{tmp_path}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    assert 0 < shuffled(spark, QUERIES["process_page"](spark, str(tmp_path))) < 2 * size
+
+
+def test_process_page_of_odd_texts(spark, tmp_path):
+    """Blank and missing texts and ids, and rows that stand twice under one id."""
+    texts = ["One two.\nThree  four \t five six ", " \t\n \r\n", "", None, "a\tb\r\nc\f  d\n\n" + "line of words\n" * 45, "\n\n x", "!!!! ???? ----", "Dr. Rao came. He left. "]
+    rows = [(i + 1, t) for i, t in enumerate(texts)] + [(17, texts[0]), (None, texts[0]), (30, texts[0]), (30, texts[0]), (31, texts[4]), (31, None), (32, "same words"), (32, "same words")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    rel = con.sql(ORACLE_SQL["process_page"])
+    cols = sorted(rel.columns)
+    want = sorted((tuple(plain(r[rel.columns.index(c)]) for c in cols) for r in rel.fetchall()), key=str)
+    assert len(want) == len(rows) and sorted((tuple(plain(r[c]) for c in cols) for r in QUERIES["process_page"](spark, str(tmp_path)).collect()), key=str) == want
