@@ -32,15 +32,10 @@ def _joined(placed: Column) -> Column:
     return T.strip(F.array_join(F.transform(placed, one), ""))
 
 
-def _text(placed: Column) -> Column:
-    """``_joined``; the one-element array binds the sorted words, so that they are made once."""
-    return F.transform(F.array(placed), _joined)[0]
-
-
 def rebuilt(words: Column) -> Column:
     """What ``reconstruct`` makes of an array of all words of a key, each (block_num, par_num, line_num, ord, text), without a row for each."""
     placed = F.transform(words, lambda w: F.struct(F.struct(w["block_num"].alias("block_num"), w["par_num"].alias("par_num")).alias("par"), w["line_num"].alias("line_num"), w["ord"].alias("ord"), T.strip(w["text"]).alias("text")))
-    return _text(F.sort_array(F.filter(placed, lambda w: w["text"] != "")))
+    return T.bound(F.sort_array(F.filter(placed, lambda w: w["text"] != "")), _joined)
 
 
 def line_text(line: Column) -> Column:
@@ -53,12 +48,12 @@ def reconstruct(words: DataFrame, key: str) -> DataFrame:
 
     ``words`` has key, block_num, par_num, line_num, ord and text. Words are gathered by key before the one exchange.
     """
-    return _kept(words).groupBy(key).agg(_text(_placed()).alias("text"))
+    return _kept(words).groupBy(key).agg(T.bound(_placed(), _joined).alias("text"))
 
 
 def heard(words: DataFrame, key: str) -> DataFrame:
     """``reconstruct`` and ``word_confidence`` of keys with a word that is not blank, from one aggregation of the words."""
-    return _kept(words).groupBy(key).agg(_text(_placed()).alias("text"), *_confidence())
+    return _kept(words).groupBy(key).agg(T.bound(_placed(), _joined).alias("text"), *_confidence())
 
 
 def _confidence() -> list[Column]:
